@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, sharding, token_counts
+from . import piece_codec, quality, sharding, token_counts
 from .common import read_table
 
 
@@ -24,12 +24,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key")
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_counts, op5_piece_codec)}
+    return {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_quality, op5_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

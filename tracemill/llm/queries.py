@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, quality, sharding, token_counts
+from . import jaccard, piece_codec, quality, sharding, token_counts
 from .common import read_table
 
 
@@ -33,8 +33,12 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=75)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_quality, op5_piece_codec)}
+    return {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_quality, op5_piece_codec, op8_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

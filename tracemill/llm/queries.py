@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, piece_codec, quality, sharding, token_counts
+from . import jaccard, lines, piece_codec, quality, sharding, token_counts
 from .common import read_table
 
 
@@ -37,9 +37,13 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=75)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_quality, op5_piece_codec, op8_jaccard)}
+    return {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_quality, op5_piece_codec, op8_jaccard, op9_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_lines": lines.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, piece_codec, quality, sharding, token_counts
+from . import decontam, jaccard, lines, piece_codec, quality, sharding, token_counts
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_matched", "coverage", "kind")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
@@ -42,7 +46,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_quality, op5_piece_codec, op8_jaccard, op9_lines)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_quality, op5_piece_codec, op8_jaccard, op9_lines)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lines, piece_codec, quality, sharding, token_counts
+from . import ann, decontam, jaccard, lines, piece_codec, quality, sharding, spans, token_counts
 from .common import read_table
 
 
@@ -37,6 +37,16 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.drop_repeated_spans(docs, changed_only=True)
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=75)
 
@@ -46,7 +56,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_quality, op5_piece_codec, op8_jaccard, op9_lines)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_quality, op5_piece_codec, op6_spans, op7_neighbours, op8_jaccard, op9_lines)}
 
 
 def oracle_sql() -> dict[str, str]:

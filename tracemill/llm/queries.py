@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, jaccard, lines, piece_codec, quality, sharding, spans, token_counts
+from . import ann, decontam, jaccard, lines, pages, piece_codec, quality, sharding, spans, token_counts
 from .common import read_table
 
 
@@ -55,8 +55,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_quality, op5_piece_codec, op6_spans, op7_neighbours, op8_jaccard, op9_lines)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_quality, op5_piece_codec, op6_spans, op7_neighbours, op8_jaccard, op9_lines, op10_pages)}
 
 
 def oracle_sql() -> dict[str, str]:

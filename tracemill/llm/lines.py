@@ -17,11 +17,16 @@ from .common import checkpointed, text_or_empty
 FIELD = "<*>"
 
 
+_BLANK = " \t\r\x0b\f"
+
+
 def masked(line: Column) -> Column:
     """The line with white space runs as one space and every token with an ASCII digit as <*>."""
-    spaced = F.translate(line, "\t\r\x0b\f", "    ")
-    tidy = F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, "  +", " ")).otherwise(spaced))
-    return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(tidy)
+    odd = F.contains(line, F.lit("  "))
+    for c in _BLANK[1:]:
+        odd |= F.contains(line, F.lit(c))
+    tidy = F.trim(F.when(odd, F.regexp_replace(line, "[ \\t\\r\\x0b\\f]+", " ")).otherwise(line))
+    return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, "[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(tidy)
 
 
 def _n_tokens(line: Column) -> Column:
@@ -76,7 +81,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, si
     joined = left.join(right, ["_key_id", "_key_null", "_key_body"], "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col("_cut"), F.array().cast("array<int>")), i))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: F.trim(F.translate(x, "\t\r\x0b\f", "    ")) != "")).cast("long")
+    n_lines = F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("long")
     return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

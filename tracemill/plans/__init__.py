@@ -1 +1,6 @@
+"""Queries over the tables, and flows of several operators."""
 
+from . import training  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,6 +1,6 @@
 """Queries over the tables, and flows of several operators."""
 
-from . import events, training  # noqa: F401
+from . import events, lookups, training  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

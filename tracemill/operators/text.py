@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What is scrubbed, in order, with what it becomes.
 SCRUB_PATTERNS = [
@@ -20,6 +21,10 @@ SCRUB_PATTERNS = [
 ]
 
 
+#: Workers import this module without a session, so types are not written as DDL here.
+_REPETITION = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("repeated", T.BooleanType())])
+
+
 def hash_bucket(value: Column, n: int) -> Column:
     """The first 4 bytes of the SHA-256, modulo n."""
     return F.conv(F.substring(F.sha2(value, 256), 1, 8), 16, 10).cast("long") % n
@@ -134,7 +139,7 @@ def sse_blocks(text: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(fields(b, "event:").alias("event"), fields(b, "data:").alias("data")))
 
 
-@F.pandas_udf("struct<ratio:double,repeated:boolean>")
+@F.pandas_udf(_REPETITION)
 def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Compression ratio of the last 10,000 characters, and whether a text longer than that is compressed over tenfold."""
     for texts in batches:
@@ -146,7 +151,7 @@ def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["ratio", "repeated"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def boxed_answer(texts: pd.Series) -> pd.Series:
     r"""The content of the last \boxed{...}, braces matched; null without one."""
 

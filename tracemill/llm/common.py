@@ -38,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
+    """A checkpointed df in as many partitions as its rows call for, if that is fewer than it has."""
+    n = max(1, -(-df.count() // rows_per_task))
+    return df.coalesce(n)
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again; columns can be pruned on reading."""
     path = fresh_path(df.sparkSession, kind)

@@ -1,6 +1,6 @@
 """Queries over the tables, and flows of several operators."""
 
-from . import events, flows, lookups, streams, training  # noqa: F401
+from . import events, flows, lookups, records, streams, training  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

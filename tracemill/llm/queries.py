@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_lines": lines.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op8_jaccard": jaccard.ORACLE, "op9_lines": lines.ORACLE}

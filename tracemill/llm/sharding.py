@@ -79,3 +79,15 @@ def byte_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text:
     return cut.join(F.broadcast(firsts), "shard").select(
         key, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard"), (F.col("row_before") - F.col("first_row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: The same in DuckDB for 16 shards; the CRC comes from its polynomial.
+ORACLE = r"""
+with steps as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b::ubigint, [0::ubigint,0,0,0,0,0,0,0]), lambda c, z: case when c & 1 = 1 then xor(3988292384::ubigint, c >> 1) else c >> 1 end)) as t),
+sized as (select doc_id, encode(coalesce(text, '')) as raw, octet_length(encode(coalesce(text, ''))) + 1 as size from documents),
+bytes as (select doc_id, size, list_transform(range(size - 1), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as ubigint)) as b from (select doc_id, size, hex(raw) as h from sized)),
+summed as (select doc_id, size, cast(xor(list_reduce(list_prepend(4294967295::ubigint, b), lambda c, x: xor(t[cast(xor(c, x) & 255 as int) + 1], c >> 8)), 4294967295::ubigint) as bigint) as text_crc32 from bytes, steps),
+placed as (select *, sum(size) over (order by doc_id, size, text_crc32 rows unbounded preceding) - size as before, sum(size) over () as whole from summed),
+cut as (select *, cast(least(15, ((2 * before + size) * 16) // (2 * whole)) as int) as shard from placed)
+select doc_id, cast(size as bigint) as size, text_crc32, 'bytes' as law, shard, cast(row_number() over (partition by shard order by before) - 1 as bigint) as slot, cast(null as int) as grown_shard from cut
+"""

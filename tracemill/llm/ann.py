@@ -111,7 +111,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, n_lists: int =
     sample = np.array(picked["embedding"].tolist(), np.float64)
     centers = spark.sparkContext.broadcast(_centroids(sample, n_lists, seed))
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))[0]
-    n_all = len(centers.value)
 
     def place(probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +139,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, n_lists: int =
             q, x, d = _scan(_matrix(theirs.column("embedding")), theirs.column("vec_id").to_numpy(), _matrix(mine.column("embedding")), mine.column("vec_id").to_numpy(), rotation, k, column_block, epsilon)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(x, pa.int64()), "score": pa.array(d, pa.float64())})
 
-    assert n_all
     found = left.groupBy("list", "x", "y").cogroup(right.groupBy("list", "x", "y")).applyInArrow(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

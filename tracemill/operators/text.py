@@ -25,6 +25,17 @@ SCRUB_PATTERNS = [
 _REPETITION = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("repeated", T.BooleanType())])
 
 
+#: Substrings of which a text must hold one for the pattern to match; without them it is not searched.
+_SCRUB_SIGNS = {"private_key": ("PRIVATE KEY",), "email": ("@",), "home_path": ("/home/", "/Users/"), "bearer": ("earer",), "assignment": ("authorization", "api_key", "access_token", "secret_key", "password")}
+
+
+def _may_hold(text: Column, name: str) -> Column:
+    out = F.lit(False)
+    for sign in _SCRUB_SIGNS[name]:
+        out |= F.contains(text, F.lit(sign))
+    return out
+
+
 def hash_bucket(value: Column, n: int) -> Column:
     """The first 4 bytes of the SHA-256, modulo n."""
     return F.conv(F.substring(F.sha2(value, 256), 1, 8), 16, 10).cast("long") % n
@@ -41,16 +52,18 @@ def variant_index(seed: Column, name: Column, kind: str, n: int) -> Column:
 
 def scrubbed(text: Column) -> tuple[Column, list[tuple[str, Column]]]:
     """The text after all replacements, and the number of each; every pattern sees what the ones before left."""
-    counts = []
+    counts, source = [], text
     for name, pattern, new in SCRUB_PATTERNS:
-        counts.append((name, F.regexp_count(text, F.lit(pattern)).cast("long")))
-        text = F.regexp_replace(text, pattern, new)
+        # The signs survive earlier replacements or were in the text before them, so the first text decides.
+        found = _may_hold(source, name)
+        counts.append((name, F.when(found, F.regexp_count(text, F.lit(pattern))).otherwise(F.when(source.isNotNull(), 0)).cast("long")))
+        text = F.when(found, F.regexp_replace(text, pattern, new)).otherwise(text)
     return text, counts
 
 
 def risk_labels(text: Column, size: Column) -> Column:
     """Sorted names of the risks that the text shows."""
-    rules = [(name, text.rlike(pattern)) for name, pattern, _ in SCRUB_PATTERNS] + [("large", size > 20_000)]
+    rules = [(name, _may_hold(text, name) & text.rlike(pattern)) for name, pattern, _ in SCRUB_PATTERNS] + [("large", size > 20_000)]
     return F.sort_array(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules))))
 
 

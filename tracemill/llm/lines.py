@@ -71,8 +71,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, si
     keyed = checkpointed(once.join(merged, "leaf", "left").select("doc_id", "body", F.when(F.col("merged"), F.col("leaf")).otherwise(F.col("template")).alias("key"), "places"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")
     recurring = keyed.groupBy("key", "doc_id", "body").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first")).where(F.col("n") >= min_docs)
+    # Stored, so that the join deals out both sides anew and can split a template that many documents hold.
+    recurring = checkpointed(recurring.select("key", "first"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body")))
-    cut = keyed.join(recurring.select("key", "first"), "key").where(later).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("places")).alias("cut"))
+    cut = keyed.join(recurring, "key").where(later).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("places")).alias("cut"))
     named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_body": F.xxhash64("text")})
     # A null doc_id joins under a number that stands beside a flag.
     plain = lambda c: [F.coalesce(c, F.lit(0).cast("long")).alias("_key_id"), c.isNull().alias("_key_null")]

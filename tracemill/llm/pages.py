@@ -162,7 +162,7 @@ def _flags(attrs: str) -> tuple[int, ...]:
     return _flag_memo[attrs]
 
 
-N_FEATURES = len(TAG_GROUPS) + len(BAD_GROUPS) + 2 + 2 + 14
+N_FEATURES = len(TAG_GROUPS) + len(BAD_GROUPS) + 2 + 2 + 15
 
 
 def features(page: Page) -> np.ndarray:
@@ -181,7 +181,7 @@ def features(page: Page) -> np.ndarray:
         n_links[p] += n_links[i]
         paragraphs[p] += paragraphs[i]
         nodes[p] += nodes[i]
-    inherited = [()] * n
+    inherited, within = [()] * n, [False] * n
     n_tags, n_bad = len(TAG_GROUPS), len(BAD_GROUPS)
     for i in range(n):
         row = x[i]
@@ -192,6 +192,7 @@ def features(page: Page) -> np.ndarray:
             row[n_tags + (f if f >= 0 else n_bad + 1)] = 1
         if i:
             p = parents[i]
+            within[i] = within[p] or tags[p] in ("article", "main")
             own = page.attrs[p] if page.attrs[p] else inherited[p]
             inherited[i] = own
             if own:
@@ -204,7 +205,7 @@ def features(page: Page) -> np.ndarray:
     up[0] = 0
     cols = (
         np.array(page.depths), np.array(place), np.array(children)[up], np.array(children), np.log1p(own), np.log1p(c), l / np.maximum(c, 1), c / max(c[0], 1),
-        c / np.array(nodes), np.array(paragraphs), nl, np.log1p(c[up]), l[up] / np.maximum(c[up], 1), np.arange(n) / n,
+        c / np.array(nodes), np.array(paragraphs), nl, np.log1p(c[up]), l[up] / np.maximum(c[up], 1), np.arange(n) / n, np.array(within),
     )
     for k, col in enumerate(cols):
         x[:, at + k] = col
@@ -273,13 +274,23 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
             blocks.append(f"<blockquote>{main(para(1, 3))}</blockquote>")
         elif kind < 0.93:
             blocks.append("<table>" + "".join(f"<tr><td>{main(sentence(1, 4))}</td><td>{main(sentence(1, 4))}</td></tr>" for _ in range(3)) + "</table>")
-        elif kind < 0.97:
+        elif kind < 0.955:
             blocks.append(ad())
+        elif kind < 0.975:
+            tag = name("p", "div")
+            blocks.append(f'<{tag} class="{name("notice", "newsletter", "subscribe", "alert", "disclaimer-notice")}">{name(sentence(), para(1, 3))}</{tag}>')
         else:
-            blocks.append(f'<div class="{name("related", "share", "social-links", "more")}">{items(2, 5, 5)}</div>')
+            blocks.append(f'<div class="{name("related", "share", "social-links", "more")}">{name(items(2, 5, 5), sentence(1, 4))}</div>')
+    if rng.random() < 0.15:
+        blocks.insert(rng.randint(1, len(blocks)) if blocks else 0, f'<form action="/x">{name("", f"<p>{sentence(2, 6)}</p>")}<label>{word()}</label><input name="q"></form>')
+    if rng.random() < 0.15:
+        blocks.append(f"<footer>{name(sentence(2, 6), items(2, 4))}</footer>")
     shell = rng.random()
     inner = "\n".join(blocks)
-    if shell < 0.45:
+    if shell < 0.08 and inner.startswith("<h1>"):  # a title in a header of the article's own
+        title, _, rest = inner.partition("</h1>")
+        body = f"<article><header>{title}</h1></header>{rest}</article>"
+    elif shell < 0.45:
         body = f"<article>{inner}</article>"
     elif shell < 0.6:
         body = f"<main>{inner}</main>"
@@ -308,6 +319,8 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
         tail.append(f'<{name("div", "section")} {name("class", "id")}="{name("comments", "comment-list", "replies", "discussion")}"><h3>{sentence(1, 3)}</h3>{notes}</div>')
     if rng.random() < 0.3:
         rng.choice((head, tail)).append(f'<form action="/x"><p>{sentence()}</p><label>{word()}</label><input name="q"></form>')
+    if rng.random() < 0.25:
+        tail.insert(0, f'<div class="{name("share", "social", "share-bar")}">{name(sentence(1, 3), items(2, 4))}</div>')
     if rng.random() < 0.3:
         tail.append(f'<div class="{name("related", "recommended", "more-stories")}"><h2>{sentence(2, 4)}</h2>{items(2, 6, 8)}</div>')
     if rng.random() < 0.85:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 _MARK = "▁"
-_MEMO_LIMIT = 700_000
+_MEMO_LIMIT = 250_000  # segments in each of two generations
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -47,6 +47,7 @@ class PieceCodec:
         self.newline_alone = not any("\n" in p for p in self.rank)
         self.cut = re.compile(f"\n|{_MARK}+[^{_MARK}\n]*|[^{_MARK}\n]+" if self.newline_alone else f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
         self.memo: dict[str, bytes] = {}  # ids of a segment, little-endian
+        self.older: dict[str, bytes] = {}  # the generation before; what is met again moves to the new one
         self.surfaces = [self._surface(i) for i in ids]
 
     def merge(self, segment: str) -> tuple[int, ...]:
@@ -111,13 +112,20 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, begin and end included, as little-endian unsigned 32-bit integers."""
         cut = [self.segments(t) for t in texts]
-        memo = self.memo
-        if len(memo) > _MEMO_LIMIT:
-            memo.clear()
-        self.learn(list(set().union(*cut) - memo.keys()))
+        if len(self.memo) > _MEMO_LIMIT:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        missing = set().union(*cut) - memo.keys()
+        met = missing & older.keys()
+        memo.update((s, older[s]) for s in met)
+        self.learn(list(missing - met))
         begin, end = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
         return [b"".join((begin, *map(memo.__getitem__, c), end)) for c in cut]
 
+    def forget(self) -> None:
+        """Drops what is remembered, so that a worker that is kept for other tasks holds no memory for this one."""
+        self.memo, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids: control ids give nothing, byte ids their bytes, the first space mark is dropped."""
         text = b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")
@@ -171,6 +179,7 @@ def piece_round_trip(docs: DataFrame, model_path: str, key: str = "doc_id", text
                     out += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_text else [])])
                 at += len(part)
+        c.forget()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")

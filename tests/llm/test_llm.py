@@ -152,6 +152,19 @@ def test_agenda_equals_the_library():
     assert [c.decode(x) for x in want] == c.lib.decode(want)
 
 
+def test_forgotten_segments_are_learned_again(monkeypatch):
+    monkeypatch.setattr(piece_codec, "_MEMO_LIMIT", 50)
+    c = piece_codec.codec(Q.tokenizer_file("piece_bpe_32k.model"))
+    c.forget()
+    texts = fuzz(300)
+    want = c.lib.encode(texts, add_bos=True, add_eos=True)
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for at in range(0, len(texts), 7) for x in c.encode(texts[at : at + 7])]
+        assert got == want
+    c.forget()
+    assert not c.memo and not c.older
+
+
 def test_piece_round_trip(spark, odd, none):
     path = Q.tokenizer_file("piece_bpe_32k.model")
     lib = piece_codec.codec(path).lib

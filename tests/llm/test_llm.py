@@ -329,6 +329,16 @@ def test_components_equal_brute_force(spark, rounds, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_shared_ngrams_of_a_block_without_lone_ones_count(spark, monkeypatch):
+    """Two near copies fill one block and leave most fragments without a lone n-gram; their partner stands in another partition."""
+    monkeypatch.setattr(jaccard, "_FRAGMENT", 1)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*base, "y"])), (2, " ".join([*base, "z"])), (3, " ".join([*base, "x"]))]
+    parts = spark.createDataFrame(spark.sparkContext.parallelize([rows[:2], rows[2:]], 2).flatMap(lambda x: x), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(parts).collect()}
+    assert got == brute_components(rows) and {c for _, c in got.values()} == {1}
+
+
 def test_jaccard_on_odd_rows(spark, odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect()), key=str)
     want = sorted(((i, len(shingles(t)), None if i is None else {6: 5}.get(i, i)) for i, t in ODD), key=str)

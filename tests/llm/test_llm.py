@@ -99,6 +99,25 @@ def test_reparameterised_questions(spark):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [2, 3, 4, 5]
 
 
+def test_letter_case_and_line_breaks_hide_no_passage(spark):
+    item = "the old clerk in Paris wrote that Doctor Brown had lost every key of the house, and that nobody would open it again"
+    wrapped = item.replace(" Doctor", "\nDoctor").replace(" Paris", "\nParis")
+    renamed = wrapped.replace("Paris", "London").replace("Doctor Brown", "Captain Green")
+    conflict = item + ". " + item.replace("Paris", "Brown")
+    texts = [item, item.upper(), item.title(), item.lower(), wrapped, renamed, conflict, "nothing of it: " + item[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.kind, r.coverage) for r in decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {i: k for i, (k, _) in got.items()} == dict.fromkeys(range(7), "verbatim") | {5: "reparameterised"}
+    assert all(got[i][1] == 1 for i in range(6))
+
+
+def test_one_conflicting_slot_leaves_what_is_as_written(spark):
+    item = "Anna gave Paul a red box with " + " ".join(f"word{c}" for c in "abcdefghijklmnopq") + " and then Anna took it back"
+    docs = spark.createDataFrame([(1, item.replace("then Anna", "then Carol"))], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.kind) for r in got] == [(1, "verbatim")] and 0.5 <= got[0].coverage < 1
+
+
 def test_every_planted_passage_is_found(spark, odd, none):
     import duckdb
 

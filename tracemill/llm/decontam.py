@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders. Every window of `width` toke
 item is hashed in that form and joined to the same windows of all documents, so a question whose
 numbers or names were exchanged still meets its original. The slots of aligned windows must then
 agree: within one alignment each value of the item stands for one value of the document and the
-other way round.
+other way round. Windows of full width are hashed in lower case as they are written, too: what letter
+case, line breaks or exchanged slots elsewhere do to placeholders does not hide them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _SEPARATOR[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
 _STOP = np.zeros(256, np.int64)
-_STOP[[10, 33, 46, 63]] = 1
+_STOP[[33, 46, 63]] = 1  # no newline: a text that is wrapped anew keeps its names
 
 
 def _hashes_of(listed: list[str]) -> np.ndarray:
@@ -71,15 +72,24 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return code, h, number | name | unit, starts, ends, rows
 
 
-def _windows(code: np.ndarray, literal: np.ndarray, slot: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first token, length) of every window. A window that is slots by more than half is hashed as it is written."""
+def _windows(code: np.ndarray, literal: np.ndarray, slot: np.ndarray, rows: np.ndarray, n_rows: int, width: int, full: int) -> tuple[np.ndarray, ...]:
+    """(hash, row, first token, length, as it is written) of every window.
+
+    A window that is slots by more than half is hashed as it is written only; other windows of `full`
+    tokens come once with placeholders and, at the end, once as they are written.
+    """
     by_code, owner, at = runs(code, rows, n_rows, width)
     by_word, _, _ = runs(literal, rows, n_rows, width)
     counts = np.bincount(rows, minlength=n_rows) if len(rows) else np.zeros(n_rows, np.int64)
     length = np.minimum(counts[owner], width)
     slots = np.concatenate(([0], np.cumsum(slot)))
     held = slots[at + length] - slots[at] if len(at) else at
-    return np.where(2 * held > length, mix(by_word + np.uint64(1)), by_code), owner, at, length
+    plain = mix(by_word + np.uint64(1))
+    written = 2 * held > length
+    both = np.flatnonzero(~written & (length == full))
+    h = np.concatenate((np.where(written, plain, by_code), plain[both]))
+    every = np.concatenate((np.arange(len(at)), both))
+    return h, owner[every], at[every], length[every], np.append(written, np.ones(len(both), bool))
 
 
 def _slot_texts(raw: np.ndarray, slot: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, length: int) -> list[str]:
@@ -90,30 +100,31 @@ _BITS = 26  # of the filter that documents' windows pass before the join: 8 MB,
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(hash, item_id, item_at, n_windows, n_tokens, slots) of every item that has a token."""
+    """(hash, item_id, item_at, n_windows, n_tokens, slots, written) of every window of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("item_id").to_pylist()
             for a, b, raw, offsets in utf8_slices(batch.column("_text")):
                 code, literal, slot, starts, ends, rows = _tokens(raw, offsets)
-                h, owner, at, length = _windows(code, literal, slot, rows, b - a, width)
+                h, owner, at, length, written = _windows(code, literal, slot, rows, b - a, width, width)
                 firsts = np.searchsorted(rows, np.arange(b - a))
-                counts = np.bincount(owner, minlength=b - a)
+                tokens = np.bincount(rows, minlength=b - a)
+                counts = np.where(tokens > 0, np.maximum(tokens - width, 0) + 1, 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)), pa.array([ids[a + r] for r in owner], pa.int64()), pa.array(at - firsts[owner], pa.int64()), pa.array(counts[owner], pa.int64()), pa.array(length, pa.int64()),
-                        pa.array([_slot_texts(raw, slot, starts, ends, i, n) for i, n in zip(at, length, strict=True)], pa.list_(pa.string())),
+                        pa.array([_slot_texts(raw, slot, starts, ends, i, n) for i, n in zip(at, length, strict=True)], pa.list_(pa.string())), pa.array(written),
                     ],
-                    names=["hash", "item_id", "item_at", "n_windows", "n_tokens", "slots"],
+                    names=["hash", "item_id", "item_at", "n_windows", "n_tokens", "slots", "written"],
                 )
 
     taken = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("_text"))
-    return taken.mapInArrow(run, "hash long, item_id long, item_at long, n_windows long, n_tokens long, slots array<string>")
+    return taken.mapInArrow(run, "hash long, item_id long, item_at long, n_windows long, n_tokens long, slots array<string>, written boolean")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage: float = 0.5, min_words: int = 5) -> DataFrame:
-    """(doc_id, body, item_id, n_matched, coverage, kind) of every document and item whose windows meet and whose slots agree.
+    """(doc_id, body, item_id, n_matched, coverage, kind) of every document and item whose windows meet, as they are written or with slots that agree.
 
     docs has doc_id and text, items has item_id and text; body is xxhash64 of the document's text,
     which tells rows apart that repeat a doc_id. coverage is the share of the item's windows
@@ -141,7 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
                 code, literal, slot, starts, ends, rows = _tokens(raw, offsets)
                 firsts = np.searchsorted(rows, np.arange(b - a))
                 for size in (width, *short):
-                    h, owner, at, length = _windows(code, literal, slot, rows, b - a, size)
+                    h, owner, at, length, _ = _windows(code, literal, slot, rows, b - a, size, width)
                     hit = np.flatnonzero(flags[h >> np.uint64(64 - _BITS)])
                     if size < width:
                         hit = hit[length[hit] == size]  # shorter texts were whole windows already
@@ -157,11 +168,15 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
 
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), text_or_empty().alias("_text"))
     found = taken.mapInArrow(scan, "doc_id long, body long, hash long, doc_at long, doc_slots array<string>")
-    met = found.join(known, "hash").where(F.size("slots") == F.size("doc_slots")).select("doc_id", "body", "item_id", "n_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))).alias("pairs"))
-    aligned = met.groupBy("doc_id", "body", "item_id", "n_windows", "shift").agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    # A window that meets as it is written has the item's values in its slots, however many the document's letter case gives it.
+    pairs = F.when(F.col("written"), F.transform("slots", lambda a: F.struct(a.alias("theirs"), a.alias("ours")))).otherwise(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))))
+    met = found.join(known, "hash").where(F.col("written") | (F.size("slots") == F.size("doc_slots"))).select("doc_id", "body", "item_id", "n_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), "written", pairs.alias("pairs"))
+    aligned = met.groupBy("doc_id", "body", "item_id", "n_windows", "shift").agg(F.collect_set("item_at").alias("at"), F.collect_set(F.when(F.col("written"), F.col("item_at"))).alias("at_written"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     theirs = F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"])))
     ours = F.size(F.array_distinct(F.transform("pairs", lambda p: p["ours"])))
-    agreed = aligned.where((theirs == F.size("pairs")) & (ours == F.size("pairs"))).withColumn("same", F.forall("pairs", lambda p: p["theirs"] == p["ours"]))
+    # Where slots conflict, the windows that meet as they are written still count.
+    agreed = aligned.withColumn("agree", (theirs == F.size("pairs")) & (ours == F.size("pairs"))).where("agree or size(at_written) > 0")
+    agreed = agreed.withColumns({"at": F.when(F.col("agree"), F.col("at")).otherwise(F.col("at_written")), "same": ~F.col("agree") | F.forall("pairs", lambda p: p["theirs"] == p["ours"])})
     whole = agreed.groupBy("doc_id", "body", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.bool_and("same").alias("same"))
     return whole.where(F.col("n_matched") >= F.col("n_windows") * min_coverage).select(
         "doc_id", "body", "item_id", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind")

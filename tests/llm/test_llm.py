@@ -265,6 +265,36 @@ def test_first_span_stays(spark, odd, none):
     assert got[1][0].startswith("Keep this. One") and got[2][0] == "Other.\nEnd of it." and got[2][2] == [1] and len(got[2][1]) == 2
 
 
+def brute_grown_spans(rows, min_words=10, lone=30):
+    cut = {i: [s.split() for s in re.split(r"(?<=[.!?])\s+|\n", clean(t)) if s.split()] for i, t in rows}
+    seen, gone = {}, defaultdict(set)
+    for i in sorted(cut):
+        s = [tuple(w.lower() for w in x) for x in cut[i]]
+        found = {(k, k + 1) for k in range(len(s)) if len(s[k]) >= lone}
+        for k in range(len(s)):
+            found |= set([(k, e) for e in range(k + 2, len(s) + 1) if sum(map(len, s[k:e])) >= min_words][:1])
+            found |= set([(b, k + 1) for b in range(k - 1, -1, -1) if sum(map(len, s[b : k + 1])) >= min_words][:1])
+        for b, e in sorted(found):
+            if seen.setdefault((e - b, *s[b:e]), (i, b)) != (i, b):
+                gone[i] |= set(range(b, e))
+    return {i: len(g) for i, g in gone.items()}
+
+
+def test_passages_of_short_sentences_go(spark, tmp_path):
+    import duckdb
+
+    verse = "\n".join(f"line{c} of the song" for c in "abcdefghijklmno")
+    edges = "Yes.\nNo.\nthis one has quite a few more words than nine or ten of them\nSo.\nWell."
+    rows = [(1, f"First of all\n{verse}\nend one"), (2, f"Then\n{verse}\nend two"), (3, f"A word\n{edges}\nto three"), (4, f"Word\n{edges}\nto four"), (5, "a b c\nd e f"), (6, "a b c\nd e f")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in Q.op6_spans(spark, str(tmp_path)).collect()}
+    assert got == {2: ("Then\nend two", 15), 4: ("Word\nto four", 5)}
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet' where doc_id < 400").fetchall()
+    ascii_rows = [(i, t) for i, t in rows if t.isascii()]
+    got = {r.doc_id: r.n_removed for r in spans.drop_repeated_spans(spark.createDataFrame(ascii_rows, "doc_id long, text string"), changed_only=True, grow=True).collect()}
+    assert got == brute_grown_spans(ascii_rows) and got != brute_spans(ascii_rows)
+
+
 # ---- 7
 
 

@@ -39,7 +39,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spans.drop_repeated_spans(docs, changed_only=True)
+    return spans.drop_repeated_spans(docs, changed_only=True, grow=True)
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

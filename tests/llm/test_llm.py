@@ -225,7 +225,69 @@ def test_held_out_labels(spark):
     kept = quality.resample(docs.select("doc_id", "text"), fit).select("doc_id").withColumn("kept", F.lit(True))
     rest = labels.where("doc_id % 2 = 1").join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)).cast("int"))
     rate = {(r.quality, r.toxic): r.rate for r in rest.groupBy("quality", "toxic").agg(F.avg("kept").alias("rate")).collect()}
-    assert rate[(1, 0)] > 0.97 and rate[(1, 1)] < 0.5
+    assert rate[(1, 0)] > 0.97 and rate[(1, 1)] < 0.4 and rate[(0, 0)] < 0.12 and rate[(0, 1)] < 0.12
+
+
+def test_the_sample_follows_the_weights(spark):
+    """A row of weight 1/e is drawn as often as e rows of weight 1; the same rows come again for the same seed."""
+    raw = np.frombuffer(b"rare", np.uint8)
+    gram = quality._grams(raw, np.array([0, 4]))[1]
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("text "), "id")).otherwise(F.concat(F.lit("Rare text "), "id")).alias("text"))
+    weighed = quality.weigh(docs, gram, np.array([-1.0]), carry=["doc_id"]).orderBy(F.desc("gumbel_key")).limit(800).collect()
+    odd = sum(r.doc_id % 2 for r in weighed)
+    assert all(r.log_weight == -(r.doc_id % 2) for r in weighed) and 0.8 < (800 - odd) / odd / np.e < 1.25
+    other = quality.weigh(docs, gram, np.array([-1.0]), carry=["doc_id"], seed=1).orderBy(F.desc("gumbel_key")).limit(800).collect()
+    assert {r.doc_id for r in other} != {r.doc_id for r in weighed}
+
+
+def brute_grams(text):
+    low = "".join(c.lower() if c < "\x80" else c for c in text)
+    tokens = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x09-\x0D\x20]+", low)
+    runs, at = set(), 0
+    while at < len(tokens):
+        end = at
+        while end < len(tokens) and tokens[end] == tokens[at]:
+            end += 1
+        if end - at >= 4:
+            runs.add(("run", min(3, (end - at).bit_length() - 1)))
+        at = end
+    return {(t,) for t in tokens} | set(zip(tokens, tokens[1:], strict=False)) | runs
+
+
+def test_weights_equal_brute_force(spark):
+    import duckdb
+
+    rows = duckdb.connect().execute("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    labels = duckdb.connect().execute("select doc_id, quality = 1 and toxic = 0 from '/root/testdata/sf0.01/labels.parquet'").fetchall()
+    good, grams = dict(labels), {i: brute_grams(clean(t)) for i, t in rows}
+    t, n, raw = defaultdict(int), defaultdict(int), defaultdict(int)
+    for i, own in grams.items():
+        for g in own:
+            raw[g] += 1
+            if i in good:
+                n[g] += 1
+                t[g] += good[i]
+    share = np.mean(list(good.values()))
+    weight = {}
+    for g in n:
+        z = (t[g] - n[g] * share) / np.sqrt(n[g] * share * (1 - share) + 0.5)
+        gate = z**4 / (z**4 + 6.0**4)
+        a = np.log((t[g] + share) / (n[g] + 1) / share)
+        b = np.log((t[g] + 1) / (raw[g] * sum(good.values()) / len(rows) + 1))
+        least = min(a, b, key=abs) if a * b > 0 else 0
+        shrink = lambda x, gate=gate: np.sign(x) * max(abs(x) - 1, 0) * gate
+        if abs(shrink(a)) > 0.02:
+            weight[g] = shrink(least)
+    want = {i: sum(weight.get(g, 0) for g in own) for i, own in grams.items()}
+    docs, table = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit(docs, table)
+    got = {r.doc_id: r.log_weight for r in quality.weigh(docs.select("doc_id", "text"), *model[:2], carry=["doc_id"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want) and min(want.values()) < -1
+    # The query keeps the k rows with the largest keys.
+    kept = Q.op4_quality(spark, "/root/testdata/sf0.01").collect()
+    k = max(round(share * len(rows)), int(sum(min(1, np.exp(w)) for w in want.values())))
+    keys = sorted((r.gumbel_key for r in quality.weigh(docs.select("doc_id", "text"), *model[:2], carry=["doc_id"]).collect()), reverse=True)
+    assert sorted((r.gumbel_key for r in kept), reverse=True) == keys[:k]
 
 
 # ---- 6

@@ -30,7 +30,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.resample(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key")
+    return quality.resample(docs, read_table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,10 +93,10 @@ def test_reparameterised_questions(spark):
     )
     items = spark.createDataFrame([(7, "Natalia sold 48 clips to her friends in April and then Natalia sold 24 clips in May for 5 kg, how many clips?"), (8, "the cat sat on the mat today"), (9, None), (10, "")], "item_id long, text string").withColumn("hash", F.lit(1))
     got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, items).collect()}
-    assert got == {(1, 7): "reparameterised"}
+    assert got == {(1, 7): "reparameterised", (5, 8): "verbatim"}
     low = docs.withColumn("text", F.lower("text"))
     assert (5, 8) in {(r.doc_id, r.item_id) for r in decontam.contaminated(low, items).collect()}
-    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [2, 3, 4, 5]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [2, 3, 4]
 
 
 def test_letter_case_and_line_breaks_hide_no_passage(spark):
@@ -111,6 +111,34 @@ def test_letter_case_and_line_breaks_hide_no_passage(spark):
     assert all(got[i][1] == 1 for i in range(6))
 
 
+def test_every_form_of_every_item_is_found(spark):
+    """Copies of all items in other letter case, wrapped anew, renumbered and renamed are found inside other texts; the other texts are clean."""
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()
+    rng = random.Random(4)
+    asked = [(1000 + i, t) for i, t in enumerate([
+        "A farmer named Peter has 12 cows and buys 30 more for 450 dollars each. How many cows does Peter own after he sells 7 of them?",
+        "In the town of Salem a train leaves at 9 and drives 60 miles to Dover. At which hour does it reach Dover if it rests for 15 minutes on the way?",
+        "each box holds 24 jars and a van can carry 18 boxes, so how many jars does Maria bring to the market with two vans?",
+    ])]
+    items = [(r.item_id, r.text) for r in benchmark] + asked
+    names = {"Peter": "Zo", "Salem": "Quill", "Dover": "Harrow", "Maria": "Ines"}
+    other = lambda t: re.sub(r"[A-Z][a-z]+", lambda m: names.get(m[0], m[0]), re.sub(r"\d+", lambda m: str(int(m[0]) * 7 + 1001), t))
+    wrap = lambda t: "".join("\n" if c == " " and rng.random() < 0.3 else c for c in t)
+    forms = {"lower": str.lower, "upper": lambda t: t.replace("ß", "SS") if "ß" in t else t.upper(), "title": str.title, "wrapped": wrap, "exchanged": other, "exchanged upper": lambda t: other(t).upper()}
+    filler = "quite another sentence that stands around it, written for this test only"
+    rows, want = [], {}
+    for i, t in items:
+        for form in forms.values():
+            want[len(rows)] = i
+            rows.append((len(rows), f"{filler} {form(t)} {filler}"))
+    rows.append((len(rows), filler))
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == set(want.items())
+    changed = {i for i, (d, t) in enumerate(rows[:-1]) if i % 6 > 3 and want[i] >= 1000}
+    plain = {i for i, t in items if "ß" not in t}  # in capitals it is two other letters
+    assert {r.doc_id for r in found if r.kind == "reparameterised" and r.item_id in plain} == changed
+
+
 def test_one_conflicting_slot_leaves_what_is_as_written(spark):
     item = "Anna gave Paul a red box with " + " ".join(f"word{c}" for c in "abcdefghijklmnopq") + " and then Anna took it back"
     docs = spark.createDataFrame([(1, item.replace("then Anna", "then Carol"))], "doc_id long, text string")

@@ -4,8 +4,11 @@ Numbers, names and units become typed placeholders. Every window of `width` toke
 item is hashed in that form and joined to the same windows of all documents, so a question whose
 numbers or names were exchanged still meets its original. The slots of aligned windows must then
 agree: within one alignment each value of the item stands for one value of the document and the
-other way round. Windows of full width are hashed in lower case as they are written, too: what letter
-case, line breaks or exchanged slots elsewhere do to placeholders does not hide them.
+other way round. Windows of full width are hashed in lower case as they are written, too.
+
+A name is told by content, not by a document's letter case: the words that some item writes in lower
+case are the benchmark's vocabulary, and every other word, of an item or of a document, may stand for a
+name. So a copy in capitals, in title case or wrapped anew gives the windows of the original.
 """
 
 from __future__ import annotations
@@ -17,21 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty, utf8_slices
+from .common import checkpointed, free_name, text_or_empty, utf8_slices
 from .wordhash import mix, runs, words
 
-# Words that count as numbers, units after a number, given names at a sentence's start.
+# Words that count as numbers, units after a number.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split()
 UNITS = "mm cm m km meter meters metre metres kilometer kilometers inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph watt watts volt volts joule joules".split()
-GIVEN_NAMES = "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen daniel lisa matthew nancy anthony betty mark sandra paul ashley steven emily andrew donna george michelle peter carol anna tom alice bob carlos maria jane jack emma olivia noah liam sophia mia ben sam natalia weng betty julie mark".split()
 
 _NUMBER, _NAME, _UNIT = (mix(np.array([x], np.uint64))[0] for x in (0x4E554D, 0x4E414D45, 0x554E4954))
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
-_STOP = np.zeros(256, np.int64)
-_STOP[[33, 46, 63]] = 1  # no newline: a text that is wrapped anew keeps its names
 
 
 def _hashes_of(listed: list[str]) -> np.ndarray:
@@ -39,11 +39,17 @@ def _hashes_of(listed: list[str]) -> np.ndarray:
     return np.unique(words(raw, np.array([0, len(raw)]), _SEPARATOR)[0])
 
 
-_NUMBER_HASHES, _UNIT_HASHES, _NAME_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS), _hashes_of(GIVEN_NAMES)
+_NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS)
+
+
+_VOCABULARY_BITS = 24
+
 
+def _tokens(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(code, literal hash, is a slot, first byte, end byte, row) of every token: runs of letters and digits, numbers with . or , inside as one.
 
-def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(code, literal hash, is a slot, first byte, end byte, row) of every token: runs of letters and digits, numbers with . or , inside as one."""
+    vocabulary has a flag for each value of the first 24 bits of a word's hash.
+    """
     h, starts, ends, rows = words(raw, offsets, _SEPARATOR)
     if not len(h):
         return h, h, np.empty(0, bool), starts, ends, rows
@@ -59,23 +65,19 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
         whole = sums[last + 1] - sums[head]
         h, starts, ends, rows, number = np.where(last > head, mix(whole), h[head]), starts[head], ends[last], rows[head], number[head]
-    stops = np.concatenate(([0], np.cumsum(_STOP[raw])))
-    first = raw[starts]
-    capital = (first >= 65) & (first <= 90)
-    inside = np.zeros(len(h), bool)
-    inside[1:] = (rows[1:] == rows[:-1]) & (stops[starts[1:]] == stops[ends[:-1]])
-    name = ~number & capital & (inside | np.isin(h, _NAME_HASHES))
+    name = ~number & ~vocabulary[h >> np.uint64(64 - _VOCABULARY_BITS)]
     unit = np.zeros(len(h), bool)
     unit[1:] = number[:-1] & (rows[1:] == rows[:-1]) & np.isin(h[1:], _UNIT_HASHES)
-    unit &= ~number & ~name
-    code = np.where(number, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, h)))
+    unit &= ~number
+    name &= ~unit
+    code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
     return code, h, number | name | unit, starts, ends, rows
 
 
 def _windows(code: np.ndarray, literal: np.ndarray, slot: np.ndarray, rows: np.ndarray, n_rows: int, width: int, full: int) -> tuple[np.ndarray, ...]:
     """(hash, row, first token, length, as it is written) of every window.
 
-    A window that is slots by more than half is hashed as it is written only; other windows of `full`
+    A window in which more than three tokens in eight are slots is hashed as it is written only; other windows of `full`
     tokens come once with placeholders and, at the end, once as they are written.
     """
     by_code, owner, at = runs(code, rows, n_rows, width)
@@ -85,7 +87,7 @@ def _windows(code: np.ndarray, literal: np.ndarray, slot: np.ndarray, rows: np.n
     slots = np.concatenate(([0], np.cumsum(slot)))
     held = slots[at + length] - slots[at] if len(at) else at
     plain = mix(by_word + np.uint64(1))
-    written = 2 * held > length
+    written = 8 * held > 3 * length
     both = np.flatnonzero(~written & (length == full))
     h = np.concatenate((np.where(written, plain, by_code), plain[both]))
     every = np.concatenate((np.arange(len(at)), both))
@@ -99,14 +101,45 @@ def _slot_texts(raw: np.ndarray, slot: np.ndarray, starts: np.ndarray, ends: np.
 _BITS = 26  # of the filter that documents' windows pass before the join: 8 MB, whatever the benchmark's size
 
 
-def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(hash, item_id, item_at, n_windows, n_tokens, slots, written) of every window of every item."""
+def _words_in_lower_case(items: DataFrame) -> DataFrame:
+    """(word) 64-bit hashes, each once, of the words that some item writes without capitals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, offsets in utf8_slices(batch.column("_text")):
+                low, low_offsets = next((x[2], x[3]) for x in utf8_slices(batch.column("_low").slice(a, b - a), 1 << 62))
+                h, starts, ends, rows = words(raw, offsets, _SEPARATOR, lower=False)
+                g, _, _, low_rows = words(low, low_offsets, _SEPARATOR, lower=False)
+                # Lower case may be longer in bytes but has the same words in the same order.
+                if len(h) == len(g) and (rows == low_rows).all():
+                    h = h[h == g]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["word"])
+
+    return items.select(text_or_empty().alias("_text"), F.lower(text_or_empty()).alias("_low")).mapInArrow(run, "word long").distinct()
+
+
+def _flags(hashes: DataFrame, column: str, bits: int):
+    """A broadcast table of one bit for each value of the first `bits` bits of the hashes; at most 2**(bits - 6) rows reach the driver."""
+    x = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("x")).select(F.shiftright("x", 6).alias("word"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    rows = x.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def _unpacked(table: np.ndarray) -> np.ndarray:
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
+def item_windows(items: DataFrame, width: int, vocabulary) -> DataFrame:
+    """(hash, item_id, item_at, n_windows, n_tokens, slots, written) of every window of every item; vocabulary is a broadcast table of _flags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _unpacked(vocabulary.value)
         for batch in batches:
             ids = batch.column("item_id").to_pylist()
             for a, b, raw, offsets in utf8_slices(batch.column("_text")):
-                code, literal, slot, starts, ends, rows = _tokens(raw, offsets)
+                code, literal, slot, starts, ends, rows = _tokens(raw, offsets, known)
                 h, owner, at, length, written = _windows(code, literal, slot, rows, b - a, width, width)
                 firsts = np.searchsorted(rows, np.arange(b - a))
                 tokens = np.bincount(rows, minlength=b - a)
@@ -119,7 +152,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
                     names=["hash", "item_id", "item_at", "n_windows", "n_tokens", "slots", "written"],
                 )
 
-    taken = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("_text"))
+    taken = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(text_or_empty()).alias("_text"))
     return taken.mapInArrow(run, "hash long, item_id long, item_at long, n_windows long, n_tokens long, slots array<string>, written boolean")
 
 
@@ -130,26 +163,23 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
     which tells rows apart that repeat a doc_id. coverage is the share of the item's windows
     found, min_coverage at least. kind is verbatim if every slot keeps its value, else
     reparameterised. An item shorter than `width` is one window of its own length, looked for in all
-    texts if it has min_words words or more and otherwise as a whole text only. Nulls and texts
+    texts if it has min_words words or more and otherwise as a whole text only. A window in which more
+    than three tokens in eight are numbers, names or units is looked for as it is written only, so an item of
+    such windows has no re-parameterised copies. Nulls and texts
     without words match nothing; rows that repeat both doc_id and text give one row an item; empty
     tables give no rows; items with equal texts each give their rows. Texts are taken whole.
     """
-    spark = docs.sparkSession
-    known = checkpointed(item_windows(items, width))
+    vocabulary = _flags(_words_in_lower_case(items), "word", _VOCABULARY_BITS)
+    known = checkpointed(item_windows(items, width, vocabulary))
     short = sorted(r[0] for r in known.where(F.col("n_tokens").between(min_words, width - 1)).select("n_tokens").distinct().collect())
-    # One bit for each value of the first 26 bits of a window's hash; at most 2**20 rows of 64 bits.
-    bits = known.select(F.shiftrightunsigned("hash", 64 - _BITS).alias("x")).select(F.shiftright("x", 6).alias("word"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    shared = spark.sparkContext.broadcast({r["word"]: r["bits"] for r in bits})
+    shared = _flags(known, "hash", _BITS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << (_BITS - 6), np.int64)
-        if shared.value:
-            table[list(shared.value)] = list(shared.value.values())
-        flags = np.unpackbits(table.view(np.uint8), bitorder="little")
+        flags, common = _unpacked(shared.value), _unpacked(vocabulary.value)
         for batch in batches:
             ids, bodies = batch.column("doc_id"), batch.column("body")
             for a, b, raw, offsets in utf8_slices(batch.column("_text")):
-                code, literal, slot, starts, ends, rows = _tokens(raw, offsets)
+                code, literal, slot, starts, ends, rows = _tokens(raw, offsets, common)
                 firsts = np.searchsorted(rows, np.arange(b - a))
                 for size in (width, *short):
                     h, owner, at, length, _ = _windows(code, literal, slot, rows, b - a, size, width)
@@ -166,7 +196,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
                             names=["doc_id", "body", "hash", "doc_at", "doc_slots"],
                         )
 
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), text_or_empty().alias("_text"))
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.lower(text_or_empty()).alias("_text"))
     found = taken.mapInArrow(scan, "doc_id long, body long, hash long, doc_at long, doc_slots array<string>")
     # A window that meets as it is written has the item's values in its slots, however many the document's letter case gives it.
     pairs = F.when(F.col("written"), F.transform("slots", lambda a: F.struct(a.alias("theirs"), a.alias("ours")))).otherwise(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))))
@@ -185,7 +215,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """docs without the rows that contaminated() finds. Up to broadcast_rows found rows (16 bytes each) are broadcast, more are joined by shuffle."""
-    bad = checkpointed(contaminated(docs, items, **options).select(F.col("doc_id").alias("_bad_id"), F.col("body").alias("_bad_body")).distinct())
+    names = free_name(docs, "_bad_id"), free_name(docs, "_bad_body")
+    bad = checkpointed(contaminated(docs, items, **options).select(F.col("doc_id").alias(names[0]), F.col("body").alias(names[1])).distinct())
     few = bad.count() <= broadcast_rows
-    left = docs.withColumn("_body", F.xxhash64("text"))
-    return left.join(F.broadcast(bad) if few else bad, (F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id"))) & (F.col("_body") == F.col("_bad_body")), "left_anti").drop("_body")
+    body = free_name(docs, "_body")
+    left = docs.withColumn(body, F.xxhash64("text"))
+    return left.join(F.broadcast(bad) if few else bad, (F.col("doc_id").cast("long").eqNullSafe(F.col(names[0]))) & (F.col(body) == F.col(names[1])), "left_anti").drop(body)

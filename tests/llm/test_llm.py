@@ -26,7 +26,7 @@ ODD = [(1, "A b c d e f g h. I j k l m n o p."), (1, "A b c d e f g h. I j k l m
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and other columns whose names operators use."""
     df = spark.createDataFrame(ODD, "doc_id long, text string")
-    for c in ("size", "before", "shard", "n_tokens", "content", "body", "_text", "line", "node", "log_weight", "n_lines", "removed", "label", "list", "hash", "slots"):
+    for c in ("size", "before", "shard", "n_tokens", "content", "body", "_text", "line", "node", "log_weight", "n_lines", "removed", "label", "list", "hash", "slots", "_id", "_body", "_cut", "_cuts", "_key", "_key_id", "_key_null", "_key_body", "_bad_id", "_bad_body", "_pid", "_draw", "key", "row_before"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -509,6 +509,17 @@ def test_recurring_templates_go(spark):
     assert got[50] == (rows[11][1], 2, 0) and got[51] == (None, 0, 0) and got[52] == ("", 0, 0)
 
 
+def test_an_unlike_line_undoes_no_template(spark):
+    """A leaf holds several templates and lines that fit none."""
+    pets, towns = ["cats", "dogs", "cows", "hens", "bees", "bats", "rats", "owls", "elks", "yaks", "gnus", "pigs"], ["Rome", "Oslo", "Bern", "Kiel", "Linz", "Graz", "Pisa", "Nice", "Lyon", "Metz", "Gent", "Cork"]
+    rows = [(i, f"read more stories about {w} in our big daily archive") for i, w in enumerate(pets)]
+    rows += [(100 + i, f"read more stories from people who have seen {w} once") for i, w in enumerate(towns)]
+    rows += [(200, "read more stories while every other word differs from those"), (201, "read more stories about cats from some quite different paper")]
+    for part in (rows[:12], rows[:12] + rows[-2:-1], rows):
+        got = {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(spark.createDataFrame(part, "doc_id long, text string")).collect()}
+        assert {i for i, n in got.items() if n} == {i for i, _ in part} - {0, 100, 200, 201}
+
+
 def test_lines_on_odd_rows(odd, none):
     got = lines.drop_recurring_lines(odd, min_docs=2).collect()
     assert len(got) == len(ODD) and {r.text for r in got if r.doc_id == 2} == {None}

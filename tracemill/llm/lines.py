@@ -1,10 +1,13 @@
 """Line deduplication with a fixed-depth template tree, in DataFrame functions only.
 
 A line is parsed by its number of tokens, then by its leading tokens, to a leaf. Tokens that hold a
-digit are variable fields and read as <*>. In a leaf that many documents reach, the positions at
-which lines differ are variable fields too, if the constant positions make up at least `similarity`
-of the line; the leaf is then one template. Otherwise each masked line stays a template of its own.
-A template that recurs in min_docs documents or more is dropped from all of them but the first.
+digit are variable fields and read as <*>. A leaf holds any number of templates: in a leaf that many
+lines reach, each line keeps the tokens after the leading ones that most lines of the leaf have at
+the same place, as many as `similarity` of the line calls for, and the rest are variable fields. If
+each token kept is that of min_docs lines or more, these tokens are the line's template; otherwise the
+masked line is a template of its own, as it is in any other leaf. Lines of another kind in the same leaf
+change nothing about that. A template that recurs in min_docs documents or more is dropped from all of
+them but the first.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, free_name, text_or_empty
 
 FIELD = "<*>"
 
@@ -40,12 +43,18 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return lines.withColumns({"template": F.xxhash64("line"), "leaf": F.xxhash64(_n_tokens(F.col("line")), F.substring_index("line", " ", depth))})
 
 
-def _cohesive(lines: DataFrame, crowded: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
-    """(leaf) of the crowded leaves whose lines agree at `similarity` of their positions."""
+def _templates(lines: DataFrame, crowded: DataFrame, min_docs: int, depth: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """(leaf, template, key) of the masked lines of crowded leaves that have a template with variable fields; key is the template's hash."""
     few = crowded.count() <= broadcast_rows  # 8 bytes a row
-    tokens = lines.join(F.broadcast(crowded) if few else crowded, "leaf").select("leaf", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
-    positions = tokens.withColumn("token", F.xxhash64("token")).groupBy("leaf", "at").agg((F.min("token") == F.max("token")).alias("constant"))
-    return positions.groupBy("leaf").agg(F.avg(F.col("constant").cast("int")).alias("share")).where(F.col("share") >= similarity).select("leaf")
+    own = lines.join(F.broadcast(crowded) if few else crowded, "leaf")
+    # From here on a masked line counts once, with the number of its occurrences.
+    distinct = checkpointed(own.groupBy("leaf", "template").agg(F.min("line").alias("line"), F.count("*").alias("n")).withColumn("tokens", F.split("line", " ", -1)).where(F.size("tokens") > depth).drop("line"))
+    kept = F.greatest(F.lit(1), F.floor((F.size("tokens") * percent + 99) / 100).cast("int") - depth)
+    tokens = distinct.select("leaf", "template", "n", kept.alias("kept"), F.posexplode(F.slice("tokens", F.lit(depth + 1), F.size("tokens"))).alias("at", "token")).withColumn("token", F.xxhash64("token"))
+    # Stored, so that the join deals out both sides anew and can split a token that many lines have.
+    often = checkpointed(tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs))
+    held = tokens.join(often, ["leaf", "at", "token"]).groupBy("leaf", "template", "kept").agg(F.sort_array(F.collect_list(F.struct((-F.col("support")).alias("s"), "at", "token"))).alias("held")).where(F.size("held") >= F.col("kept"))
+    return held.select("leaf", "template", F.xxhash64("leaf", F.array_sort(F.transform(F.slice("held", F.lit(1), F.col("kept")), lambda x: F.xxhash64(x["at"], x["token"])))).alias("key"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.7, broadcast_rows: int = 500_000) -> DataFrame:
@@ -56,8 +65,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, si
     texts stay null with 0 lines, empty texts stay empty; rows that repeat a doc_id with another
     text are documents of their own, and rows that repeat both count as one and are treated alike;
     an empty table gives no rows. Other columns are kept; n_lines and n_dropped replace columns of
-    that name. Texts and lines may be of any length. Of crowded leaves up to broadcast_rows are
-    broadcast, more are joined by shuffle.
+    that name. Texts and lines may be of any length. Of leaves of min_docs lines or more up to
+    broadcast_rows are broadcast, more are joined by shuffle.
     """
     docs = docs.drop("n_lines", "n_dropped")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), text_or_empty().alias("_text"))
@@ -67,24 +76,25 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, si
     crowded = checkpointed(
         once.groupBy("leaf").agg(F.count("*").alias("n"), F.min("template").alias("lo"), F.max("template").alias("hi")).where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi"))).select("leaf")
     )
-    merged = _cohesive(lines, crowded, similarity, broadcast_rows).withColumn("merged", F.lit(True))
-    keyed = checkpointed(once.join(merged, "leaf", "left").select("doc_id", "body", F.when(F.col("merged"), F.col("leaf")).otherwise(F.col("template")).alias("key"), "places"))
+    merged = checkpointed(_templates(lines, crowded, min_docs, depth, round(100 * similarity), broadcast_rows))
+    keyed = checkpointed(once.join(merged, ["leaf", "template"], "left").select("doc_id", "body", F.coalesce("key", "template").alias("key"), "places"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")
     recurring = keyed.groupBy("key", "doc_id", "body").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first")).where(F.col("n") >= min_docs)
     # Stored, so that the join deals out both sides anew and can split a template that many documents hold.
     recurring = checkpointed(recurring.select("key", "first"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body")))
     cut = keyed.join(recurring, "key").where(later).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("places")).alias("cut"))
-    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_body": F.xxhash64("text")})
+    names = [free_name(docs, c) for c in ("_key_id", "_key_null", "_key_body", "_cut")]
+    gone = names[3]
     # A null doc_id joins under a number that stands beside a flag.
-    plain = lambda c: [F.coalesce(c, F.lit(0).cast("long")).alias("_key_id"), c.isNull().alias("_key_null")]
-    left = named.select("*", *plain(F.col("_id"))).withColumnRenamed("_body", "_key_body")
-    right = cut.select(*plain(F.col("doc_id")), F.col("body").alias("_key_body"), F.col("cut").alias("_cut"))
-    joined = left.join(right, ["_key_id", "_key_null", "_key_body"], "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col("_cut"), F.array().cast("array<int>")), i))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    plain = lambda c: [F.coalesce(c, F.lit(0).cast("long")).alias(names[0]), c.isNull().alias(names[1])]
+    left = docs.select("*", *plain(F.col("doc_id").cast("long")), F.xxhash64("text").alias(names[2]))
+    right = cut.select(*plain(F.col("doc_id")), F.col("body").alias(names[2]), F.col("cut").alias(gone))
+    joined = left.join(right, names[:3], "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col(gone), F.array().cast("array<int>")), i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("long")
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 #: The same in DuckDB: min_docs 10, depth 3, similarity 0.7.
@@ -96,9 +106,12 @@ masked as (select distinct doc_id, body, place, regexp_replace(line, '[^ ]*[0-9]
 lines as (select *, len(string_split(line, ' ')) || ':' || array_to_string(string_split(line, ' ')[1:3], ' ') as leaf from masked),
 once as (select distinct doc_id, body, leaf, line from lines),
 crowded as (select leaf from once group by leaf having count(*) >= 10 and count(distinct line) > 1),
-tokens as (select leaf, unnest(string_split(line, ' ')) as token, unnest(range(len(string_split(line, ' ')))) as spot from (select distinct leaf, line from once) semi join crowded using (leaf)),
-cohesive as (select leaf from (select leaf, spot, count(distinct token) as n from tokens group by leaf, spot) group by leaf having avg(case when n = 1 then 1 else 0 end) >= 0.7),
-keyed as (select doc_id, body, place, case when c.leaf is null then 'line ' || line else 'leaf ' || lines.leaf end as key from lines left join cohesive c on c.leaf = lines.leaf),
+occurring as (select leaf, line, count(*) as n from lines semi join crowded using (leaf) group by leaf, line),
+tokens as (select leaf, line, n, greatest(1, (len(string_split(line, ' ')) * 70 + 99) // 100 - 3) as kept, unnest(string_split(line, ' ')) as token, unnest(range(len(string_split(line, ' ')))) as spot from occurring),
+often as (select leaf, spot, token, sum(n) as support from tokens where spot >= 3 group by leaf, spot, token having sum(n) >= 10),
+ranked as (select leaf, line, kept, spot, token, row_number() over (partition by leaf, line order by support desc, spot) as r from tokens join often using (leaf, spot, token)),
+merged as (select leaf, line, string_agg(spot || ':' || token, ' ' order by spot) as template from ranked where r <= kept group by leaf, line, kept having count(*) = kept),
+keyed as (select doc_id, body, place, case when m.leaf is null then 'line ' || lines.line else 'leaf ' || lines.leaf || ' ' || m.template end as key from lines left join merged m on m.leaf = lines.leaf and m.line = lines.line),
 recurring as (select key, min(doc_id) as first_id from keyed group by key having count(distinct struct_pack(d := doc_id, b := body)) >= 10),
 cut as (select keyed.doc_id, body, list(place) as places from keyed join recurring using (key) where doc_id <> first_id group by keyed.doc_id, body)
 select base.doc_id,

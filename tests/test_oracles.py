@@ -47,5 +47,5 @@ def test_entry(spark):
     import __spark_entry__
 
     rows = __spark_entry__.entry(spark)
-    total = duckdb.sql(f"select sum(length('<assistant>' || chr(10) || text || chr(10) || '</assistant>' || chr(10))) from '{SF}/conversations.parquet' where role = 'assistant' and text <> ''").fetchone()[0]
+    total = duckdb.connect().execute(f"select sum(length('<assistant>' || chr(10) || text || chr(10) || '</assistant>' || chr(10))) from '{SF}/conversations.parquet' where role = 'assistant' and text <> ''").fetchall()[0][0]
     assert rows.agg({"trainable_chars": "sum"}).first()[0] == total

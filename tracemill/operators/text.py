@@ -11,28 +11,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What is scrubbed, in order, with what it becomes.
+# What is scrubbed, in order: name, pattern, what it becomes.
 SCRUB_PATTERNS = [
-    ("private_key", r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----[^-]*-----END (RSA |EC |OPENSSH )?PRIVATE KEY-----", "<redacted-private-key>"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<redacted-email>"),
-    ("home_path", r"(/home/|/Users/)[A-Za-z0-9._-]+", "<redacted-home>"),
-    ("bearer", r"[Bb]earer[ \t]+[A-Za-z0-9._~+/=-]+", "Bearer <redacted>"),
-    ("assignment", r"(authorization|api_key|access_token|secret_key|password)[ \t]*[:=][ \t]*[^\s,;]+", "<redacted-assignment>"),
+    ("private_key", r"(?s)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----.*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", "<redacted-private-key>"),
+    ("email", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "<redacted-email>"),
+    ("absolute_user_path", r"(?:/home/|/Users/)[A-Za-z0-9._-]+", r"\$HOME"),
+    ("bearer_token", r"(?i)\bBearer[ \t]+(?!<redacted>)[A-Za-z0-9._~+/\-=]+", "Bearer <redacted>"),
+    ("credential_assignment", r"(?i)\b(authorization|api[_-]?key|access[_-]?token|secret[_-]?key)[ \t]*[:=][ \t]*(?!<redacted>)[^\s,;]+", "$1=<redacted>"),
 ]
+# Risks by what a text holds and by its artifact's class.
+RISK_PATTERNS = [
+    ("potential_authorization_material", r"(?i)(authorization|api[_-]?key|access[_-]?token|secret[_-]?key|bearer[ \t]+[A-Za-z0-9])"),
+    ("private_key_material", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    ("personal_email", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
+    ("absolute_user_path", r"(?:/home/|/Users/)[A-Za-z0-9._-]+/"),
+]
+CLASS_RISKS = {
+    "raw_provider_payload": "raw_provider_content",
+    "trace": "raw_trace_content",
+    "event_log": "raw_trace_content",
+    "workspace_snapshot": "workspace_snapshot_content",
+    "compiled_artifact": "compiled_or_binary_content",
+    "log": "log_content",
+}
 
 
 #: Workers import this module without a session, so types are not written as DDL here.
 _REPETITION = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("repeated", T.BooleanType())])
 
 
-#: Substrings of which a text must hold one for the pattern to match; without them it is not searched.
-_SCRUB_SIGNS = {"private_key": ("PRIVATE KEY",), "email": ("@",), "home_path": ("/home/", "/Users/"), "bearer": ("earer",), "assignment": ("authorization", "api_key", "access_token", "secret_key", "password")}
+_CREDENTIALS = ("authorization", *(a + between + b for a, b in (("api", "key"), ("access", "token"), ("secret", "key")) for between in ("", "_", "-")))
+#: Substrings in lower case of which a text must hold one for the pattern to match; without them it is not searched.
+_SIGNS = {
+    "private_key": ("private key",), "email": ("@",), "absolute_user_path": ("/home/", "/users/"), "bearer_token": ("bearer",), "credential_assignment": _CREDENTIALS,
+    "potential_authorization_material": (*_CREDENTIALS, "bearer"), "private_key_material": ("private key",), "personal_email": ("@",),
+}
 
 
 def _may_hold(text: Column, name: str) -> Column:
-    out = F.lit(False)
-    for sign in _SCRUB_SIGNS[name]:
-        out |= F.contains(text, F.lit(sign))
+    low, out = F.lower(text), F.lit(False)
+    for sign in _SIGNS[name]:
+        out |= F.contains(low, F.lit(sign))
     return out
 
 
@@ -61,9 +80,10 @@ def scrubbed(text: Column) -> tuple[Column, list[tuple[str, Column]]]:
     return text, counts
 
 
-def risk_labels(text: Column, size: Column) -> Column:
-    """Sorted names of the risks that the text shows."""
-    rules = [(name, _may_hold(text, name) & text.rlike(pattern)) for name, pattern, _ in SCRUB_PATTERNS] + [("large", size > 20_000)]
+def risk_labels(text: Column, artifact_class: Column) -> Column:
+    """Sorted names of the risks that a text and its artifact's class show."""
+    rules = [(name, _may_hold(text, name) & text.rlike(pattern)) for name, pattern in RISK_PATTERNS]
+    rules += [(risk, artifact_class.isin(*(c for c, r in CLASS_RISKS.items() if r == risk))) for risk in sorted(set(CLASS_RISKS.values()))]
     return F.sort_array(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules))))
 
 

@@ -164,24 +164,51 @@ def op_x15_treedigest(spark, sf_dir):
     return rows.groupBy("source").agg(X.tree_digest("p", "n_chars", "h", "\x01").alias("digest"))
 
 
+#: Documents with a secret of each kind planted in every fifth one, in forms that differ in case, spelling and layout.
+SECRETS = [
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F-1E\n\nMIIB-x+/=\n-----END RSA PRIVATE KEY-----",
+    "Authorization: Basic dXNlcjpwYXNz; API-Key: k-123, apikey=zz9",
+    "BEARER abc.def-ghi and bearer x~y",
+    "write to Some.One+tag@Mail.Example.ORG or look in /Users/some.one/notes",
+    "Secret_Key = s3 and ACCESS-TOKEN:t0k",
+]
+PLANTED = "(select doc_id, lang, text || chr(10) || case doc_id % 5 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(SECRETS)) + " end as text from documents)"
+
+
+def _planted(spark, sf_dir):
+    kinds = F.lit(None).cast("string")
+    for i, s in enumerate(SECRETS):
+        kinds = F.when(F.col("doc_id") % 5 == i, F.lit(s)).otherwise(kinds)
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("text", F.lit("\n"), kinds).alias("text"))
+
+
+def _re2(pattern: str) -> str:
+    """The pattern without its look-ahead, which RE2 lacks; the documents hold no placeholders, so nothing is different."""
+    return pattern.replace("(?!<redacted>)", "")
+
+
 def _scrub_sql() -> str:
     text, parts = "text", []
     for name, pattern, new in X.SCRUB_PATTERNS:
-        parts.append((name, text, pattern))
-        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+        parts.append((name, text, _re2(pattern)))
+        new = new.replace("$1", "\\1").replace("\\$", "$")
+        text = f"regexp_replace({text}, '{_re2(pattern)}', '{new}', 'g')"
     counts = ", ".join(f"cast(len(regexp_extract_all({t}, '{p}')) as bigint) as {n}" for n, t, p in parts)
-    return f"select doc_id, {text} as scrubbed, {counts} from documents"
+    return f"select doc_id, {text} as scrubbed, {counts} from {PLANTED}"
 
 
 @query(_scrub_sql())
 def op_x16_scrub(spark, sf_dir):
     text, counts = X.scrubbed(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("scrubbed"), *(c.alias(n) for n, c in counts))
+    return _planted(spark, sf_dir).select("doc_id", text.alias("scrubbed"), *(c.alias(n) for n, c in counts))
+
+
+ARTIFACT_CLASS = "case lang when 'en' then 'trace' when 'de' then 'log' when 'fr' then 'raw_provider_payload' else 'report' end"
 
 
-@query("select doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p, _ in X.SCRUB_PATTERNS) + ", case when n_chars > 20000 then 'large' end], lambda x: x is not null)), ',') as risks from documents")
+@query("select doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in X.RISK_PATTERNS) + ", " + ", ".join(f"case when {ARTIFACT_CLASS} = '{c}' then '{r}' end" for c, r in X.CLASS_RISKS.items()) + f"], lambda x: x is not null)), ',') as risks from {PLANTED}")
 def op_x17_risk(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.risk_labels(F.col("text"), F.col("n_chars")), ",").alias("risks"))
+    return _planted(spark, sf_dir).select("doc_id", F.array_join(X.risk_labels(F.col("text"), F.expr(ARTIFACT_CLASS)), ",").alias("risks"))
 
 
 @query("select page_id, case when url like '%casino%' then 'spam' when url like '%//blog.%' then 'blog' when regexp_matches(url, '\\?.*utm_') then 'tracked' when url like 'https:%' then 'secure' else 'plain' end as class from pages")
@@ -220,13 +247,13 @@ def op_x03_reward(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(X.call_reward(F.col("event_type") == "click", F.col("value") > 50), 9).alias("reward"))
 
 
-@query("""select event_id, error, name from (select event_id, case event_id % 5 when 0 then null when 1 then 'no_block' when 2 then 'not_closed' when 3 then 'missing_name' else 'invalid_json' end as error, case event_id % 5 when 0 then event_type when 2 then event_type end as name from events)""")
+@query("""select event_id, error, name from (select event_id, case event_id % 5 when 0 then null when 1 then 'no_block' when 2 then 'not_closed' when 3 then 'missing_name' else 'invalid_json' end as error, case event_id % 5 when 0 then event_type when 2 then event_type when 3 then '' end as name from events)""")
 def op_x01_parse(spark, sf_dir):
     body = F.concat(F.lit('{"name": "'), F.when(F.col("event_id") % 5 == 3, "").otherwise(F.col("event_type")), F.lit('", "arguments": '), "props", F.lit("}"))
     kind = F.col("event_id") % 5
     text = F.when(kind == 1, "plain text").when(kind == 2, F.concat(F.lit("<|tool|>\n"), body)).when(kind == 4, "<|tool|>\n{broken\n<|end|>").otherwise(F.concat(F.lit("so: <|tool|>\n"), body, F.lit("\n<|end|>\n")))
     call = table(spark, sf_dir, "events").select("event_id", X.tool_call_block(text).alias("c"))
-    return call.select("event_id", "c.error", F.when((F.col("event_id") % 5 == 3) | F.col("c.name").isNull(), None).otherwise(F.col("c.name")).alias("name"))
+    return call.select("event_id", "c.error", "c.name")
 
 
 @query()

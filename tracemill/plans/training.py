@@ -171,7 +171,8 @@ def op_a16_response(spark, sf_dir):
     return mask.where(first > 0).select("conv_id", (F.size("mask") - first + 1).cast("long").alias("response_rows"))
 
 
-@query("select l_orderkey, l_linenumber, cast(floor((row_number() over (partition by l_orderkey order by l_linenumber) - 1) / 3) as bigint) as batch, cast(count(*) over (partition by l_orderkey, floor((rn - 1) / 3)) as bigint) as batch_size from (select *, row_number() over (partition by l_orderkey order by l_linenumber) as rn from lineitem)")
+@query("""select l_orderkey, l_linenumber, batch, count(*) over (partition by l_orderkey, batch) as batch_size from (
+select l_orderkey, l_linenumber, cast(floor((row_number() over (partition by l_orderkey order by l_linenumber) - 1) / 3) as bigint) as batch from lineitem)""")
 def op_o05_batches(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").withColumn("batch", F.floor((F.row_number().over(w) - 1) / 3))

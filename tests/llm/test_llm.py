@@ -190,13 +190,44 @@ def test_cache_is_joined_and_appended(spark, odd, none, tmp_path):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_a_repeated_cache_row_counts_once(spark, tmp_path):
+    path, cache = Q.tokenizer_file("byte_bpe_50k.json"), str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "one text"), (2, "another text")], "doc_id long, text string")
+    first = sorted(tuple(r) for r in token_counts.token_counts(docs, path, cache).collect())
+    spark.read.parquet(cache).write.mode("append").parquet(cache)
+    assert sorted(tuple(r) for r in token_counts.token_counts(docs, path, cache).collect()) == first
+
+
+def test_a_text_on_which_the_library_differs_is_the_librarys(monkeypatch):
+    c = piece_codec.codec(Q.tokenizer_file("piece_bpe_32k.model"))
+    c.forget()
+    plain = c.merge
+    monkeypatch.setattr(c, "merge", lambda s: (5,) if s == "▁odd" else plain(s))
+    texts = ["an odd text", "a plain text", "odd", ""]
+    packed, decoded, own = c.round_trip(texts)
+    want = c.lib.encode(texts, add_bos=True, add_eos=True)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packed] == want and decoded == c.lib.decode(want) and own == [False, True, False, True]
+    c.forget()
+
+
+def test_models_of_another_kind_raise():
+    with open(Q.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    piece_codec.check_model(raw)
+    with pytest.raises(ValueError, match="merge type"):
+        piece_codec.check_model(raw + bytes([18, 2, 24, 1]))  # settings of the trainer with type 1
+    with pytest.raises(ValueError, match="normalises"):
+        piece_codec.check_model(raw + bytes([26, 2, 32, 1]))  # the normaliser removes spaces
+
+
 def test_agenda_equals_the_library():
     c = piece_codec.codec(Q.tokenizer_file("piece_bpe_32k.model"))
     texts = fuzz(4000)
     want = c.lib.encode(texts, add_bos=True, add_eos=True)
     got = [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)]
     assert got == want
-    assert [c.decode(x) for x in want] == c.lib.decode(want)
+    assert [c.decode(x) for x in want] == c.lib.decode(want) == c.round_trip(texts)[1]
+    assert all(c.round_trip(texts)[2])
 
 
 def test_forgotten_segments_are_learned_again(monkeypatch):

@@ -21,7 +21,8 @@ CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: Before a single space with a non-space on either side, no token goes on.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s\s|^\s|\s$|\x01")
-_MEMO_LIMIT = 800_000
+_MEMO_LIMIT = 600_000  # pieces
+_MEMO_CHARS = 48  # of a piece that is remembered for other batches; longer ones are encoded again
 _state: dict = {}
 
 
@@ -78,6 +79,9 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
             out.append(len(s["tok"].encode(t, add_special_tokens=False)))
         else:
             out.append(sum(map(memo.__getitem__, p)))
+    for piece in missing:
+        if len(piece) > _MEMO_CHARS:
+            del memo[piece]
     return out
 
 
@@ -106,7 +110,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     """key, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
 
     cache_path is a Parquet table of CACHE_SCHEMA that is read, appended to, and may not exist yet;
-    without one a new table in the shared folder is used. Nulls count as empty texts and have 0
+    without one a new table in the shared folder is used. Of rows that the cache repeats, as after two
+    writers at once, one counts. Nulls count as empty texts and have 0
     tokens; repeated rows and keys are kept; other columns are ignored; an empty table gives no rows
     and appends none.
     """
@@ -118,7 +123,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     contents = docs.select(F.unhex(F.sha2(body, 256)).alias("content"), body.alias("text"))
 
     def cached() -> DataFrame:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
     path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):

@@ -159,7 +159,7 @@ def _needed_probes(placed: DataFrame, asked: DataFrame, centers: np.ndarray, k:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, n_lists: int | None = None, n_probe: int | None = None, recall: float = 0.96, recall_queries: int = 100,
-    max_sample: int = 20_000, block_rows: int = 20_000, query_rows: int = 10_000, column_block: int = 16, epsilon: float = 2.1, seed: int = 7,
+    max_sample: int = 20_000, block_rows: int | None = None, query_rows: int = 10_000, column_block: int = 16, epsilon: float = 2.1, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest found for every query.
 
@@ -168,8 +168,8 @@ def nearest(
     hash of vec_id, and every row is placed in its list. n_probe is, if not given, the number of lists with
     which recall_queries queries reach `recall` against all rows. A query scans its nearest list first and
     then the others within the k-th distance found there. A list is read in blocks of about block_rows
-    rows and query_rows queries, each a task of its own, so a list that holds a third of all rows is
-    many tasks; queries travel to the blocks, and a row is repeated only once for query_rows queries. Ties go
+    rows (by default a 200th of all rows, from 256 to 20,000) and query_rows queries, each a group of its own, so a
+    list that holds a third of all rows is many tasks; queries travel to the blocks, and a row is repeated only once for query_rows queries. Ties go
     to the smaller vec_id; a query does not meet rows of its own vec_id. Rows that repeat vec_id
     and vector count once; rows that repeat a vec_id with another vector are candidates of their own, and
     as queries they share one answer, the k nearest to any of them. Vectors that are null, empty, zero, of
@@ -187,6 +187,8 @@ def nearest(
     asked = cast(queries).where(F.size("embedding") == dims)
     if n_lists is None:
         n_lists = min(1_024, max(1, round(usual["count"] ** 0.5)))
+    if block_rows is None:
+        block_rows = min(20_000, max(256, usual["count"] // 200))
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).toPandas()
     centers = _centroids(np.array(picked["embedding"].tolist(), np.float64), n_lists, seed)
     shared = spark.sparkContext.broadcast(centers)

@@ -3,7 +3,8 @@
 Block elements of a page form a tree. Each gets the trees' probability of belonging to the article
 from its tag, attribute tokens, depth, siblings and the density of text and links below it. The
 decoding takes the most probable labelling in which no node is kept under a dropped one, so ancestors
-and descendants cannot contradict each other.
+and descendants cannot contradict each other. Text that stands in no block but the page's body is a block of
+its own.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ SAME_CLOSES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",
 GOOD = ("article", "content", "post", "entry", "story", "main", "body", "text", "prose")
 BAD = ("nav", "menu", "foot", "head", "side", "ad", "ads", "advert", "advertisement", "banner", "comment", "share", "social", "promo", "sponsor", "cookie", "consent", "notice", "alert", "related", "recommend", "widget", "form", "login", "subscribe", "newsletter", "breadcrumb", "pagination", "modal", "popup", "tags", "toolbar", "reply", "discussion")
 BAD_GROUPS = (("nav", "menu", "breadcrumb", "pagination", "toolbar"), ("foot", "footer"), ("head", "header", "masthead"), ("side", "sidebar", "aside", "rail", "widget"), ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo"), ("comment", "comments", "reply", "replies", "discussion", "disqus", "respond"), ("cookie", "consent", "notice", "alert", "gdpr", "modal", "popup"), ("related", "recommend", "recommended", "share", "social", "tags", "more"), ("form", "login", "subscribe", "newsletter", "signup", "search"))
-TAG_GROUPS = (("article",), ("main",), ("section",), ("div",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset"), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure", "figcaption"))
+TAG_GROUPS = (("article",), ("main",), ("section",), ("div",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset"), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure", "figcaption"), ("text",))
 _TAG_AT = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
 _BAD_AT = {t: i for i, g in enumerate(BAD_GROUPS) for t in g}
 _GOOD = frozenset(GOOD)
@@ -42,26 +44,56 @@ _CLOSERS: dict[str, re.Pattern] = {}
 
 
 class Page:
-    """Block nodes of a page in order: tag, parent, depth, attribute flags, and the text blocks they own."""
+    """Block nodes of a page in order: tag, parent, depth, attribute flags, and the text blocks they own; `text` is the tag of text that stands in the page or its body."""
 
-    __slots__ = ("tags", "parents", "depths", "attrs", "blocks", "own_chars", "link_chars", "n_links", "n_inline")
+    __slots__ = ("tags", "parents", "depths", "attrs", "block_nodes", "block_texts", "own_chars", "link_chars", "n_links", "n_inline")
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.depths, self.attrs = ["html"], [-1], [0], [()]
-        self.own_chars, self.link_chars, self.n_links, self.n_inline = [0], [0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
-        stack, open_tags = [0], ["html"]
+        self.tags, self.attrs = ["html"], [()]
+        self.parents, self.depths = array("i", [-1]), array("i", [0])
+        self.own_chars, self.link_chars, self.n_links, self.n_inline = (array("i", [0]) for _ in range(4))
+        self.block_nodes, self.block_texts = array("i"), []
+        stack, open_tags, n_open = [0], ["html"], {"html": 1}
         links, parts, node = 0, [], 0
+        linked = n_links = 0  # characters in links, and links, of the block that is being read
         at, n = 0, len(source)
-        match, depth_limit = _TOKEN.match, 200
+        match = _TOKEN.match
+
+        def add(tag: str, parent: int, flags: tuple[int, ...]) -> int:
+            self.tags.append(tag)
+            self.attrs.append(flags)
+            self.parents.append(parent)
+            self.depths.append(len(stack))
+            for counts in (self.own_chars, self.link_chars, self.n_links, self.n_inline):
+                counts.append(0)
+            return len(self.tags) - 1
 
         def flush() -> None:
+            nonlocal linked, n_links
+            owner = node
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 parts.clear()
                 if text:
-                    self.blocks.append((node, text))
-                    self.own_chars[node] += len(text)
+                    if self.tags[node] in ("html", "body"):
+                        owner = add("text", node, ())
+                    self.block_nodes.append(owner)
+                    self.block_texts.append(text)
+                    self.own_chars[owner] += len(text)
+            self.link_chars[owner] += linked
+            self.n_links[owner] += n_links
+            linked = n_links = 0
+
+        def close(back: int) -> None:
+            for tag in open_tags[back:]:
+                n_open[tag] -= 1
+            del open_tags[back:], stack[back:]
+
+        def innermost(tag: str) -> int:
+            back = len(open_tags) - 1
+            while open_tags[back] != tag:
+                back -= 1
+            return back
 
         while at < n:
             m = match(source, at)
@@ -72,20 +104,16 @@ class Page:
                 if found[0] != "<" or found == "<":
                     parts.append(found)
                     if links:
-                        self.link_chars[node] += len(found)
+                        linked += len(found)
                 continue
             name = name.lower()
             if m[1]:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name in BLOCK:
-                    if name in open_tags and name not in ("html", "body"):
+                    if n_open.get(name) and name not in ("html", "body"):
                         flush()
-                        while open_tags.pop() != name:
-                            stack.pop()
-                        stack.pop()
-                        if not stack:
-                            stack, open_tags = [0], ["html"]
+                        close(innermost(name))
                         node = stack[-1]
                         links = 0
                 elif name == "br":
@@ -99,41 +127,28 @@ class Page:
                 continue
             if name == "a":
                 links += 1
-                self.n_links[node] += 1
+                n_links += 1
                 continue
             if name not in BLOCK:
                 self.n_inline[node] += 1
                 if name == "br" or name == "hr":
                     parts.append(" ")
                 continue
-            if name == "html":
+            if name == "html" or (name == "body" and n_open.get("body")):
                 continue
             flush()
             links = 0
             if name in CLOSES_P and open_tags[-1] == "p":
-                open_tags.pop()
-                stack.pop()
-            if name in SAME_CLOSES and name in open_tags:
-                for back in range(len(open_tags) - 1, 0, -1):
-                    if open_tags[back] in SAME_CLOSES[name]:
-                        break
-                    if open_tags[back] == name:
-                        del open_tags[back:], stack[back:]
-                        break
-            parent = stack[-1]
-            node = len(self.tags)
-            self.tags.append(name)
-            self.parents.append(parent)
-            self.depths.append(len(stack))
+                close(len(stack) - 1)
+            if name in SAME_CLOSES and n_open.get(name):
+                back = innermost(name)
+                if not any(t in SAME_CLOSES[name] for t in open_tags[back + 1 :]):
+                    close(back)
             found = m[3]
-            self.attrs.append(_flags(found) if "=" in found or "hidden" in found else ())
-            self.own_chars.append(0)
-            self.link_chars.append(0)
-            self.n_links.append(0)
-            self.n_inline.append(0)
-            if len(stack) < depth_limit:  # deeper elements hang on the deepest one kept
-                stack.append(node)
-                open_tags.append(name)
+            node = add(name, stack[-1], _flags(found) if "=" in found or "hidden" in found else ())
+            stack.append(node)
+            open_tags.append(name)
+            n_open[name] = n_open.get(name, 0) + 1
         flush()
 
 
@@ -163,14 +178,15 @@ def _flags(attrs: str) -> tuple[int, ...]:
 
 
 N_FEATURES = len(TAG_GROUPS) + len(BAD_GROUPS) + 2 + 2 + 15
+_NODES = 50_000  # of which features are held at once
 
 
-def features(page: Page) -> np.ndarray:
+def features(page: Page) -> Iterator[np.ndarray]:
+    """Features of the nodes in order, _NODES rows at a time, so that a page of any size needs a few numbers a node."""
     n = len(page.tags)
-    x = np.zeros((n, N_FEATURES))
     parents, tags = page.parents, page.tags
-    chars, links, n_links, paragraphs, nodes = list(page.own_chars), list(page.link_chars), list(page.n_links), [int(t == "p") for t in tags], [1] * n
-    children, place = [0] * n, [0] * n
+    chars, links, n_links, paragraphs, nodes = array("q", page.own_chars), array("q", page.link_chars), array("q", page.n_links), array("q", [t == "p" for t in tags]), array("q", [1]) * n
+    children, place = array("i", bytes(4 * n)), array("i", bytes(4 * n))
     for i in range(1, n):
         place[i] = children[parents[i]]
         children[parents[i]] += 1
@@ -181,50 +197,49 @@ def features(page: Page) -> np.ndarray:
         n_links[p] += n_links[i]
         paragraphs[p] += paragraphs[i]
         nodes[p] += nodes[i]
-    inherited, within = [()] * n, [False] * n
     n_tags, n_bad = len(TAG_GROUPS), len(BAD_GROUPS)
-    for i in range(n):
-        row = x[i]
-        t = _TAG_AT.get(tags[i])
-        if t is not None:
-            row[t] = 1
-        for f in page.attrs[i]:
-            row[n_tags + (f if f >= 0 else n_bad + 1)] = 1
-        if i:
-            p = parents[i]
-            within[i] = within[p] or tags[p] in ("article", "main")
-            own = page.attrs[p] if page.attrs[p] else inherited[p]
-            inherited[i] = own
-            if own:
-                row[n_tags + n_bad + 2] = any(f != 0 for f in own)
-                row[n_tags + n_bad + 3] = 0 in own
-    at = n_tags + n_bad + 4
-    c, l, nl = np.array(chars, float), np.array(links, float), np.array(n_links, float)  # noqa: E741
-    own = np.array(page.own_chars, float)
-    up = np.array(parents)
-    up[0] = 0
-    cols = (
-        np.array(page.depths), np.array(place), np.array(children)[up], np.array(children), np.log1p(own), np.log1p(c), l / np.maximum(c, 1), c / max(c[0], 1),
-        c / np.array(nodes), np.array(paragraphs), nl, np.log1p(c[up]), l[up] / np.maximum(c[up], 1), np.arange(n) / n, np.array(within),
-    )
-    for k, col in enumerate(cols):
-        x[:, at + k] = col
-    return x
+    inherited, within = [()] * n, bytearray(n)
+    c, l, nl, own = (np.frombuffer(v, v.typecode).astype(np.float32) for v in (chars, links, n_links, page.own_chars))  # noqa: E741
+    up, depth, order, count, n_p, n_below = (np.frombuffer(v, v.typecode) for v in (parents, page.depths, place, children, paragraphs, nodes))
+    for low in range(0, n, _NODES):
+        high = min(n, low + _NODES)
+        x = np.zeros((high - low, N_FEATURES), np.float32)
+        for i in range(low, high):
+            row = x[i - low]
+            t = _TAG_AT.get(tags[i])
+            if t is not None:
+                row[t] = 1
+            for f in page.attrs[i]:
+                row[n_tags + (f if f >= 0 else n_bad + 1)] = 1
+            if i:
+                p = parents[i]
+                within[i] = within[p] or tags[p] in ("article", "main")
+                above = page.attrs[p] if page.attrs[p] else inherited[p]
+                inherited[i] = above
+                if above:
+                    row[n_tags + n_bad + 2] = any(f != 0 for f in above)
+                    row[n_tags + n_bad + 3] = 0 in above
+        part, over = slice(low, high), np.maximum(up[low:high], 0)
+        cols = (
+            depth[part], order[part], count[over], count[part], np.log1p(own[part]), np.log1p(c[part]), l[part] / np.maximum(c[part], 1), c[part] / max(c[0], 1),
+            c[part] / n_below[part], n_p[part], nl[part], np.log1p(c[over]), l[over] / np.maximum(c[over], 1), np.arange(low, high) / n, np.frombuffer(within, np.uint8)[part],
+        )
+        for k, col in enumerate(cols):
+            x[:, n_tags + n_bad + 4 + k] = col
+        yield x
 
 
 def decode(page: Page, log_odds: np.ndarray) -> list[bool]:
-    """The labelling with the largest sum of log probabilities in which a kept node's parent is kept."""
+    """The labelling with the largest sum of log probabilities in which a kept node's parent is kept; the page and its body are no choice."""
     n = len(page.tags)
-    yes, no = -np.logaddexp(0, -log_odds), -np.logaddexp(0, log_odds)
-    keep, drop = yes.tolist(), no.tolist()
+    keep, drop = array("d", -np.logaddexp(0, -log_odds)), array("d", -np.logaddexp(0, log_odds))
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
         keep[p] += max(keep[i], drop[i])
         drop[p] += drop[i]
     out = [True] * n
-    out[0] = True  # the root is no choice
     for i in range(1, n):
-        out[i] = out[page.parents[i]] and keep[i] > drop[i]
+        out[i] = out[page.parents[i]] and (keep[i] > drop[i] or page.tags[i] == "body")
     return out
 
 
@@ -245,12 +260,16 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
     name = lambda *options: rng.choice(options)
     ad = lambda: f'<div class="{name("ad", "ads", "advert", "ad-slot", "banner", "sponsored", "promo-box")}">{name(sentence(), para(1, 2), link(3))}</div>'
 
+    if rng.random() < 0.05:  # a few paragraphs and nothing else
+        whole = "".join(f"<p>{main(para(1, 3))}</p>" for _ in range(rng.choice((1, 1, 2, 3))))
+        return rng.choice(("{}", "<body>{}</body>", "<div>{}</div>", "<html><body>{}</body></html>")).format(whole), kept
     blocks = []
     if rng.random() < 0.85:
         blocks.append(f"<h1>{main(sentence(3, 12))}</h1>")
     if rng.random() < 0.2:
         blocks.append(f'<p class="{name("byline", "meta", "author")}">{main(sentence(2, 5))}</p>')
-    style = rng.random()
+    bare = rng.random() < 0.15  # a page or a fragment whose text is not all in blocks
+    style = 1.0 if bare else rng.random()
     if rng.random() < 0.15:  # a note whose only paragraph is short and may repeat the title
         text = main(sentence(1, 12)) if rng.random() < 0.5 or not kept else sorted(kept)[0]
         blocks.append(f"<p>{text}</p>")
@@ -258,7 +277,9 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
         kind = rng.random()
         if kind < 0.72:
             text = main(para())
-            if style < 0.35 and rng.random() < 0.4:
+            if bare and rng.random() < 0.6 and (not blocks or blocks[-1][-1] == ">"):
+                blocks.append(text)
+            elif style < 0.35 and rng.random() < 0.4:
                 blocks.append(f"<p><b>{text}<br>")
             elif style < 0.5:
                 blocks.append(f"<p>{text}")
@@ -285,7 +306,7 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
         blocks.insert(rng.randint(1, len(blocks)) if blocks else 0, f'<form action="/x">{name("", f"<p>{sentence(2, 6)}</p>")}<label>{word()}</label><input name="q"></form>')
     if rng.random() < 0.15:
         blocks.append(f"<footer>{name(sentence(2, 6), items(2, 4))}</footer>")
-    shell = rng.random()
+    shell = 0.93 if bare and rng.random() < 0.8 else rng.random()
     inner = "\n".join(blocks)
     if shell < 0.08 and inner.startswith("<h1>"):  # a title in a header of the article's own
         title, _, rest = inner.partition("</h1>")
@@ -326,13 +347,19 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
     if rng.random() < 0.85:
         foot = f"&copy; {word()}.com &middot; {para(1, 2)}" + (items(2, 6) if rng.random() < 0.4 else "")
         tail.append(f"<footer>{foot}</footer>" if rng.random() < 0.65 else f'<div class="{name("footer", "site-footer", "foot")}"><p>{foot}</p></div>')
+    if rng.random() < 0.15:  # words that stand in no block
+        rng.choice((head, tail)).append(f"{sentence(1, 4)}<hr>" if rng.random() < 0.5 else f"{link(2)} | {link(1)} | {link(2)}")
+    if bare and rng.random() < 0.5:
+        head, tail = [], []
     whole = "".join(head) + body + "".join(tail)
-    if rng.random() < 0.4:
+    if bare and rng.random() < 0.5:
+        return whole, kept
+    if rng.random() < 0.4 and not bare:
         whole = f'<div class="{name("wrapper", "container", "page", "site")}">{whole}</div>'
     return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{whole}</body></html>", kept
 
 
-def fit(n_pages: int = 500, seed: int = 11) -> Trees:
+def fit(n_pages: int = 800, seed: int = 11) -> Trees:
     """Trees trained on n_pages pages laid out at random (their size bounds the sample, whatever the input)."""
     rng = random.Random(seed)
     xs, ys = [], []
@@ -340,51 +367,37 @@ def fit(n_pages: int = 500, seed: int = 11) -> Trees:
         source, kept = _training_page(rng)
         page = Page(source)
         label = [False] * len(page.tags)
-        for node, text in page.blocks:
+        for node, text in zip(page.block_nodes, page.block_texts, strict=True):
             if text in kept:
                 while node >= 0 and not label[node]:
                     label[node] = True
                     node = page.parents[node]
-        xs.append(features(page)[1:])
-        ys.append(label[1:])
-    return train(np.concatenate(xs), np.concatenate(ys).astype(float))
-
-
-def extract(sources: list[str], trees: Trees) -> list[str]:
-    """Main text of each page: its kept blocks in order, joined by an empty line."""
-    pages = [Page(s) for s in sources]
-    odds = trees.log_odds(np.concatenate([features(p) for p in pages])) if pages else np.empty(0)
-    out, at = [], 0
-    for p in pages:
-        kept = decode(p, odds[at : at + len(p.tags)])
-        at += len(p.tags)
-        out.append("\n\n".join(text for node, text in p.blocks if kept[node]))
-    return out
+        choice = [i > 0 and t != "body" for i, t in enumerate(page.tags)]
+        xs.append(np.concatenate(list(features(page)))[choice])
+        ys.append(np.array(label)[choice])
+    return train(np.concatenate(xs).astype(float), np.concatenate(ys).astype(float), n_trees=100, depth=5)
+
+
+def extract(source: str, trees: Trees) -> str:
+    """Main text of a page: its kept blocks in order, joined by an empty line."""
+    page = Page(source)
+    kept = decode(page, np.concatenate([trees.log_odds(x) for x in features(page)]))
+    return "\n\n".join(text for node, text in zip(page.block_nodes, page.block_texts, strict=True) if kept[node])
 
 
-def main_text(pages: DataFrame, n_training_pages: int = 500, seed: int = 11, max_chars: int = 1 << 19) -> DataFrame:
+def main_text(pages: DataFrame, n_training_pages: int = 800, seed: int = 11) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row of pages (page_id, url, html).
 
     The trees are fitted on n_training_pages generated pages. Null and empty html, and pages
-    without an article, give an empty text; html of any length is taken whole, in Arrow batches cut to
-    about max_chars; repeated rows are kept; other columns are ignored; an empty table gives no rows.
+    without an article, give an empty text; html of any length and depth is taken whole, one page at a
+    time; repeated rows are kept; other columns are ignored; an empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(fit(n_training_pages, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, at, n = batch.column("html"), 0, batch.num_rows
-            while at < n:
-                part, size = [], 0
-                while at + len(part) < n and (not part or size < max_chars):
-                    s = column[at + len(part)].as_py() or ""
-                    part.append(s)
-                    size += len(s)
-                texts = extract(part, shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("page_id").slice(at, len(part)), batch.column("url").slice(at, len(part)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-                )
-                at += len(part)
+            texts = [extract(s.as_py() or "", shared.value) for s in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -24,6 +25,7 @@ from .common import text_or_empty
 _MARK = "▁"
 _MEMO_LIMIT = 250_000  # segments in each of two generations
 _MEMO_CHARS = 64  # of a segment that is remembered for other batches; longer ones are merged again
+_SHORT = 40  # characters of a segment whose agenda is a plain list
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -80,6 +82,7 @@ class PieceCodec:
         self.pieces = [self.lib.id_to_piece(i) for i in ids]
         plain = [i for i in ids if not (self.lib.is_control(i) or self.lib.is_byte(i) or self.lib.is_unknown(i) or self.lib.is_unused(i))]
         self.rank = {self.pieces[i]: (-self.lib.get_score(i), i) for i in plain}
+        self.cost = {s: c for s, (c, _) in self.rank.items()}
         self.byte_ids = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.skipped = {i for i in ids if self.lib.is_control(i)}
@@ -96,9 +99,9 @@ class PieceCodec:
 
     def merge(self, segment: str) -> tuple[int, ...]:
         """Ids of one segment, by the agenda."""
+        if len(segment) <= _SHORT:
+            return self._merge_short(segment)
         rank = self.rank
-        if segment in rank and len(segment) < 2:
-            return (rank[segment][1],)
         symbols: list[str | None] = list(segment)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -125,14 +128,32 @@ class PieceCodec:
                 grown = symbols[h] + pair
                 if found := rank.get(grown):
                     heappush(agenda, (found[0], h, grown, i))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                if found := rank.get(s):
-                    out.append(found[1])
-                else:
-                    out.extend(self.byte_ids[b] for b in s.encode())
-        return tuple(out)
+        return self._ids([s for s in symbols if s is not None])
+
+    def _merge_short(self, segment: str) -> tuple[int, ...]:
+        """merge() with the agenda as a plain list in the order of the text: the least entry, and the leftmost of equal ones, is next."""
+        cost, never = self.cost.get, float("inf")
+        symbols = list(segment)
+        agenda = [cost(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(symbols[i] + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], never)
+        return self._ids(symbols)
+
+    def _ids(self, symbols: list[str]) -> tuple[int, ...]:
+        rank = self.rank
+        try:
+            return tuple([rank[s][1] for s in symbols])
+        except KeyError:
+            return tuple(i for s in symbols for i in ((rank[s][1],) if s in rank else map(self.byte_ids.__getitem__, s.encode())))
 
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(_MARK + text.replace(" ", _MARK)) if text else []
@@ -146,13 +167,19 @@ class PieceCodec:
             asked = [s[1:].replace(_MARK, " ") if s[0] == _MARK else "\n" + s for s in part]
             wants = [tuple(w) if s[0] == _MARK else tuple(w[2:]) for s, w in zip(part, self.lib.encode(asked, num_threads=1), strict=True)]
             all_ids = [self.merge(s) for s in part]
-            # In front of a segment's ids, a mark's id takes the place of the first space that decoding drops.
-            said = self.lib.decode([[self.mark, *ids] for ids in all_ids], num_threads=1)
-            for s, want, ids, text in zip(part, wants, all_ids, said, strict=True):
+            surfaces = [b"".join(map(self.surfaces.__getitem__, ids)) for ids in all_ids]
+            decoded = self._decoded_alike(all_ids, surfaces)
+            for s, want, ids, surface, same in zip(part, wants, all_ids, surfaces, decoded, strict=True):
                 if s == _MARK:  # the library gives an empty text nothing
                     want = (self.mark,)
-                surface = b"".join(map(self.surfaces.__getitem__, ids))
-                self.memo[s] = (np.array(ids, "<u4").tobytes(), surface) if want == ids and text.encode() == surface.decode("utf-8", "replace").encode() else None
+                self.memo[s] = (array("I", ids).tobytes(), surface) if same and want == ids else None
+
+    def _decoded_alike(self, all_ids: list[tuple[int, ...]], surfaces: list[bytes]) -> list[bool]:
+        """Whether the library decodes each segment to its surface; all at once, and one by one only if that differs."""
+        # In front of a segment's ids, a mark's id takes the place of the first space that decoding drops.
+        if self.lib.decode([self.mark, *(i for ids in all_ids for i in ids)]) == b"".join(surfaces).decode("utf-8", "replace"):
+            return [True] * len(surfaces)
+        return [self.lib.decode([self.mark, *ids]) == x.decode("utf-8", "replace") for ids, x in zip(all_ids, surfaces, strict=True)]
 
     def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[str], list[bool]]:
         """For each whole text its ids, begin and end included, as little-endian unsigned 32-bit integers, what they decode to, and whether the agenda gave them; else the library did."""

@@ -85,3 +85,53 @@ def token_estimate(*parts: Column) -> Column:
 
 def status_name(status: Column) -> Column:
     return F.when(status == "completed", "completed").when(status.isin("failed", "error", "timeout"), "failed").otherwise("pending")
+
+
+def json_text(value: Column) -> Column:
+    """A string as JSON, quoted and escaped; characters beyond ASCII stay."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def call_text(call_id: Column, name: Column, arguments: Column, input_text: Column | None = None) -> Column:
+    """A tool call as training text shows it: JSON with sorted keys and a space after : and , between the call's marks.
+
+    arguments maps names to values in JSON; null counts as empty. A call with input_text has that and its kind instead.
+    """
+    entry = lambda k, v: F.concat(F.lit('"'), F.lit(k), F.lit('": '), v)
+    pairs = F.transform(F.array_sort(F.map_entries(F.coalesce(arguments, F.create_map().cast("map<string,string>")))), lambda e: F.concat(json_text(e["key"]), F.lit(": "), e["value"]))
+    plain = F.concat_ws(", ", entry("arguments", F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))), entry("id", json_text(call_id)), entry("name", json_text(name)))
+    if input_text is not None:
+        given = F.concat_ws(", ", entry("id", json_text(call_id)), entry("input_text", json_text(input_text)), entry("name", json_text(name)), F.lit('"payload_kind": "input_text"'))
+        plain = F.when(input_text.isNotNull(), given).otherwise(plain)
+    return F.concat(F.lit("<|tool|>\n{"), plain, F.lit("}\n<|end|>\n"))
+
+
+def sample_segments(messages: DataFrame, key: str, order: str, targets: DataFrame, tool_specs: DataFrame | None = None, role: str = "role", text: str = "text") -> DataFrame:
+    """(key, part, place, kind, segment, trainable) of samples: their messages, a block of tool specs if there are any, then their targets.
+
+    targets has key, place, kind (assistant_tool_call, or assistant for a text) and text; only calls are
+    trainable, so assistant messages and target texts are context. tool_specs has key and text. A role other
+    than system, user, assistant and tool raises.
+    """
+    checked = F.when(F.col(role).isin("system", "user", "assistant", "tool"), F.col(role)).otherwise(F.raise_error(F.concat(F.lit("unknown role: "), F.col(role))).cast("string"))
+    said = messages.select(key, F.lit(0).alias("part"), F.col(order).cast("long").alias("place"), checked.alias("kind"), F.coalesce(text, F.lit("")).alias("_body"))
+    out = said.select(key, "part", "place", "kind", tagged(F.col("kind"), F.col("_body")).alias("segment"), F.lit(False).alias("trainable"))
+    if tool_specs is not None:
+        out = out.union(tool_specs.select(key, F.lit(1), F.lit(0).cast("long"), F.lit("user"), tagged(F.lit("user"), F.col("text")), F.lit(False)))
+    call = F.col("kind") == "assistant_tool_call"
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return out.union(targets.select(key, F.lit(2), F.col("place").cast("long"), "kind", F.when(call, body).otherwise(tagged(F.lit("assistant"), body)), call))
+
+
+def prepared_samples(segs: DataFrame, key: str) -> DataFrame:
+    """One row a key: text, segments, spans, character_mask, trainable_char_count and total_char_count, from sample_segments()."""
+    rows = segs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "place", "kind", "segment", "trainable"))).alias("s"))
+    lengths = F.transform("s", lambda x: F.length(x["segment"]).cast("long"))
+    ends = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + n)))
+    spans = F.transform(F.col("s"), lambda x, i: F.struct(F.get("_ends", i).alias("start"), F.get("_ends", i + 1).alias("end"), x["trainable"].alias("trainable")))
+    mask = F.flatten(F.transform("s", lambda x: F.array_repeat(x["trainable"].cast("int"), F.length(x["segment"]))))
+    return rows.withColumn("_ends", ends).select(
+        key, F.array_join(F.transform("s", lambda x: x["segment"]), "").alias("text"), F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["segment"].alias("text"), x["trainable"].alias("trainable"))).alias("segments"),
+        spans.alias("spans"), mask.alias("character_mask"), F.aggregate(F.transform("s", lambda x: F.when(x["trainable"], F.length(x["segment"])).otherwise(0)), F.lit(0).cast("long"), lambda acc, n: acc + n).alias("trainable_char_count"),
+        F.element_at("_ends", -1).alias("total_char_count"),
+    )

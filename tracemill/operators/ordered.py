@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import global_row_number
+from ..functions.storage import checkpointed
 
 
 def recovery_flags(rows: DataFrame, key: str, order: str, failed: Column, revised: Column, passed: Column) -> DataFrame:
@@ -135,3 +136,45 @@ def duplicate_groups(rows: DataFrame, path: str, size: str, digest: str) -> Data
     groups = rows.groupBy(size, digest).agg(F.count("*").alias("n"), F.min(path).alias("first_path")).where("n > 1")
     numbered = global_row_number(groups, ["first_path"], "number")
     return numbered.select(size, digest, "n", "first_path", F.format_string("dup-%05d", "number").alias("duplicate_id"), (F.col(size) * (F.col("n") - 1)).alias("redundant_bytes"))
+
+
+def span_tree(events: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(trace_id, span_id, parent_span_id, kind, start, end, clipped_by, depth) of nested spans.
+
+    events has trace_id, span_id, parent_span_id, type (span_start, span_end) and ts, an integer. An open span ends at the least of
+    the trace's last event, the next start of a span with the same parent, and the end of its nearest closed
+    ancestor, as far as these lie after its start; clipped_by says which. An end without a start is an orphan. depth
+    counts the ancestors that the trace knows; spans on or below a ring of parents have depth 0. Ancestors are
+    found by doubling: each round joins every span with its pointer's pointer, so a trace stays spread
+    over tasks and the rounds grow with the logarithm of the depth.
+    """
+    t = lambda kind: F.when(F.col("type") == kind, F.col("ts"))
+    parent = F.min_by("parent_span_id", F.when(F.col("type") == "span_start", 0).otherwise(1))
+    spans = events.where(F.col("span_id").isNotNull()).groupBy("trace_id", "span_id").agg(F.min(t("span_start")).alias("start"), F.max(t("span_end")).alias("closed"), parent.alias("parent_span_id"))
+    last = events.groupBy("trace_id").agg(F.max("ts").alias("_last"))
+    started = checkpointed(spans.where("start is not null"))
+    # hop: the ancestor that the pointer stands at; up: how many levels that is; near: the end of the nearest closed ancestor so far.
+    known = started.select("trace_id", F.col("span_id").alias("_p"), F.col("closed").alias("_closed"))
+    at = started.select("trace_id", "span_id", F.col("parent_span_id").alias("_p")).join(known, ["trace_id", "_p"], "left")
+    here = at.join(started.select("trace_id", F.col("span_id").alias("_p"), F.lit(True).alias("_is")), ["trace_id", "_p"], "left")
+    here = checkpointed(here.select("trace_id", "span_id", F.when(F.col("_is"), F.col("_p")).alias("hop"), F.when(F.col("_is"), 1).otherwise(0).cast("long").alias("up"), F.col("_closed").alias("near")))
+    n_spans = started.count()
+    for _ in range(max_rounds):
+        if here.where("hop is not null").isEmpty():
+            break
+        ahead = here.select("trace_id", F.col("span_id").alias("hop"), F.col("hop").alias("_hop"), F.col("up").alias("_up"), F.col("near").alias("_near"))
+        joined = here.join(ahead, ["trace_id", "hop"], "left")
+        here = checkpointed(joined.select("trace_id", "span_id", F.col("_hop").alias("hop"), (F.col("up") + F.coalesce("_up", F.lit(0))).alias("up"), F.coalesce("near", "_near").alias("near")))
+        if (here.where("hop is not null").agg(F.min("up")).first()[0] or 0) > n_spans:
+            break  # more levels than spans: what is left runs in rings
+    ends = here.select("trace_id", "span_id", F.when(F.col("hop").isNull(), F.col("up")).otherwise(0).alias("depth"), "near")
+    group = Window.partitionBy("trace_id", "parent_span_id").orderBy("start").rangeBetween(1, Window.unboundedFollowing)
+    shown = started.withColumn("_next", F.min("start").over(group)).join(last, "trace_id").join(ends, ["trace_id", "span_id"])
+    after = lambda c: F.when(F.col(c) > F.col("start"), F.col(c))
+    options = F.array_compact(F.array(*(F.when(after(c).isNotNull(), F.struct(after(c).alias("at"), F.lit(i).alias("rank"), F.lit(name).alias("by"))) for i, (c, name) in enumerate((("_last", "row_end"), ("_next", "next_sibling_start"), ("near", "ancestor_end"))))))
+    best = F.array_min(options)
+    clip = F.when(F.col("closed").isNull(), F.coalesce(best["by"], F.lit("self")))
+    whole = shown.select("trace_id", "span_id", "parent_span_id", F.when(F.col("closed").isNull(), "open").otherwise("closed").alias("kind"), "start", F.coalesce("closed", best["at"], "start").alias("end"), clip.alias("clipped_by"), "depth")
+    orphans = spans.where("start is null").select("trace_id", "span_id", "parent_span_id", F.lit("orphan").alias("kind"), "start", F.col("closed").alias("end"), F.lit(None).cast("string").alias("clipped_by"))
+    over = ends.select("trace_id", F.col("span_id").alias("parent_span_id"), "depth")
+    return whole.unionByName(orphans.join(over, ["trace_id", "parent_span_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long"))))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import global_row_number
 from ..functions.plugins import apply_filter
+from ..functions.storage import fresh_path
 from ..operators import metrics as G
 from ..operators import records as P
 from ..operators import rl as R
@@ -21,7 +19,7 @@ from .registry import query, table
 
 
 def _folder(spark, kind: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/{kind}-{uuid.uuid4().hex}.jsonl"
+    return fresh_path(spark, kind) + ".jsonl"
 
 
 @query("select event_id, user_id, event_type from events")

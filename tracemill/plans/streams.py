@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_path
 from ..streaming.groups import full_groups
 from .registry import query, table
 
 
 def _finished(spark, stream, kind: str):
     """The rows of a stream after all its files."""
-    name = f"{kind}_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/{name}/state").option("path", f"{base}/{name}/rows")
+    path = fresh_path(spark, kind)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows")
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/{name}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @query()

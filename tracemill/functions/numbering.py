@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import checkpointed
 
-def global_row_number(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
-    """df with the row's place (from 1) in the order of `order`.
+_IN_PARTITION = (1 << 33) - 1  # monotonically_increasing_id: the partition's number above, the row's below
 
-    The first column of `order` must be a non-null integer key. Keys are cut into ranges of equal
-    width; each range is numbered apart and gets the number of rows in the ranges before it.
-    Only those counts (at most n_ranges) meet in one place.
+
+def global_row_number(df: DataFrame, order: list[str], name: str = "rn", partitions: int | None = None) -> DataFrame:
+    """df with the row's place (from 1) in the order of `order`, whose columns may be of any kind; nulls come first.
+
+    Rows are dealt out by ranges of `order` whose bounds Spark samples, so outliers and dense stretches of
+    a key fill partitions of like size; each partition is sorted and numbered apart and gets the number of rows in
+    those before it. The driver sees one count for each partition. Rows that are equal in all of `order` lie in one
+    partition and follow in any order. The partitions are fixed in the shared folder, as sampled bounds may differ
+    from one run to the next.
     """
-    n_ranges = 4096
-    key = F.col(order[0])
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // n_ranges))
-    ranged = df.withColumn("_range", F.floor((key - low) / width))
-    counts = ranged.groupBy("_range").count()
-    before = counts.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, (own + F.col("_before")).cast("long")).drop("_range", "_before")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    fixed = checkpointed(ranged.withColumn("_part", F.shiftright("_at", 33).cast("int")))
+    before, total = {}, 0
+    for r in sorted(fixed.groupBy("_part").count().collect()):
+        before[r["_part"]], total = total, total + r["count"]
+    starts = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("_part")) if before else F.lit(0)
+    return fixed.withColumn(name, (F.col("_at").bitwiseAND(F.lit(_IN_PARTITION)) + starts + 1).cast("long")).drop("_at", "_part")

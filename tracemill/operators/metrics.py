@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import global_row_number
+
 
 def exact_sum(value: str | Column) -> Column:
     """A sum of cents that does not depend on the order of rows."""
@@ -60,8 +64,23 @@ def mean_of_longest(rows: DataFrame, size: str, value: str, *by: str) -> DataFra
 
 
 def quantiles(rows: DataFrame, value: str, at: dict[str, float], *by: str) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *(F.percentile(value, p).alias(k) for k, p in at.items()))
+    """Exact percentiles with linear interpolation; null values do not count.
+
+    Rows are numbered in the order of group and value by range partitions, so a group that holds most rows is
+    sorted in many tasks; of each group only the rows at its percentiles' places meet.
+    """
+    groups = list(by)
+    held = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    placed = global_row_number(held, [*groups, "_v"], "_rn")
+    sizes = placed.groupBy(*groups).agg(F.count("*").alias("n"), F.min("_rn").alias("_first"))
+    ranked = placed.join(F.broadcast(sizes), groups) if groups else placed.crossJoin(F.broadcast(sizes))
+    place = F.col("_rn") - F.col("_first")
+    low = {k: F.floor(p * (F.col("n") - 1)) for k, p in at.items()}
+    picked = ranked.where(reduce(lambda a, b: a | b, [(place == x) | (place == x + 1) for x in low.values()]))
+    at_place = lambda x: F.max(F.when(place == x, F.col("_v")))
+    parts = picked.groupBy(*groups, "n").agg(*(c for k, x in low.items() for c in (at_place(x).alias(f"_lo_{k}"), at_place(x + 1).alias(f"_hi_{k}"))))
+    between = lambda k, p: F.col(f"_lo_{k}") + (p * (F.col("n") - 1) - low[k]) * (F.coalesce(f"_hi_{k}", f"_lo_{k}") - F.col(f"_lo_{k}"))
+    return parts.select(*groups, "n", *(between(k, p).alias(k) for k, p in at.items()))
 
 
 def cut_point_histogram(rows: DataFrame, value: str, limit: float, n: int) -> DataFrame:
@@ -73,9 +92,9 @@ def cut_point_histogram(rows: DataFrame, value: str, limit: float, n: int) -> Da
 
 
 def failure_buckets(rows: DataFrame, run: str, rules: dict[str, Column]) -> DataFrame:
-    """(bucket, n, runs): a run may fall into many buckets."""
+    """(bucket, run), each once: a run may fall into many buckets. Counted by bucket these are the buckets' sizes; the runs of one are not gathered in a row."""
     hit = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
-    return rows.select(run, F.explode(hit).alias("bucket")).groupBy("bucket").agg(F.count_distinct(run).alias("n"), F.sort_array(F.collect_set(run)).alias("runs"))
+    return rows.select(F.explode(hit).alias("bucket"), run).distinct()
 
 
 def masked_mean(value: Column, mask: Column) -> Column:
@@ -83,11 +102,12 @@ def masked_mean(value: Column, mask: Column) -> Column:
 
 
 def whiten(rows: DataFrame, value: str, mask: str, keep_mean: bool = False, eps: float = 1e-8) -> DataFrame:
-    """rows with `whitened`: the value less the masked mean, over the masked deviation, from sums over all rows."""
+    """rows with `whitened`: the value less the masked mean, over the masked deviation, from sums over all rows, of differences from the mean."""
     m, v = F.col(mask), F.col(value)
-    sums = rows.agg(F.sum(m).alias("_n"), F.sum(v * m).alias("_s"), F.sum(v * v * m).alias("_q"))
+    means = rows.agg(F.sum(m).alias("_n"), F.sum(v * m).alias("_s"))
+    sums = rows.select(value, mask).crossJoin(F.broadcast(means)).groupBy("_n", "_s").agg(F.sum((v - F.col("_s") / F.col("_n")) ** 2 * m).alias("_q"))
     mean = F.col("_s") / F.col("_n")
-    var = F.col("_q") / F.col("_n") - mean * mean
+    var = F.col("_q") / F.col("_n")
     unbiased = F.when(F.col("_n") >= 2, var * F.col("_n") / (F.col("_n") - 1)).otherwise(var)
     out = (v - mean) / F.sqrt(unbiased + eps)
     checked = F.when(F.col("_n") == 0, F.raise_error(F.lit("the mask is empty"))).otherwise(out + mean if keep_mean else out)

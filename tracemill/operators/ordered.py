@@ -111,13 +111,15 @@ def compacted_turns(rows: DataFrame, key: str, order: str, role: str, tokens: st
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True).assign(is_summary=False)
         turn = (pdf[role] == "assistant").cumsum()
         last = int(turn.max()) if len(pdf) else 0
+        count, used = len(pdf), int(pdf[tokens].sum())
+        by_turn = pdf.groupby(turn)[tokens].agg(["size", "sum"])
         removed = 0
-        while (len(pdf[turn > 0]) + len(pdf[turn == 0])) > 0 and removed < last - keep_from_end:
-            left = pdf[(turn == 0) | (turn > removed)]
+        while removed < last - keep_from_end:
             extra = 1 if removed else 0
-            if len(left) + extra <= max_messages and left[tokens].sum() + extra * summary_tokens <= max_tokens:
+            if count + extra <= max_messages and used + extra * summary_tokens <= max_tokens:
                 break
             removed += 1
+            count, used = count - int(by_turn["size"][removed]), used - int(by_turn["sum"][removed])
         if not removed:
             return pdf
         gone = (turn > 0) & (turn <= removed)

@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_DOUBLES = T.ArrayType(T.DoubleType())
+_ADVANTAGES = T.StructType([T.StructField("advantage", _DOUBLES), T.StructField("ret", _DOUBLES)])
+
+
+def _backwards(deltas: Sequence[float], decay: float) -> list[float]:
+    """x = delta + decay * x from the end, in one pass."""
+    out, ahead = [0.0] * len(deltas), 0.0
+    for i in range(len(deltas) - 1, -1, -1):
+        ahead = out[i] = deltas[i] + decay * ahead
+    return out
 
 
 def zip3(a: Column, b: Column, c: Column) -> Column:
@@ -20,22 +35,32 @@ def masked_array_mean(values: Column, mask: Column) -> Column:
 
 
 def discounted_returns(rewards: Column, gamma: float) -> Column:
-    """g = r + gamma * g from the end."""
-    out = F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.try_element_at(acc, F.lit(1)), F.lit(0.0))), acc))
-    return out
+    """g = r + gamma * g from the end; one pass over each array, in Arrow batches."""
 
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else _backwards(r, gamma) for r in rows])
 
-def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Advantages A = d + gamma * lam * A' with d = r + gamma * V' - V, and returns A + V, in order."""
-    pairs = F.reverse(F.zip_with(rewards, values, lambda r, v: F.struct(r.alias("r"), v.alias("v"))))
-    none = F.array().cast("array<struct<a:double,v:double>>")
+    return F.pandas_udf(run, _DOUBLES)(rewards)
 
-    def step(acc, x):
-        ahead = F.try_element_at(acc, F.lit(1))
-        a = x["r"] + gamma * F.coalesce(ahead["v"], F.lit(0.0)) - x["v"] + gamma * lam * F.coalesce(ahead["a"], F.lit(0.0))
-        return F.concat(F.array(F.struct(a.alias("a"), x["v"].alias("v"))), acc)
 
-    return F.transform(F.aggregate(pairs, none, step), lambda x: F.struct(x["a"].alias("advantage"), (x["a"] + x["v"]).alias("ret")))
+def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
+    """Advantages A = d + gamma * lam * A' with d = r + gamma * V' - V, and returns A + V, in order; one pass over each array."""
+
+    def run(all_r: pd.Series, all_v: pd.Series) -> pd.DataFrame:
+        advantages, returns = [], []
+        for r, v in zip(all_r, all_v, strict=True):
+            if r is None or v is None:
+                advantages.append(None)
+                returns.append(None)
+                continue
+            ahead = [*v[1:], 0.0]
+            a = _backwards([x + gamma * y - z for x, y, z in zip(r, ahead, v, strict=True)], gamma * lam)
+            advantages.append(a)
+            returns.append([x + y for x, y in zip(a, v, strict=True)])
+        return pd.DataFrame({"advantage": advantages, "ret": returns})
+
+    out = F.pandas_udf(run, _ADVANTAGES)(rewards, values)
+    return F.arrays_zip(out["advantage"].alias("advantage"), out["ret"].alias("ret"))
 
 
 def kl(log_ratio: Column, kind: str) -> Column:

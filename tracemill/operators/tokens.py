@@ -27,10 +27,13 @@ def chunk_tokens(rows: DataFrame, text: str = "text", size: int = 4, vocab_size:
 
 def token_mask(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """tokens with trained (1 if a trainable span of the key covers any of the token's characters) and label (the id, or -100)."""
-    marks = spans.where("trainable").groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
-    hit = F.exists("_marks", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    trained = F.coalesce(hit, F.lit(False)).cast("int")
-    return tokens.join(marks, key, "left").withColumn("trained", trained).withColumn("label", F.when(F.col("trained") == 1, F.col("token_id")).otherwise(F.lit(IGNORED).cast("long"))).drop("_marks")
+    # Spans and tokens in one order: a token is covered if a span that starts before its end reaches beyond its start.
+    marks = spans.where("trainable").select(key, F.col("start").cast("long").alias("_at"), F.lit(0).alias("_is_token"), F.col("end").cast("long").alias("_reach"))
+    both = tokens.select("*", (F.col("end") - 1).cast("long").alias("_at"), F.lit(1).alias("_is_token")).unionByName(marks, allowMissingColumns=True)
+    far = F.max("_reach").over(Window.partitionBy(key).orderBy("_at", "_is_token").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    trained = F.coalesce(far > F.col("start"), F.lit(False)).cast("int")
+    told = both.withColumn("trained", trained).where("_is_token = 1").drop("_at", "_is_token", "_reach")
+    return told.withColumn("label", F.when(F.col("trained") == 1, F.col("token_id")).otherwise(F.lit(IGNORED).cast("long")))
 
 
 def labels(ids: Column, mask: Column) -> Column:

@@ -14,17 +14,17 @@ from .registry import query, table
 from .training import SPANS
 
 
-def training_rows(conversations: DataFrame, max_length: int = 2048, shards: int = 64) -> DataFrame:
+def training_rows(conversations: DataFrame, max_length: int = 2048, shard_width: int = 1_000) -> DataFrame:
     """One row a conversation: characters, trainable characters, tokens, trained tokens, and its place in a pack.
 
-    Conversations are dealt to `shards` by a hash of their key; each shard packs in the order of keys.
+    Shards are ranges of shard_width keys, so their number follows the table and each is bounded; each packs in the order of keys.
     """
     spans = M.char_spans(M.segments(conversations), "conv_id", "turn")
     chars = M.mask_counts(spans, "conv_id")
     whole = M.char_mask(spans, "conv_id", "turn").select("conv_id", "text")
     tokens = T.token_mask(T.chunk_tokens(whole), spans.select("conv_id", "trainable", "start", "end"), "conv_id")
     counts = tokens.groupBy("conv_id").agg(F.count("*").alias("n_tokens"), F.sum("trained").alias("n_trained"))
-    dealt = counts.withColumn("shard", F.pmod(F.xxhash64("conv_id"), F.lit(shards)).cast("int"))
+    dealt = counts.withColumn("shard", F.floor(F.col("conv_id") / shard_width))
     packs = T.next_fit(dealt.select("shard", "conv_id", "n_tokens"), "shard", "conv_id", "n_tokens", max_length).drop("n_tokens", "emitted")
     return chars.join(counts, "conv_id").join(packs, "conv_id")
 

@@ -70,9 +70,9 @@ def op_k02_canonical(spark, sf_dir):
     return spark.read.text(path).select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.col("value").alias("line"))
 
 
-@query("select cast(doc_id as varchar) as name, case when doc_id % 5 = 0 then 'missing' else 'changed' end as fault from documents where doc_id < 100 and (doc_id % 5 = 0 or doc_id % 7 = 0)")
+@query("select cast(doc_id as varchar) as name, case when doc_id % 5 = 0 then 'missing' else 'changed' end as fault from documents where doc_id % 5 = 0 or doc_id % 7 = 0")
 def op_k06_bundle(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").where("doc_id < 100").select(F.col("doc_id").cast("string").alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
     found = files.where("cast(name as long) % 5 <> 0").withColumn("digest", F.when(F.col("name").cast("long") % 7 == 0, "x").otherwise(F.col("digest")))
     return S.bundle_faults(files, found)
 
@@ -229,11 +229,11 @@ def op_x06_path(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.a.b.k", "string").alias("leaf"))
 
 
-@query("select l_orderkey, l_linenumber, cast(new as int) as new from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by sha256('7:' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int), l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int) as new, row_number() over (partition by l_orderkey order by l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int) as old from lineitem where l_orderkey < 500) where l_orderkey in (select l_orderkey from (select l_orderkey, row_number() over (partition by l_orderkey order by sha256('7:' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int)) as a, row_number() over (partition by l_orderkey order by l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int) as b from lineitem where l_orderkey < 500) where a <> b)")
+@query("select l_orderkey, l_linenumber, cast(new as int) as new from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by sha256('7:' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int), l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int) as new, row_number() over (partition by l_orderkey order by l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int) as old from lineitem) where l_orderkey in (select l_orderkey from (select l_orderkey, row_number() over (partition by l_orderkey order by sha256('7:' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int)) as a, row_number() over (partition by l_orderkey order by l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int) as b from lineitem) where a <> b)")
 def op_x13_reorder(spark, sf_dir):
     """Orders whose hash order differs from the old one; the others are rotated."""
     name = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", name.alias("name"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name"))
     out = P.stable_order(rows, "l_orderkey", "name", "7")
     digest_order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.sha2(F.concat_ws(":", F.lit("7"), "name"), 256)))
     changed = out.withColumn("d", digest_order).where("d <> old").select("l_orderkey").distinct()
@@ -285,10 +285,10 @@ def op_a15_microbatches(spark, sf_dir):
     return P.microbatch_plan(rows, "rank", "step", "doc_id", "n_chars", 40_000)
 
 
-@query("select event_id, round(case when w > 2.0 then 2.0 else w end, 9) as tis, round(case when w < 0.5 or w > 2.0 then 0.0 else w end, 9) as icepop from (select event_id, exp((value - 50) / 40) as w from events where value < 800)")
+@query("select event_id, round(case when w > 2.0 then 2.0 else w end, 9) as tis, round(case when w < 0.5 or w > 2.0 then 0.0 else w end, 9) as icepop from (select event_id, exp((value - 50) / 40) as w from events)")
 def op_a24_tis(spark, sf_dir):
     x = (F.col("value") - 50) / 40
-    return table(spark, sf_dir, "events").where("value < 800").select("event_id", F.round(R.importance_weight(x, "truncate", 0.0, 2.0), 9).alias("tis"), F.round(R.importance_weight(x, "mask", 0.5, 2.0), 9).alias("icepop"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(R.importance_weight(x, "truncate", 0.0, 2.0), 9).alias("tis"), F.round(R.importance_weight(x, "mask", 0.5, 2.0), 9).alias("icepop"))
 
 
 @query("select conv_id, cast(len(m) - list_position(m, 1) + 1 as bigint) as response_length, cast(list_sum(m) as bigint) as n_trained from (select conv_id, list(case when role = 'assistant' then 1 else 0 end order by turn) as m from conversations group by conv_id) where list_contains(m, 1)")
@@ -308,10 +308,10 @@ def op_v05_masks(spark, sf_dir):
     return V.violations(bent, ["conv_id"], V.mask_rules("text", "mask", "n"))
 
 
-@query("select doc_id, side from (select doc_id, 'removed' as side from labels where quality = 0 union all select doc_id, 'added' from documents where doc_id not in (select doc_id from labels) and doc_id % 50 = 0)")
+@query("select doc_id, side from (select doc_id, 'removed' as side from labels where quality = 0 union all select doc_id, 'added' from documents where doc_id not in (select doc_id from labels))")
 def op_v12_drift(spark, sf_dir):
     before = table(spark, sf_dir, "labels").select("doc_id")
-    new = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select("doc_id").join(before, "doc_id", "left_anti")
+    new = table(spark, sf_dir, "documents").select("doc_id").join(before, "doc_id", "left_anti")
     return G.drift(before, table(spark, sf_dir, "labels").where("quality <> 0").select("doc_id").union(new))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import global_row_number
 from ..operators import scoring as C
 from ..operators import tokens as T
 from .registry import query, table
@@ -96,10 +97,9 @@ def op_o06_firstwins(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_distinct(in_order), ",").alias("types"))
 
 
-@query("select doc_id, cast(place as bigint) as place from (select doc_id, row_number() over (order by lang, source, n_chars, doc_id) as place from documents where lang = 'es') where place <= 25")
+@query("select doc_id, cast(place as bigint) as place from (select doc_id, row_number() over (order by lang, source, n_chars, doc_id) as place from documents)")
 def op_o01_bundleorder(spark, sf_dir):
-    top = table(spark, sf_dir, "documents").where("lang = 'es'").orderBy("lang", "source", "n_chars", "doc_id").limit(25)
-    return top.select("doc_id", F.row_number().over(Window.orderBy("lang", "source", "n_chars", "doc_id")).cast("long").alias("place"))
+    return global_row_number(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), ["lang", "source", "n_chars", "doc_id"], "place").select("doc_id", "place")
 
 
 @query("select user_id, event_id, kind from (select user_id, event_id, 'failed' as kind from events where event_type = 'error' union all select user_id, event_id, 'completed' from events where event_type = 'purchase')")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import global_row_number
 from ..operators import messages as M
 from ..operators import tokens as T
 from .registry import query, table
@@ -90,54 +91,61 @@ def op_a02_tokenmask(spark, sf_dir):
     return T.token_mask(T.chunk_tokens(texts), spans.select("conv_id", "trainable", "start", "end"), "conv_id").select("conv_id", F.col("start").cast("long").alias("start"), "token_id", "trained")
 
 
-@query("""with recursive rows as (select source, doc_id, n_chars as n, row_number() over (partition by source order by doc_id) as rn from documents),
+#: Shards of a source: bounded ranges of doc_id, so that no task holds more than _SHARD rows, whatever a source's share of them.
+_SHARD = 2_000
+SHARD = f"source || ':' || doc_id // {_SHARD}"
+
+
+def _shards(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("shard", F.concat_ws(":", "source", F.floor(F.col("doc_id") / _SHARD)))
+
+
+@query(f"""with recursive rows as (select {SHARD} as shard, doc_id, n_chars as n, row_number() over (partition by {SHARD} order by doc_id) as rn from documents),
 walk as (
-select source, doc_id, n, rn, n > 8192 as oversized, cast(0 as bigint) as pack, case when n > 8192 then cast(0 as bigint) else n end as used, n <= 8192 as held from rows where rn = 1
+select shard, doc_id, n, rn, n > 8192 as oversized, cast(0 as bigint) as pack, case when n > 8192 then cast(0 as bigint) else n end as used, n <= 8192 as held from rows where rn = 1
 union all
-select r.source, r.doc_id, r.n, r.rn, r.n > 8192, case when r.n <= 8192 and w.held and w.used + r.n > 8192 then w.pack + 1 else w.pack end,
+select r.shard, r.doc_id, r.n, r.rn, r.n > 8192, case when r.n <= 8192 and w.held and w.used + r.n > 8192 then w.pack + 1 else w.pack end,
  case when r.n > 8192 then w.used when w.held and w.used + r.n > 8192 then r.n else w.used + r.n end, w.held or r.n <= 8192
-from walk w join rows r on r.source = w.source and r.rn = w.rn + 1)
-select source, doc_id, least(n, 8192) as n_chars, oversized, case when oversized then null else pack end as pack, case when oversized then 0 else used - n end as start from walk""")
+from walk w join rows r on r.shard = w.shard and r.rn = w.rn + 1)
+select shard, doc_id, least(n, 8192) as n_chars, oversized, case when oversized then null else pack end as pack, case when oversized then 0 else used - n end as start from walk""")
 def op_a07_pack(spark, sf_dir):
-    return T.next_fit(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 8192).drop("emitted")
+    return T.next_fit(_shards(spark, sf_dir), "shard", "doc_id", "n_chars", 8192).drop("emitted")
 
 
-@query("""with recursive rows as (select source, doc_id, n_chars as n, row_number() over (partition by source order by doc_id) as rn from documents),
-walk as (select source, doc_id, n, rn, cast(0 as bigint) as chunk, n as used from rows where rn = 1
-union all select r.source, r.doc_id, r.n, r.rn, case when w.used + r.n >= 20000 then w.chunk + 1 else w.chunk end, case when w.used + r.n >= 20000 then r.n else w.used + r.n end from walk w join rows r on r.source = w.source and r.rn = w.rn + 1)
-select source, doc_id, n as n_chars, chunk from walk""")
+@query(f"""with recursive rows as (select {SHARD} as shard, doc_id, n_chars as n, row_number() over (partition by {SHARD} order by doc_id) as rn from documents),
+walk as (select shard, doc_id, n, rn, cast(0 as bigint) as chunk, n as used from rows where rn = 1
+union all select r.shard, r.doc_id, r.n, r.rn, case when w.used + r.n >= 20000 then w.chunk + 1 else w.chunk end, case when w.used + r.n >= 20000 then r.n else w.used + r.n end from walk w join rows r on r.shard = w.shard and r.rn = w.rn + 1)
+select shard, doc_id, n as n_chars, chunk from walk""")
 def op_a19_chunks(spark, sf_dir):
-    return T.size_chunks(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20_000)
+    return T.size_chunks(_shards(spark, sf_dir), "shard", "doc_id", "n_chars", 20_000)
 
 
-@query("""with recursive rows as (select source, n_chars as n, row_number() over (partition by source order by doc_id) as rn from documents),
-walk as (select source, rn, [n] as bins from rows where rn = 1
-union all select r.source, r.rn, case when len([b for b in w.bins if b + r.n <= 16384]) = 0 then list_append(w.bins, r.n)
- else [case when i = list_position([b + r.n <= 16384 for b in w.bins], true) then b + r.n else b end for b, i in w.bins] end from walk w join rows r on r.source = w.source and r.rn = w.rn + 1)
-select source, cast(len(bins) as int) as n_bins from walk qualify row_number() over (partition by source order by rn desc) = 1""")
+@query(f"""with recursive rows as (select {SHARD} as shard, n_chars as n, row_number() over (partition by {SHARD} order by doc_id) as rn from documents),
+walk as (select shard, rn, [n] as bins from rows where rn = 1
+union all select r.shard, r.rn, case when len([b for b in w.bins if b + r.n <= 16384]) = 0 then list_append(w.bins, r.n)
+ else [case when i = list_position([b + r.n <= 16384 for b in w.bins], true) then b + r.n else b end for b, i in w.bins] end from walk w join rows r on r.shard = w.shard and r.rn = w.rn + 1)
+select shard, cast(len(bins) as int) as n_bins from walk qualify row_number() over (partition by shard order by rn desc) = 1""")
 def op_a10_firstfit(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"]).alias("lengths"))
-    return lengths.select("source", T.first_fit_count(F.col("lengths"), 16_384).alias("n_bins"))
+    lengths = _shards(spark, sf_dir).groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"]).alias("lengths"))
+    return lengths.select("shard", T.first_fit_count(F.col("lengths"), 16_384).alias("n_bins"))
 
 
 @query()
 def op_a11_kk(spark, sf_dir):
-    return T.differencing(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 4)
+    return T.differencing(_shards(spark, sf_dir), "shard", "doc_id", "n_chars", 4)
 
 
-@query("""with recursive rows as (select source, doc_id, n_chars as n, row_number() over (partition by source order by doc_id) as rn from documents),
-walk as (select source, doc_id, n, rn, 0 as bin, [n, 0, 0, 0] as sums from rows where rn = 1
-union all select source, doc_id, n, rn, p - 1, [case when i = p then s + n else s end for s, i in sums] from (select r.source, r.doc_id, r.n, r.rn, w.sums, list_position(w.sums, list_min(w.sums)) as p from walk w join rows r on r.source = w.source and r.rn = w.rn + 1))
-select source, doc_id, n as n_chars, cast(bin as int) as bin from walk""")
+@query(f"""with recursive rows as (select {SHARD} as shard, doc_id, n_chars as n, row_number() over (partition by {SHARD} order by doc_id) as rn from documents),
+walk as (select shard, doc_id, n, rn, 0 as bin, [n, 0, 0, 0] as sums from rows where rn = 1
+union all select shard, doc_id, n, rn, p - 1, [case when i = p then s + n else s end for s, i in sums] from (select r.shard, r.doc_id, r.n, r.rn, w.sums, list_position(w.sums, list_min(w.sums)) as p from walk w join rows r on r.shard = w.shard and r.rn = w.rn + 1))
+select shard, doc_id, n as n_chars, cast(bin as int) as bin from walk""")
 def op_a12_greedy(spark, sf_dir):
-    return T.least_loaded(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 4)
+    return T.least_loaded(_shards(spark, sf_dir), "shard", "doc_id", "n_chars", 4)
 
 
 @query("select cast((row_number() over (order by doc_id) - 1) % 8 as int) as rank, n_chars, doc_id from documents qualify true")
 def op_a14_rank(spark, sf_dir):
     # The i-th document goes to rank i mod 8; the number comes from counts of key ranges, not from one sorted partition.
-    from ..functions.numbering import global_row_number
-
     return global_row_number(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"], "rn").select(F.pmod(F.col("rn") - 1, F.lit(8)).cast("int").alias("rank"), "n_chars", "doc_id")
 
 

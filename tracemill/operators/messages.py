@@ -135,3 +135,12 @@ def prepared_samples(segs: DataFrame, key: str) -> DataFrame:
         spans.alias("spans"), mask.alias("character_mask"), F.aggregate(F.transform("s", lambda x: F.when(x["trainable"], F.length(x["segment"])).otherwise(0)), F.lit(0).cast("long"), lambda acc, n: acc + n).alias("trainable_char_count"),
         F.element_at("_ends", -1).alias("total_char_count"),
     )
+
+
+def turn_mask(messages: DataFrame, key: str, order: str, role: str = "role", step_mask: str | None = None, last_only: bool = False) -> DataFrame:
+    """messages with `trained`: 1 for assistant messages whose step is not opted out (step_mask 0), else 0; with last_only just those after the last user message."""
+    flag = (F.col(role) == "assistant") & (F.lit(True) if step_mask is None else F.coalesce(F.col(step_mask), F.lit(1)) != 0)
+    if not last_only:
+        return messages.withColumn("trained", flag.cast("int"))
+    last = messages.where(F.col(role) == "user").groupBy(key).agg(F.max(order).alias("_last"))
+    return messages.join(last, key, "left").withColumn("trained", (flag & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))).cast("int")).drop("_last")

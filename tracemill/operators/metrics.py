@@ -136,3 +136,9 @@ def normalized(rows: DataFrame, group: str, value: str, population: bool = False
     w = Window.partitionBy(group)
     std = (F.stddev_pop if population else F.stddev_samp)(value).over(w)
     return (F.col(value) - F.avg(value).over(w)) / (std + eps)
+
+
+def markdown_row(*columns: str, decimals: dict[str, int]) -> Column:
+    """A row of a table in Markdown: columns as they are, then those of `decimals` with a fixed number of decimals."""
+    cells = [F.col(c).cast("string") for c in columns] + [F.format_string(f"%.{n}f", F.col(c)) for c, n in decimals.items()]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

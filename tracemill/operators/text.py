@@ -140,6 +140,13 @@ def tree_digest(path: str, size: str, digest: str, between: str = "\0") -> Colum
     return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l")))), lambda x: x["l"]), ""), 256)
 
 
+def workspace_digest(path: str, content: str, is_folder: str, between: str = "\0") -> Column:
+    """SHA-256 of a workspace: its sorted paths, each with its content, or <dir> for a folder; <missing> for one without entries. An aggregate over one workspace, whose entries it gathers."""
+    entry = F.concat(F.col(path), F.lit(between), F.when(F.col(is_folder), F.lit("<dir>")).otherwise(F.coalesce(F.col(content), F.lit(""))), F.lit(between))
+    held = F.sort_array(F.collect_list(F.when(F.col(path).isNotNull(), F.struct(F.col(path).alias("p"), entry.alias("e")))))
+    return F.sha2(F.when(F.size(held) > 0, F.array_join(F.transform(held, lambda x: x["e"]), "")).otherwise("<missing>"), 256)
+
+
 def slug(text: Column, length: int = 24) -> Column:
     return F.substring(F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), 1, length)
 

@@ -360,13 +360,25 @@ def op_w20_duplicates(spark, sf_dir):
     return W.duplicate_groups(rows, "doc_id", "n_chars", "digest").drop("digest")
 
 
-@query()
+SIZED = "(select conv_id, turn, role, cast(ceil(strlen(text) / 4.0) as bigint) as n_tokens from conversations)"
+
+
+@query(f"""with recursive b as (select *, role in ('system', 'user') as pinned from {SIZED}),
+o as (select *, row_number() over (partition by conv_id order by turn desc) as rn from b where not pinned),
+w as (select conv_id, cast(0 as bigint) as rn, count(*) filter (pinned) as c, cast(coalesce(sum(n_tokens) filter (pinned), 0) as bigint) as u, false as took from b group by conv_id
+union all select conv_id, rn, case when fits then c + 1 else c end, case when fits then u + n_tokens else u end, fits from (select o.conv_id, o.rn, w.c, w.u, o.n_tokens, w.c + 1 <= 4 and w.u + o.n_tokens <= 400 as fits from w join o on o.conv_id = w.conv_id and o.rn = w.rn + 1))
+select conv_id, turn, role, n_tokens from b where pinned union all select o.conv_id, turn, role, n_tokens from o join w using (conv_id, rn) where took""")
 def op_w18_tail(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("n_tokens", F.ceil(F.octet_length("text") / 4).cast("long"))
     return W.tail_window(rows.select("conv_id", "turn", "role", "n_tokens"), "conv_id", "turn", "role", "n_tokens", 4, 400)
 
 
-@query()
+@query(f"""with t as (select *, sum(case when role = 'assistant' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as t from {SIZED}),
+last as (select conv_id, max(t) as last from t group by conv_id), r as (select conv_id, last, unnest(range(0, cast(last as bigint) + 1)) as r from last),
+fit as (select r.conv_id, r.r from r join t on t.conv_id = r.conv_id and (t.t = 0 or t.t > r.r) group by r.conv_id, r.r having count(*) + case when r.r > 0 then 1 else 0 end <= 4 and sum(n_tokens) + case when r.r > 0 then 20 else 0 end <= 400),
+cut as (select conv_id, least(coalesce((select min(r) from fit where fit.conv_id = last.conv_id), greatest(last - 1, 0)), greatest(last - 1, 0)) as r from last)
+select conv_id, turn, role, n_tokens, false as is_summary from t join cut using (conv_id) where t.t = 0 or t.t > cut.r
+union all select conv_id, min(turn), 'user', cast(20 as bigint), true from t join cut using (conv_id) where t.t > 0 and t.t <= cut.r group by conv_id""")
 def op_w19_compaction(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("n_tokens", F.ceil(F.octet_length("text") / 4).cast("long"))
     return W.compacted_turns(rows.select("conv_id", "turn", "role", "n_tokens"), "conv_id", "turn", "role", "n_tokens", 4, 400, 20)

@@ -29,7 +29,16 @@ def training_rows(conversations: DataFrame, max_length: int = 2048, shard_width:
     return chars.join(counts, "conv_id").join(packs, "conv_id")
 
 
-@query()
+@query(f"""with recursive spans as ({SPANS}), whole as (select conv_id, string_agg(segment, '' order by turn) as text, sum(length(segment)) as total_chars, sum(case when trainable then length(segment) else 0 end) as trainable_chars from spans group by conv_id),
+chunks as (select conv_id, text, unnest(range(0, length(text), 4)) as start from whole),
+hit as (select c.conv_id, start, max(case when s.trainable and s.e - length(s.segment) < least(start + 4, length(text)) and s.e > start then 1 else 0 end) as t from chunks c join spans s on s.conv_id = c.conv_id group by c.conv_id, start),
+counts as (select conv_id, count(*) as n, sum(t) as trained, conv_id // 1000 as shard from hit group by conv_id),
+rows as (select *, row_number() over (partition by shard order by conv_id) as rn from counts),
+walk as (select shard, conv_id, n, rn, n > 2048 as oversized, cast(0 as bigint) as pack, case when n > 2048 then cast(0 as bigint) else n end as used, n <= 2048 as held from rows where rn = 1
+union all select r.shard, r.conv_id, r.n, r.rn, r.n > 2048, case when r.n <= 2048 and w.held and w.used + r.n > 2048 then w.pack + 1 else w.pack end,
+ case when r.n > 2048 then w.used when w.held and w.used + r.n > 2048 then r.n else w.used + r.n end, w.held or r.n <= 2048 from walk w join rows r on r.shard = w.shard and r.rn = w.rn + 1)
+select conv_id, cast(total_chars as bigint) as total_chars, cast(trainable_chars as bigint) as trainable_chars, c.n as n_tokens, cast(trained as bigint) as n_trained, cast(c.shard as bigint) as shard, oversized, case when oversized then null else pack end as pack, case when oversized then 0 else used - w.n end as start
+from whole join counts c using (conv_id) join walk w using (conv_id)""")
 def flow_training_rows(spark, sf_dir):
     return training_rows(table(spark, sf_dir, "conversations"))
 

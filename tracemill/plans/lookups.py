@@ -257,15 +257,20 @@ def op_x01_parse(spark, sf_dir):
     return call.select("event_id", "c.error", "c.name")
 
 
-@query()
+@query("""select event_id, case event_id % 7 when 1 then '$.k' when 2 then '$.z' when 3 then '$.k' when 4 then '$' when 5 then '$.k' else case when cast(json_extract_string(props, '$.k') as bigint) >= 50 then '$.k' end end as fault from events""")
 def op_x05_schema(spark, sf_dir):
+    """Events' properties against a schema; a flag for a number, a stray and a missing property, broken text and another type are planted."""
     schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "enum": list(range(50))}}, "additionalProperties": False}
-    return table(spark, sf_dir, "events").select("event_id", X.schema_check(F.col("props"), schema).alias("fault"))
+    k = F.col("event_id") % 7
+    text = F.when(k == 1, '{"k": true}').when(k == 2, '{"k": 3, "z": 1}').when(k == 3, "{}").when(k == 4, '{"k": ').when(k == 5, '{"k": "3"}').otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", X.schema_check(text, schema).alias("fault"))
 
 
-@query()
+@query("""select event_id, case event_id % 4 when 0 then event_type when 1 then event_type || '{' || user_id || '}' when 2 then null else 'a' || user_id end as answer from events""")
 def op_x25_boxed(spark, sf_dir):
-    text = F.concat(F.lit(r"so \boxed{"), F.col("props"), F.lit(r"} and \boxed{"), F.col("event_type"), F.lit("} done"))
+    k = F.col("event_id") % 4
+    tail = F.when(k == 0, F.concat(F.lit(r" and \boxed{"), "event_type", F.lit("} done"))).when(k == 1, F.concat(F.lit(r" then \boxed{"), "event_type", F.lit("{"), "user_id", F.lit("}} done"))).when(k == 2, r" but \boxed{never closed").otherwise(F.concat(F.lit(r"\boxed{a"), "user_id", F.lit("} end")))
+    text = F.concat(F.lit(r"so \boxed{"), F.col("props"), F.lit("}"), tail)
     return table(spark, sf_dir, "events").select("event_id", X.boxed_answer(text).alias("answer"))
 
 

@@ -43,21 +43,6 @@ def op_s03_strict(spark, sf_dir):
     return S.read_strict(spark, path, "conv_id long, turn long, role string")
 
 
-@query("select page_id, split_part(url, '/', 3) as host, split_part(url, '/', 4) as mode, split_part(split_part(url, '/', 5), '?', 1) as run from pages")
-def op_s04_runpaths(spark, sf_dir):
-    part = lambda i: F.split_part("url", F.lit("/"), F.lit(i))
-    return table(spark, sf_dir, "pages").select("page_id", part(3).alias("host"), part(4).alias("mode"), F.split_part(part(5), F.lit("?"), F.lit(1)).alias("run"))
-
-
-@query("select doc_id, case when source = 'src1' then 'direct' when source = 'src2' then 'campaign' else 'legacy' end as layout from documents where source = (select min(source) from documents where source in ('src1', 'src2', 'src3'))")
-def op_s05_layouts(spark, sf_dir):
-    """Of several layouts only the one of the best priority is read."""
-    rank = F.when(F.col("source") == "src1", 0).when(F.col("source") == "src2", 1).otherwise(2)
-    docs = table(spark, sf_dir, "documents").where("source in ('src1', 'src2', 'src3')").select("doc_id", rank.alias("rank"))
-    best = docs.agg(F.min("rank").alias("best"))
-    return docs.crossJoin(F.broadcast(best)).where("rank = best").select("doc_id", F.element_at(F.array(F.lit("direct"), F.lit("campaign"), F.lit("legacy")), F.col("rank") + 1).alias("layout"))
-
-
 @query()
 def op_s13_epochs(spark, sf_dir):
     return S.epoch_slice(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 30, 100, seed=3, copies=2)

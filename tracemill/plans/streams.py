@@ -18,10 +18,20 @@ def _finished(spark, stream, kind: str):
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-@query()
+@query("""select cast(user_id as varchar) as instance_id, cast(count(*) as int) as n, cast(count(*) filter (event_type <> 'error') as int) as n_filled from events group by user_id having count(*) filter (event_type <> 'error') >= 8""")
 def op_t01_stream(spark, sf_dir):
-    """Users' events in groups of 20 or more with a positive value, as they fill."""
+    """Users' events in groups of 8 or more of which as many have text, once they are full; errors have none."""
+    events = _events(spark, sf_dir)
+    rollouts = events.select(F.col("user_id").cast("string").alias("instance_id"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(" ").alias("content"))
+    return _finished(spark, full_groups(rollouts, 8), "groups").select("instance_id", "n", "n_filled")
+
+
+@query("select event_id, user_id, event_type from events")
+def op_k08_eventlog(spark, sf_dir):
+    """Events appended to a log of files as they arrive."""
+    return _finished(spark, _events(spark, sf_dir).select("event_id", "user_id", "event_type"), "eventlog")
+
+
+def _events(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    rollouts = events.select(F.col("user_id").cast("string").alias("instance_id"), F.col("event_type").alias("content"))
-    return _finished(spark, full_groups(rollouts, 20), "groups").select("instance_id", "n", "n_filled")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)

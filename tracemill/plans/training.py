@@ -130,7 +130,13 @@ def op_a10_firstfit(spark, sf_dir):
     return lengths.select("shard", T.first_fit_count(F.col("lengths"), 16_384).alias("n_bins"))
 
 
-@query()
+@query(f"""with recursive rows as (select {SHARD} as shard, doc_id, n_chars as n, row_number() over (partition by {SHARD} order by doc_id) - 1 as i from documents),
+walk as (select shard, count(*) as left_over, list({{'k': -n, 'h': -n, 'i': i, 'b': [{{'n': -n, 'm': [i]}}, {{'n': 0, 'm': cast([] as bigint[])}}, {{'n': 0, 'm': cast([] as bigint[])}}, {{'n': 0, 'm': cast([] as bigint[])}}]}}) as st from rows group by shard
+union all select shard, left_over - 1, list_append(st[3:], {{'k': b[1].n - b[4].n, 'h': b[1].n, 'i': i, 'b': b}}) from (
+ select shard, left_over, st, st[1].i as i, list_sort([{{'n': st[1].b[j].n + st[2].b[5 - j].n, 'm': list_concat(st[1].b[j].m, st[2].b[5 - j].m)}} for j in [1, 2, 3, 4]]) as b from (select shard, left_over, list_sort(st) as st from walk where left_over > 1))),
+bins as (select shard, unnest(st[1].b).m as m, unnest([0, 1, 2, 3]) as bin from walk where left_over = 1),
+placed as (select shard, unnest(m) as i, bin from bins)
+select rows.shard, doc_id, n as n_chars, cast(bin as int) as bin from rows join placed using (shard, i)""")
 def op_a11_kk(spark, sf_dir):
     return T.differencing(_shards(spark, sf_dir), "shard", "doc_id", "n_chars", 4)
 

@@ -60,14 +60,48 @@ def write_in_order(rows: DataFrame, path: str, key: str, order: str) -> None:
 
 
 def discover_runs(spark: SparkSession, root: str, pattern: str = "trajectory.json") -> DataFrame:
-    """(path, run, priority) of run records below root: directly in a run folder (0) or under runs/ (1); only the best layout stays."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
-    run = F.regexp_extract("path", f"([^/]+)/{re.escape(pattern)}$", 1)
-    ranked = files.select("path", run.alias("run"), F.when(F.col("path").contains("/runs/"), 1).otherwise(0).alias("priority"))
+    """(path, run, priority) of run records below root, files that the glob `pattern` names: directly in a run folder (0) or under runs/ (1); only the best layout stays."""
+    ranked = list_files(spark, root, pattern).select("path", F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("run"), F.when(F.col("path").contains("/runs/"), 1).otherwise(0).alias("priority"))
     best = ranked.agg(F.min("priority").alias("best"))
     return ranked.crossJoin(F.broadcast(best)).where("priority = best").drop("best")
 
 
+def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, size) of the files below root that the glob names; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", F.col("length").alias("size"))
+
+
+def discover_study(spark: SparkSession, root: str, pattern: str = "trajectory.json") -> DataFrame:
+    """(experiment, run, path) of the runs of every experiment of a study, which lie in experiments/<experiment>/<run>."""
+    part = lambda i: F.regexp_extract("path", "/experiments/([^/]+)/(?:runs/)?([^/]+)/[^/]+$", i)
+    return list_files(spark, root, pattern).select(part(1).alias("experiment"), part(2).alias("run"), "path").where("experiment <> ''")
+
+
+def terminal_runs(records: DataFrame, files: DataFrame) -> DataFrame:
+    """(run, path) of campaign records (run, outcome, path) whose trajectory is recorded; a path that leaves the root, or that files (path) lack, raises when it is read."""
+    ended = records.where(F.col("outcome") == "trajectory_recorded").select("run", "path")
+    found = ended.join(files.select("path", F.lit(True).alias("_there")).distinct(), "path", "left")
+    escapes = F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    fault = F.when(F.coalesce(F.trim("path"), F.lit("")) == "", "no path of ").when(escapes, "path leaves the root: ").when(F.col("_there").isNull(), "no such file: ")
+    return found.select("run", F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("run").cast("string"))).cast("string")).otherwise(F.col("path")).alias("path"))
+
+
+def load_trajectories(spark: SparkSession, root: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """The JSON documents below root, one a file; runs without one are not there, a malformed one raises when it is read."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(root)
+
+
+def read_trace(spark: SparkSession, path: str, event_schema: str) -> DataFrame:
+    """The traceEvents of profiler traces, one JSON document a line, plain or gzipped."""
+    return spark.read.schema(f"traceEvents array<struct<{event_schema}>>").json(path).select(F.explode("traceEvents").alias("e")).select("e.*")
+
+
+def buffered_first(buffer: DataFrame, dataset: DataFrame, order: str, n: int) -> DataFrame:
+    """The next n rows: those of the buffer in their order, then the dataset's, with `place` from 1."""
+    both = buffer.withColumn("_later", F.lit(0)).unionByName(dataset.withColumn("_later", F.lit(1)))
+    return global_row_number(both, ["_later", order], "place").where(F.col("place") <= n).drop("_later")
+
+
 def artifacts(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, modified, digest) of every file below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

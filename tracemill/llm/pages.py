@@ -13,7 +13,7 @@ import html as entities
 import random
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,7 +178,7 @@ def _flags(attrs: str) -> tuple[int, ...]:
 
 
 N_FEATURES = len(TAG_GROUPS) + len(BAD_GROUPS) + 2 + 2 + 15
-_NODES = 50_000  # of which features are held at once
+_NODES = 20_000  # of which features are held at once
 
 
 def features(page: Page) -> Iterator[np.ndarray]:
@@ -378,25 +378,57 @@ def fit(n_pages: int = 800, seed: int = 11) -> Trees:
     return train(np.concatenate(xs).astype(float), np.concatenate(ys).astype(float), n_trees=100, depth=5)
 
 
-def extract(source: str, trees: Trees) -> str:
-    """Main text of a page: its kept blocks in order, joined by an empty line."""
-    page = Page(source)
-    kept = decode(page, np.concatenate([trees.log_odds(x) for x in features(page)]))
+def _kept_text(page: Page, log_odds: np.ndarray) -> str:
+    kept = decode(page, log_odds)
     return "\n\n".join(text for node, text in zip(page.block_nodes, page.block_texts, strict=True) if kept[node])
 
 
+def extract(sources: Iterable[str], trees: Trees) -> list[str]:
+    """Main text of each page: its kept blocks in order, joined by an empty line.
+
+    Small pages are judged together, up to _NODES nodes at a time; a larger one alone, in parts.
+    """
+    out: list[str] = []
+    held: list[Page] = []
+    size = 0
+
+    def judge() -> None:
+        nonlocal size
+        odds, at = trees.log_odds(np.concatenate([x for p in held for x in features(p)])), 0
+        for p in held:
+            out.append(_kept_text(p, odds[at : at + len(p.tags)]))
+            at += len(p.tags)
+        held.clear()
+        size = 0
+
+    for source in sources:
+        page = Page(source)
+        if held and size + len(page.tags) > _NODES:
+            judge()
+        if len(page.tags) > _NODES:
+            out.append(_kept_text(page, np.concatenate([trees.log_odds(x) for x in features(page)])))
+        else:
+            held.append(page)
+            size += len(page.tags)
+            if sum(map(len, page.block_texts)) > _NODES * 20:
+                judge()
+    if held:
+        judge()
+    return out
+
+
 def main_text(pages: DataFrame, n_training_pages: int = 800, seed: int = 11) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row of pages (page_id, url, html).
 
     The trees are fitted on n_training_pages generated pages. Null and empty html, and pages
-    without an article, give an empty text; html of any length and depth is taken whole, one page at a
-    time; repeated rows are kept; other columns are ignored; an empty table gives no rows.
+    without an article, give an empty text; html of any length and depth is taken whole; some small pages
+    are held at once; repeated rows are kept; other columns are ignored; an empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(fit(n_training_pages, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(s.as_py() or "", shared.value) for s in batch.column("html")]
+            texts = extract((s.as_py() or "" for s in batch.column("html")), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}

@@ -584,11 +584,11 @@ def test_held_out_pages(trees):
     for _ in range(150):
         source, kept = pages._training_page(rng)
         want = [t for t in pages.Page(source).block_texts if t in kept]
-        got = pages.extract(source, trees).split("\n\n")
+        got = pages.extract([source], trees)[0].split("\n\n")
         scores.append(2 * len(set(want) & set(got)) / max(1, len(set(want)) + len(set(got))))
     assert np.mean(scores) > 0.95
     html = '<html><body><nav><a href="/">home</a></nav><div id="main"><h1>Title &amp; more</h1><p>This is real text, with\n a sentence. And <b>more</b> of it.<p>Second one, which is long enough to be read.</div><div class="comments"><p>nice post, thanks a lot. I liked it.</p></div><script>x("<p>no</p>")</script></body></html>'
-    assert pages.extract(html, trees) == "Title & more\n\nThis is real text, with a sentence. And more of it.\n\nSecond one, which is long enough to be read."
+    assert pages.extract([html], trees) == ["Title & more\n\nThis is real text, with a sentence. And more of it.\n\nSecond one, which is long enough to be read."]
 
 
 def test_the_articles_of_the_table(spark):
@@ -641,7 +641,7 @@ LAYOUTS = [
 def test_layouts_that_are_not_generated(trees):
     hit = n_got = n_want = 0
     for source, want in LAYOUTS:
-        got = [t for t in pages.extract(source, trees).split("\n\n") if t]
+        got = [t for t in pages.extract([source], trees)[0].split("\n\n") if t]
         hit, n_got, n_want = hit + len(set(got) & set(want)), n_got + len(got), n_want + len(want)
     assert hit / n_got >= 0.9 and hit / n_want >= 0.9
 
@@ -701,4 +701,44 @@ def test_pipeline_stages(spark):
     last = C.STAGES[-1][1](spark, docs, SF).collect()
     lib = piece_codec.codec(Q.tokenizer_file("piece_bpe_32k.model")).lib
     assert sorted((r.doc_id, r.ids) for r in last) == [(i, lib.encode(clean(t), add_bos=True, add_eos=True)) for i, t in kept]
-    assert C.run(spark, SF).count() == len(kept)
+    assert sorted((r.doc_id, r.ids) for r in C.run(spark, SF).collect()) == sorted((r.doc_id, r.ids) for r in last)
+
+
+def test_the_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline as C
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "q r s"), (2, None), (3, "a passage of eight words or more that is nowhere")], "item_id long, text string")
+    for name, docs, items in (("odd", odd, benchmark), ("none", none, benchmark), ("no items", odd, benchmark.where("false"))):
+        path = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        items.write.parquet(f"{path}/benchmark.parquet")
+        got = docs
+        for _, stage in C.STAGES[:-1]:
+            got = C.stored(stage(spark, got, path), "test")
+            assert got.columns == docs.columns
+            assert {tuple(r)[2:] for r in got.collect()} <= {("x",) * (len(docs.columns) - 2)}
+        assert C.run(spark, path).count() == got.count()
+        if name == "none":
+            assert got.count() == 0
+
+
+def test_stored_folders_are_deleted(spark):
+    from tracemill.llm import common
+
+    df = common.stored(spark.range(3), "test")
+    path = common.written()[-1]
+    assert df.count() == 3
+    common.release(spark, [path])
+    assert path not in common.written()
+    with pytest.raises(Exception, match=r"(?i)exist|not found"):
+        spark.read.parquet(path)
+
+
+def test_other_columns_stay_as_they_are(odd):
+    """Columns with names that the operators use themselves."""
+    extra = len(odd.columns) - 2
+    for out in (lines.drop_recurring_lines(odd), spans.drop_repeated_spans(odd), decontam.drop_contaminated(odd, odd.select(F.lit(1).alias("item_id"), F.lit("no such words in any of it").alias("text")).limit(1))):
+        own = [c for c in odd.columns[2:] if c not in ("n_lines", "n_dropped", "removed")]
+        assert {tuple(r) for r in out.select(*own).collect()} == {("x",) * len(own)} and len(own) >= extra - 2

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,32 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpointed, fresh_path, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session that names none gets a temporary one; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = os.path.join(tempfile.gettempdir(), "tracemill-checkpoints")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+__all__ = ["checkpointed", "free_name", "fresh_path", "read_table", "release", "shared_dir", "sized", "stored", "text_or_empty", "utf8_slices", "written"]
 
+#: Folders that stored() has written and release() has not deleted, oldest first.
+_written: list[str] = []
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sized(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
@@ -47,12 +27,26 @@ def sized(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; columns can be pruned on reading."""
+    """df written as Parquet to the shared folder and read again; columns can be pruned on reading. release() deletes it."""
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The folders of stored() that are still there, oldest first."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of stored() that no DataFrame will read again."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _written.remove(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until df has no such column, letter case aside."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, free_name, text_or_empty
 
 
 def _prefix(totals: dict[int, tuple[int, int]]) -> tuple[dict[int, tuple[int, int]], int, int]:
@@ -36,8 +36,9 @@ def ordered_prefix(df: DataFrame, order: list, weight: str, partitions: int | No
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # The range bounds come from a sample, so the partitions are fixed on disk before they are summed.
-    fixed = checkpointed(ranged.withColumn("_pid", F.spark_partition_id()))
-    totals = {r["_pid"]: (int(r["w"] or 0), r["n"]) for r in fixed.groupBy("_pid").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).collect()}
+    pid = free_name(df, "_pid")
+    fixed = checkpointed(ranged.withColumn(pid, F.spark_partition_id()))
+    totals = {r[pid]: (int(r["w"] or 0), r["n"]) for r in fixed.groupBy(pid).agg(F.sum(weight).alias("w"), F.count("*").alias("n")).collect()}
     before, whole, rows = _prefix(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,14 +47,14 @@ def ordered_prefix(df: DataFrame, order: list, weight: str, partitions: int | No
             if not batch.num_rows:
                 continue
             if w is None:
-                w, r = before[batch.column("_pid")[0].as_py()]
+                w, r = before[batch.column(pid)[0].as_py()]
             own = batch.column(weight).to_numpy(zero_copy_only=False).astype(np.int64)
             sums = np.cumsum(own)
-            keep = [x for x in batch.schema.names if x != "_pid"]
+            keep = [x for x in batch.schema.names if x != pid]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(w + sums - own), pa.array(r + np.arange(len(own), dtype=np.int64))], names=[*keep, "before", "row_before"])
             w, r = w + int(sums[-1]), r + len(own)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema if f.name != "_pid") + ", before long, row_before long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema if f.name != pid) + ", before long, row_before long"
     return fixed.mapInArrow(run, schema), whole, rows
 
 

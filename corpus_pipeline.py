@@ -10,19 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontam, jaccard, lines, piece_codec, quality
-from tracemill.llm.common import read_table, stored
+from tracemill.llm.common import free_name, read_table, release, stored, written
 from tracemill.llm.queries import tokenizer_file
 
 
+def _aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its own columns of the names that an operator gives its results under other names, and those names."""
+    names = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(names), names
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling keeps; those it rejects go."""
-    return quality.resample(docs, read_table(spark, sf_dir, "labels")).select(*docs.columns)
+    own, names = _aside(docs, "log_weight", "gumbel_key")
+    return quality.resample(own, read_table(spark, sf_dir, "labels")).select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines of recurring templates; n_chars is the length of what stays."""
-    cut = lines.drop_recurring_lines(docs)
-    return cut.select(*(F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    own, names = _aside(docs, "n_lines", "n_dropped")
+    cut = lines.drop_recurring_lines(own)
+    return cut.select(*(F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars") if c == "n_chars" else F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +56,14 @@ STAGES = [
     ("SentencePiece encoding and decoding", encoding),
 ]
 
-#: The classifier and the encoder have no SQL form; tests hold run() against a brute-force version.
+#: The classifier and the encoder have no SQL form. tests/llm holds each stage against brute force, SQL or the library, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is stored in the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last is stored in the shared folder and read again. What a stage stored on its way, and its input, is deleted once its output lies there."""
+    docs, before = read_table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, [p for p in written()[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -360,14 +360,19 @@ def op_v06_spans(spark, sf_dir):
     return V.checked_spans(rows, "user_id", "start", "end", "len")
 
 
-@query("""select event_id, unnest(list_filter([case when event_id % 7 = 0 then 'length_mismatch' end, case when event_id % 5 = 0 then 'mask_not_binary' end, case when event_id % 3 = 0 then 'label_not_ignored' end], lambda x: x is not null)) as code from events""")
+@query("""with k as (select conv_id, turn, (conv_id + turn) % 6 as k, turn % 2 = 1 as trained, ceil(length(text) / 4.0) as n from conversations where length(text) > 0)
+select conv_id, turn, case k when 0 then 'length_mismatch' when 1 then 'mask_not_binary' when 2 then 'label_not_ignored' when 3 then 'label_not_id' end as code from k where k in (0, 1) or (k = 2 and not trained) or (k = 3 and trained)""")
 def op_v07_tokenized(spark, sf_dir):
-    i = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(
-        "event_id", F.array(F.lit(5), F.lit(6), F.lit(7)).alias("ids"), F.when(i % 7 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(1), F.lit(1))).alias("att"),
-        F.array(F.when(i % 3 == 0, 9).otherwise(-100), F.lit(6), F.lit(7)).alias("labels"), F.array(F.lit(0), F.lit(1), F.when(i % 5 == 0, 2).otherwise(1)).alias("mask"),
-    )
-    return V.violations(rows, ["event_id"], V.tokenized_rules("ids", "att", "labels", "mask"))
+    """Messages as tokenized examples, odd turns trained; a missing entry, a mask of 2, a label under a mask of 0 and one that is another id are planted."""
+    from ..operators import tokens as T
+
+    ids = T.chunk_tokens(table(spark, sf_dir, "conversations")).groupBy("conv_id", "turn").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token_id"))), lambda x: x["token_id"]).alias("ids"))
+    k, n = (F.col("conv_id") + F.col("turn")) % 6, F.size("ids")
+    flag = F.col("turn") % 2
+    head = lambda first, rest: F.concat(F.array(first), F.slice(rest, F.lit(2), n))
+    rows = ids.withColumns({"att": F.array_repeat(F.lit(1), n), "mask": F.array_repeat(flag.cast("int"), n), "labels": F.transform("ids", lambda x: F.when(flag == 1, x).otherwise(-100))})
+    rows = rows.withColumns({"att": F.when(k == 0, F.slice("att", F.lit(2), n)).otherwise(F.col("att")), "mask": F.when(k == 1, head(F.lit(2), F.col("mask"))).otherwise(F.col("mask")), "labels": F.when(k == 2, F.when(flag == 0, head(F.lit(7).cast("long"), F.col("labels"))).otherwise(F.col("labels"))).when(k == 3, F.when(flag == 1, head(F.lit(-5).cast("long"), F.col("labels"))).otherwise(F.col("labels"))).otherwise(F.col("labels"))})
+    return V.violations(rows, ["conv_id", "turn"], V.tokenized_rules("ids", "att", "labels", "mask"))
 
 
 @query("select code, count(*) as n from (select unnest(list_filter([case when coalesce(trim(text), '') = '' then 'empty_text' end, case when n_chars <> length(text) then 'length' end, case when lang not in ('en', 'de') then 'language' end, case when n_chars > 10000 then 'too_long' end], lambda x: x is not null)) as code from documents) group by code")

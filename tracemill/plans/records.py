@@ -148,9 +148,12 @@ def op_g21_samplemetrics(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.avg("n_chars"), 6).alias("mean_length"), F.max("n_chars").alias("max_length"), F.round(F.avg((F.col("n_chars") >= 8000).cast("int")), 9).alias("truncated_ratio"))
 
 
-@query("select role, count(*) as n from conversations group by role")
+@query("select case when length(text) > 400 then 'long' when text = '' then 'empty' else 'short' end as class, role as kind, count(*) as n, cast(sum(length(text)) as bigint) as size from conversations group by all")
 def op_g31_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"))
+    """Artifacts of each retention class by kind, with their size."""
+    n = F.length("text")
+    kept = F.when(n > 400, "long").when(n == 0, "empty").otherwise("short")
+    return table(spark, sf_dir, "conversations").groupBy(kept.alias("class"), F.col("role").alias("kind")).agg(F.count("*").alias("n"), F.sum(n).alias("size"))
 
 
 @query("select 'sessions' as counter, count(distinct user_id) as n from events union all select 'requests', count(*) from events union all select 'skipped', count(*) from events where event_type = 'error' union all select 'types', count(distinct event_type) from events")
@@ -225,17 +228,18 @@ def op_x13_reorder(spark, sf_dir):
     return out.join(changed, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "new")
 
 
-@query("select event_id, chr(65 + cast(user_id % 4 as int)) as letter from events")
+#: Documents that end in an answer of some form, or in none.
+_SAID = "text || chr(10) || case doc_id % 6 when 0 then 'So the answer is (' || chr(cast(65 + doc_id % 9 as int)) || ').' when 1 then 'I pick (' || chr(cast(65 + doc_id % 4 as int)) || ') here' when 2 then 'well, ' || chr(cast(65 + doc_id % 5 as int)) when 3 then 'Answer: b' when 4 then 'ANSWER : ' || source || chr(10) || 'answer:  ' || lang || ' ' else '' end"
+
+
+@query(f"select doc_id, coalesce(nullif(upper(regexp_extract(said, '(?i)answer\\s*(?:is|:)\\s*\\(?([A-J])\\)?', 1)), ''), nullif(upper(regexp_extract(said, '\\(([A-J])\\)', 1)), ''), nullif(upper(regexp_extract(said, '(?:^|\\s)([A-J])(?:[.)]|\\s*$)', 1)), '')) as letter from (select doc_id, {_SAID} as said from documents)")
 def op_x23_choice(spark, sf_dir):
-    letter = F.chr((65 + F.col("user_id") % 4).cast("int"))
-    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("So the answer is ("), letter, F.lit(").")))
-    said = said.when(F.col("event_id") % 3 == 1, F.concat(F.lit("I pick ("), letter, F.lit(") here"))).otherwise(F.concat(F.lit("well, "), letter))
-    return table(spark, sf_dir, "events").select("event_id", P.choice_letter(said).alias("letter"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.choice_letter(F.expr(_SAID.replace("chr(10)", "char(10)").replace("chr(cast", "char(cast"))).alias("letter"))
 
 
-@query("select event_id, event_type as answer from events")
+@query(f"select doc_id, coalesce(trim(regexp_extract_all(right(said, 300), '(?i)Answer\\s*:\\s*([^\\n]+)', 1)[-1]), '[INVALID]') as answer from (select doc_id, {_SAID} as said from documents)")
 def op_x24_final(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", X.final_answer(F.concat(F.lit("Answer: no\nthinking\nanswer :  "), F.col("event_type"), F.lit(" \nend"))).alias("answer"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.final_answer(F.expr(_SAID.replace("chr(10)", "char(10)").replace("chr(cast", "char(cast"))).alias("answer"))
 
 
 @query("select event_id, case event_type when 'view' then value when 'click' then value * 2 else 0.0 end as reward from events")

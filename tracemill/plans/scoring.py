@@ -20,15 +20,21 @@ def op_x37_exactmatch(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(score, 9).alias("score"))
 
 
-@query("select event_id, event_id % 3 = 0 as nested from events")
+@query("select event_id, event_id % 6 in (1, 3, 4) as nested from events")
 def op_x07_nested(spark, sf_dir):
-    props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": [1, {"b": '), "props", F.lit("}]}"))).otherwise(F.col("props"))
+    """An object in an object, at any depth and through lists; an object in a list alone, plain properties and broken text are not."""
+    k = F.col("event_id") % 6
+    wrap = lambda before, after: F.concat(F.lit(before), F.col("props"), F.lit(after))
+    props = F.when(k == 0, wrap("[1, ", "]")).when(k == 1, wrap('{"a": ', "}")).when(k == 2, wrap('{"a": [', "]}")).when(k == 3, wrap('{"a": [1, {"b": ', "}]}")).when(k == 4, wrap('[[{"x": 1, "y": ', "}]]")).otherwise(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", C.has_nested(props).alias("nested"))
 
 
-@query("select event_id, case when event_id % 2 = 0 then 'metadata.a[1].Api_Key' end as path from events")
+@query("select event_id, case event_id % 5 when 0 then 'metadata.u' || user_id || '[1].Api_Key' when 1 then 'metadata.TOKEN' when 2 then 'metadata.' || event_type || '.in.token' end as path from events")
 def op_x20_secretkey(spark, sf_dir):
-    body = F.when(F.col("event_id") % 2 == 0, '{"a": [1, {"x": 2, "Api_Key": "z"}]}').otherwise(F.col("props"))
+    """Keys that name secrets, in any letter case, in lists and objects; values and parts of names do not count."""
+    k = F.col("event_id") % 5
+    body = F.when(k == 0, F.concat(F.lit('{"k": 1, "u'), "user_id", F.lit('": [1, {"x": 2, "Api_Key": "z"}], "token": 3}'))).when(k == 1, F.concat(F.lit('{"TOKEN": '), "props", F.lit("}")))
+    body = body.when(k == 2, F.concat(F.lit('{"'), "event_type", F.lit('": {"in": {"token": '), "props", F.lit("}}}"))).when(k == 3, '{"tokens": "token", "key": ["api_key"]}').otherwise(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", C.secret_key(body, ["api_key", "token"]).alias("path"))
 
 

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import filters, joins, metrics, ordered, rl, rules, text, tokens
+from tracemill.functions.numbering import global_row_number
+from tracemill.operators import contracts, filters, joins, metrics, ordered, rl, rules, text, tokens
 from tracemill.operators import messages as M
 from tracemill.sources import records
 
@@ -221,3 +222,86 @@ def test_runs_and_artifacts(spark, tmp_path):
     (tmp_path / "runs" / "r2" / "trajectory.json").write_text("{}")
     assert [r.run for r in records.discover_runs(spark, str(tmp_path)).collect()] == ["r1"]
     assert records.artifacts(spark, str(tmp_path)).count() == 2
+
+
+# ---- contracts
+
+
+SAMPLE = "sample_id string, sample_type string, source_type string, split string, task_id string, tool_profile_id string, text string, segments array<struct<kind:string,text:string,trainable:boolean>>, spans array<struct<start:long,end:long,trainable:boolean>>, character_mask array<int>, trainable_char_count long, reward double, status string, verifier_passed boolean, verifier_score double"
+
+
+def test_sample_invariants(spark):
+    good = {
+        "sample_id": "s", "sample_type": "t", "source_type": "u", "split": "train", "task_id": "k", "tool_profile_id": "p", "text": "abcd", "segments": [("user", "ab", False), ("assistant_tool_call", "cd", True)],
+        "spans": [(0, 2, False), (2, 4, True)], "character_mask": [0, 0, 1, 1], "trainable_char_count": 2, "reward": None, "status": None, "verifier_passed": None, "verifier_score": None,
+    }
+    changes = [({}, []), ({"character_mask": [1, 1, 0, 0]}, ["mask_segments"]), ({"split": None}, ["blank_split"]), ({"reward": 1.0}, ["outcome"]), ({"text": "abce"}, ["text_segments"]), ({"spans": [(0, 2, False)]}, ["span_count", "span_bounds"]), ({"segments": [("", "ab", False), ("assistant_tool_call", "cd", True)]}, ["segment_kind"])]
+    df = spark.createDataFrame([tuple((good | c).values()) for c, _ in changes], SAMPLE)
+    assert [r[0] for r in df.select(contracts.sample_faults()).collect()] == [f for _, f in changes]
+
+
+def test_an_empty_bundle_is_an_issue(spark):
+    none = spark.createDataFrame([], "index long, sample_id string, task_id string, tool_profile_id string, source_type string")
+    packed = spark.createDataFrame([], "sequence long, source_spans array<int>, unpacked int")
+    assert [r.code for r in contracts.bundle_issues(none, none, packed).collect()] == ["prepared_empty_bundle"]
+
+
+def test_histories(spark):
+    rows = [("r", 1, ["a"], ["a"], ["a"], False), ("r", 2, ["s"], ["a", "b"], ["b"], True), ("r", 3, ["s", "c"], ["s", "c"], ["c"], False), ("r", 4, ["x"], ["s"], ["d"], False)]
+    df = spark.createDataFrame(rows, "run_id string, turn_index int, selected array<string>, before array<string>, new_sources array<string>, compacted boolean")
+    got = [(r.kind, r.prefix_ok, r.suffix_ok) for r in contracts.history_transitions(df).orderBy("turn_index").collect()]
+    assert got == [("initial_snapshot", True, True), ("replacement_compaction", True, True), ("append_only", True, True), ("append_only", False, False)]
+
+
+def test_lengths_and_skips(spark):
+    df = spark.createDataFrame([("abc", 3), ("abcdef", 6)], "p string, n int")
+    assert contracts.within_length(df, "p", F.col("n"), 4).count() == 1 and contracts.within_length(df, "p", F.col("n"), None).count() == 2
+    assert contracts.within_length(df.select(F.array("p").alias("p"), "n"), "p", F.col("n"), 4).count() == 2
+    got = spark.range(1).select(contracts.skip_reason(F.lit(None).cast("boolean"), F.lit(1), F.lit(True), F.lit(True)).alias("a"), contracts.skip_reason(F.lit(True), F.lit(1), F.lit(True), F.lit(True)).alias("b")).first()
+    assert tuple(got) == ("not_extracted", None)
+
+
+def test_spans_in_a_ring_have_no_depth(spark):
+    events = [("t", "a", "b", "span_start", 1), ("t", "b", "a", "span_start", 2), ("t", "c", None, "span_start", 3), ("t", "d", "c", "span_start", 4), ("t", "e", "d", "span_start", 5), ("t", "c", None, "span_end", 9), ("t", "f", "e", "span_end", 30)]
+    df = spark.createDataFrame(events, "trace_id string, span_id string, parent_span_id string, type string, ts long")
+    got = {r.span_id: (r.kind, r.depth, r.end, r.clipped_by) for r in ordered.span_tree(df).collect()}
+    assert got == {"a": ("open", 0, 30, "row_end"), "b": ("open", 0, 30, "row_end"), "c": ("closed", 0, 9, None), "d": ("open", 1, 9, "ancestor_end"), "e": ("open", 2, 9, "ancestor_end"), "f": ("orphan", 2, 30, None)}
+
+
+def test_terminal_runs_and_trajectories_raise(spark, tmp_path):
+    files = spark.createDataFrame([("runs/1/t.json",)], "path string")
+    ended = lambda path: spark.createDataFrame([(1, "trajectory_recorded", path), (2, "aborted", "../x")], "run int, outcome string, path string")
+    assert rows(records.terminal_runs(ended("runs/1/t.json"), files)) == [(1, "runs/1/t.json")]
+    for path, fault in (("../t.json", "leaves the root"), ("runs/2/t.json", "no such file"), (None, "no path")):
+        with pytest.raises(Exception, match=fault):
+            records.terminal_runs(ended(path), files).collect()
+    (tmp_path / "a.json").write_text('{"x":\n 1}')
+    assert [r.x for r in records.load_trajectories(spark, str(tmp_path), "x long").collect()] == [1]
+    (tmp_path / "b.json").write_text('{"x": ')
+    with pytest.raises(Exception):  # noqa: B017
+        records.load_trajectories(spark, str(tmp_path), "x long").collect()
+
+
+def test_calls_are_escaped(spark):
+    df = spark.range(1).select(M.call_text(F.lit('a"b'), F.lit("é\n"), F.create_map(F.lit("z"), F.lit("1"), F.lit("b"), F.lit('"x"'))).alias("c"), M.call_text(F.lit("i"), F.lit("n"), F.lit(None).cast("map<string,string>")).alias("d"))
+    assert tuple(df.first()) == ('<|tool|>\n{"arguments": {"b": "x", "z": 1}, "id": "a\\"b", "name": "é\\n"}\n<|end|>\n', '<|tool|>\n{"arguments": {}, "id": "i", "name": "n"}\n<|end|>\n')
+
+
+def test_numbers_follow_any_order(spark):
+    df = spark.createDataFrame([("b", 2), (None, 1), ("a", 5), ("b", 1)] + [("z", i) for i in range(50)], "k string, v int")
+    got = [(r.k, r.v) for r in global_row_number(df, ["k", "v"], partitions=3).orderBy("rn").collect()]
+    assert got == [(None, 1), ("a", 5), ("b", 1), ("b", 2)] + [("z", i) for i in range(50)]
+    assert global_row_number(df.where("false"), ["k"]).count() == 0
+
+
+def test_quantiles_interpolate(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(1, 11)] + [("b", 7.0), ("b", None)], "g string, v double")
+    got = metrics.quantiles(df, "v", {"p50": 0.5, "p95": 0.95}, "g").withColumn("p95", F.round("p95", 9))
+    assert rows(got, "g") == [("a", 10, 5.5, 9.55), ("b", 1, 7.0, 7.0)]
+    assert rows(metrics.quantiles(df, "v", {"p50": 0.5})) == [(11, 6.0)]
+
+
+def test_overlapping_marks_cover_tokens(spark):
+    cut = spark.createDataFrame([("k", 4 * i, 4 * i + 4, i) for i in range(6)], "key string, start int, end int, token_id long")
+    spans = spark.createDataFrame([("k", 1, 14, True), ("k", 2, 3, True), ("k", 15, 17, False), ("k", 23, 24, True)], "key string, start long, end long, trainable boolean")
+    assert [r.trained for r in tokens.token_mask(cut, spans, "key").orderBy("start").collect()] == [1, 1, 1, 1, 0, 1]

@@ -79,7 +79,8 @@ def quantiles(rows: DataFrame, value: str, at: dict[str, float], *by: str) -> Da
     picked = ranked.where(reduce(lambda a, b: a | b, [(place == x) | (place == x + 1) for x in low.values()]))
     at_place = lambda x: F.max(F.when(place == x, F.col("_v")))
     parts = picked.groupBy(*groups, "n").agg(*(c for k, x in low.items() for c in (at_place(x).alias(f"_lo_{k}"), at_place(x + 1).alias(f"_hi_{k}"))))
-    between = lambda k, p: F.col(f"_lo_{k}") + (p * (F.col("n") - 1) - low[k]) * (F.coalesce(f"_hi_{k}", f"_lo_{k}") - F.col(f"_lo_{k}"))
+    at_p = lambda p: p * (F.col("n") - 1)
+    between = lambda k, p: F.when(F.col(f"_hi_{k}").isNull(), F.col(f"_lo_{k}")).otherwise((low[k] + 1 - at_p(p)) * F.col(f"_lo_{k}") + (at_p(p) - low[k]) * F.col(f"_hi_{k}"))
     return parts.select(*groups, "n", *(between(k, p).alias(k) for k, p in at.items()))
 
 
@@ -105,9 +106,9 @@ def whiten(rows: DataFrame, value: str, mask: str, keep_mean: bool = False, eps:
     """rows with `whitened`: the value less the masked mean, over the masked deviation, from sums over all rows, of differences from the mean."""
     m, v = F.col(mask), F.col(value)
     means = rows.agg(F.sum(m).alias("_n"), F.sum(v * m).alias("_s"))
-    sums = rows.select(value, mask).crossJoin(F.broadcast(means)).groupBy("_n", "_s").agg(F.sum((v - F.col("_s") / F.col("_n")) ** 2 * m).alias("_q"))
-    mean = F.col("_s") / F.col("_n")
-    var = F.col("_q") / F.col("_n")
+    sums = rows.select(value, mask).crossJoin(F.broadcast(means)).groupBy("_n", "_s").agg(F.sum((v - F.try_divide("_s", "_n")) ** 2 * m).alias("_q"))
+    mean = F.try_divide("_s", "_n")
+    var = F.try_divide("_q", "_n")
     unbiased = F.when(F.col("_n") >= 2, var * F.col("_n") / (F.col("_n") - 1)).otherwise(var)
     out = (v - mean) / F.sqrt(unbiased + eps)
     checked = F.when(F.col("_n") == 0, F.raise_error(F.lit("the mask is empty"))).otherwise(out + mean if keep_mean else out)

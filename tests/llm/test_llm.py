@@ -436,7 +436,7 @@ def test_texts_without_spans_equal_brute_force(spark):
     import duckdb
 
     rows = duckdb.connect().execute("select doc_id, text from '/root/testdata/sf0.01/documents.parquet' where doc_id < 500 and text is not null").fetchall()
-    rows += [(1000, "Ἄνδρα μοι ἔννεπε, Μοῦσα, πολύτροπον, ὃς μάλα πολλὰ πλάγχθη. Ἐπεὶ Τροίης ἱερὸν πτολίεθρον ἔπερσε!"), (1001, "«Oui» (là.) Ἄνδρα μοι ἔννεπε, Μοῦσα, πολύτροπον, ὃς μάλα πολλὰ πλάγχθη. Ἐπεὶ Τροίης ἱερὸν πτολίεθρον ἔπερσε!\u3000Fin (là.) et")]
+    rows += [(1000, "Ἄνδρα μοι ἔννεπε, Μοῦσα, πολύτροπον, ὃς μάλα πολλὰ πλάγχθη. Ἐπεὶ Τροίης ἱερὸν πτολίεθρον ἔπερσε!"), (1001, "«Oui» (là.) Ἄνδρα μοι ἔννεπε, Μοῦσα, πολύτροπον, ὃς μάλα πολλὰ πλάγχθη. Ἐπεὶ Τροίης ἱερὸν πτολίεθρον ἔπερσε! Fin\u3000 (là.) et")]
     got = spans.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), changed_only=True, grow=True).collect()
     want = brute_span_texts(rows)
     assert {r.doc_id: r.text for r in got} == want and 1001 in want and any(not t.isascii() for t in want.values())

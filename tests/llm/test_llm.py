@@ -602,6 +602,20 @@ def test_lines_on_odd_rows(odd, none):
     assert lines.drop_recurring_lines(none).count() == 0
 
 
+def test_lines_have_no_python_in_their_plans(spark, monkeypatch):
+    """The whole of the operator is native: no plan, those cut by checkpoints included, runs a Python worker."""
+    plans = []
+    plain = lines.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return plain(df)
+
+    monkeypatch.setattr(lines, "checkpointed", seen)
+    plans.append(Q.op9_lines(spark, SF)._jdf.queryExecution().toString())
+    assert len(plans) > 4 and not [p for p in plans if re.search(r"Python|Arrow|Pandas|SerializeFromObject", p)]
+
+
 def test_lines_equal_sql(spark):
     import duckdb
 

@@ -142,7 +142,9 @@ def _needed_probes(placed: DataFrame, asked: DataFrame, centers: np.ndarray, k:
                 far = ((q * q).sum(1)[:, None] + (x[part] * x[part]).sum(1)[None, :] - 2 * q @ x[part].T).clip(0)
                 i, j = np.nonzero((far <= best_d[:, -1:]) & (x_ids[part][None, :] != ids[:, None]))
                 _merged(best_d, best_i, i, x_ids[part][j], far[i, j])
-            home |= {v: c for v, c in zip(x_ids.tolist(), batch.column("list").to_pylist(), strict=True) if v in set(best_i.ravel().tolist())}
+            best = np.unique(best_i)
+            held = np.isin(x_ids, best)
+            home |= zip(x_ids[held].tolist(), batch.column("list").to_numpy()[held].tolist(), strict=True)
         held = np.isfinite(best_d)
         found = best_i[held]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[held.ravel()]), pa.array(found), pa.array([home[v] for v in found.tolist()], pa.int32()), pa.array(best_d[held])], names=["query_id", "vec_id", "list", "far"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,17 +136,43 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def tree_digest(path: str, size: str, digest: str, between: str = "\0") -> Column:
-    """SHA-256 over the sorted path, size and digest lines of a tree; an aggregate."""
-    line = F.concat(F.col(path), F.lit(between), F.col(size).cast("string"), F.lit(between), F.col(digest), F.lit("\n"))
-    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l")))), lambda x: x["l"]), ""), 256)
+def digests_in_order(rows: DataFrame, tree: str, path: str, entry: Column) -> DataFrame:
+    """(tree, digest): the SHA-256 of each tree's entries in the order of their paths.
 
+    A digest over an order is one sequence, so a tree is one task's; it is hashed as its sorted rows
+    stream by and never held as a whole. Entries of equal paths follow in the order of their texts.
+    """
+    kind = rows.schema[tree].dataType.simpleString()
+    placed = rows.select(tree, F.col(path).alias("_path"), entry.alias("_entry")).repartition(F.col(tree)).sortWithinPartitions(tree, "_path", "_entry")
 
-def workspace_digest(path: str, content: str, is_folder: str, between: str = "\0") -> Column:
-    """SHA-256 of a workspace: its sorted paths, each with its content, or <dir> for a folder; <missing> for one without entries. An aggregate over one workspace, whose entries it gathers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest, begun = None, hashlib.sha256(), False
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if begun and key != own:
+                    yield _digest_row(batch.schema.field(0), own, digest)
+                    digest = hashlib.sha256()
+                own, begun = key, True
+                digest.update((text or "").encode())
+        if begun:
+            yield _digest_row(batch.schema.field(0), own, digest)
+
+    return placed.mapInArrow(run, f"`{tree}` {kind}, digest string")
+
+
+def _digest_row(field: pa.Field, key, digest) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key], field.type), pa.array([digest.hexdigest()])], names=[field.name, "digest"])
+
+
+def tree_digests(rows: DataFrame, tree: str, path: str, size: str, digest: str, between: str = "\0") -> DataFrame:
+    """(tree, digest) over the sorted path, size and digest lines of each tree."""
+    return digests_in_order(rows, tree, path, F.concat(F.col(path), F.lit(between), F.col(size).cast("string"), F.lit(between), F.col(digest), F.lit("\n")))
+
+
+def workspace_digests(rows: DataFrame, workspace: str, path: str, content: str, is_folder: str, between: str = "\0") -> DataFrame:
+    """(workspace, digest) over the sorted paths of each, with their content, or <dir> for a folder; <missing> where the only path is null."""
     entry = F.concat(F.col(path), F.lit(between), F.when(F.col(is_folder), F.lit("<dir>")).otherwise(F.coalesce(F.col(content), F.lit(""))), F.lit(between))
-    held = F.sort_array(F.collect_list(F.when(F.col(path).isNotNull(), F.struct(F.col(path).alias("p"), entry.alias("e")))))
-    return F.sha2(F.when(F.size(held) > 0, F.array_join(F.transform(held, lambda x: x["e"]), "")).otherwise("<missing>"), 256)
+    return digests_in_order(rows, workspace, path, F.coalesce(entry, F.lit("<missing>")))
 
 
 def slug(text: Column, length: int = 24) -> Column:

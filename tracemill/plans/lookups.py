@@ -160,7 +160,7 @@ def op_x14_fingerprint(spark, sf_dir):
 @query("select source, sha256(string_agg(p || chr(1) || n_chars || chr(1) || sha256(text) || chr(10), '' order by p)) as digest from (select *, lpad(cast(doc_id as varchar), 8, '0') as p from documents) group by source")
 def op_x15_treedigest(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("p"), "n_chars", F.sha2("text", 256).alias("h"))
-    return rows.groupBy("source").agg(X.tree_digest("p", "n_chars", "h", "\x01").alias("digest"))
+    return X.tree_digests(rows, "source", "p", "n_chars", "h", "\x01")
 
 
 #: Documents with a secret of each kind planted in every fifth one, in forms that differ in case, spelling and layout.

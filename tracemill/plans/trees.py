@@ -185,4 +185,4 @@ def op_x36_workspace(spark, sf_dir):
     entries = nations.select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_name").alias("path"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("folder"))
     entries = entries.union(nations.select("n_regionkey", F.concat("n_name", F.lit("/key")), F.col("n_nationkey").cast("string"), F.lit(False)))
     entries = entries.union(spark.createDataFrame([(-1, None, None, None)], "r_regionkey int, path string, content string, folder boolean"))
-    return entries.groupBy("r_regionkey").agg(X.workspace_digest("path", "content", "folder", "\x01").alias("digest"))
+    return X.workspace_digests(entries, "r_regionkey", "path", "content", "folder", "\x01")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import metrics as G
 from ..operators import rl as R
 from ..operators import rules as V
 from ..operators import text as X
@@ -77,7 +78,7 @@ def op_j09_lineage(spark, sf_dir):
 @query("""with a as (select event_type, count(*) as n, median(value) as m from events where user_id < 75 group by event_type), b as (select event_type, count(*) as n, median(value) as m from events where user_id >= 75 and event_type <> 'signup' group by event_type) select coalesce(a.event_type, b.event_type) as event_type, b.n - a.n as n, round(b.m - a.m, 6) as m from a full join b on a.event_type = b.event_type""")
 def op_j11_delta(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    side = lambda c: events.where(c).groupBy("event_type").agg(F.count("*").alias("n"), F.median("value").alias("m"))
+    side = lambda c: G.quantiles(events.where(c), "value", {"m": 0.5}, "event_type")
     d = J.deltas(side("user_id < 75"), side("user_id >= 75 and event_type <> 'signup'"), "event_type", ["n", "m"])
     return d.select("event_type", "n", F.round("m", 6).alias("m"))
 

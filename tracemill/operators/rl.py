@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,3 +107,25 @@ def last_n(values: Column, n: Column) -> Column:
     """Without the first entry, the last n."""
     rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
     return F.when(n > 0, F.slice(rest, F.greatest(F.size(rest) - n + 1, F.lit(1)), n)).otherwise(F.slice(rest, F.lit(1), F.lit(0)))
+
+
+def loss_report(tokens: DataFrame, sample: str, mask: Column, values: dict[str, Column], per_token: bool = False) -> DataFrame:
+    """One row: n_samples, n_tokens (of the mask), and each value as the sum of its samples' masked means, or with per_token as its masked sum.
+
+    A sample whose mask is empty counts as one of mean 0.
+    """
+    m = mask.cast("double")
+    per = tokens.groupBy(sample).agg(F.sum(m).alias("_m"), *(F.sum(v * m).alias(n) for n, v in values.items()))
+    share = {n: F.col(n) if per_token else F.col(n) / F.greatest(F.col("_m"), F.lit(1.0)) for n in values}
+    return per.agg(F.count("*").alias("n_samples"), F.sum("_m").cast("long").alias("n_tokens"), *(F.sum(c).alias(n) for n, c in share.items()))
+
+
+def policy_report(tokens: DataFrame, sample: str, mask: Column, new: Column, old: Column, advantage: Column, low: float, high: float, per_token: bool = False) -> DataFrame:
+    """The clipped policy loss, the share of clipped tokens and the divergence (old less new log probability) of a batch, as loss_report() reduces them."""
+    loss, clipped = clipped_loss(F.exp(new - old), advantage, low, high)
+    return loss_report(tokens, sample, mask, {"pg_loss": loss, "pg_clipfrac": clipped.cast("double"), "ppo_kl": old - new}, per_token)
+
+
+def sft_report(tokens: DataFrame, sample: str, mask: Column, log_prob: Column, per_token: bool = False) -> DataFrame:
+    """The negative log likelihood of a batch, as loss_report() reduces it."""
+    return loss_report(tokens, sample, mask, {"loss": -log_prob}, per_token)

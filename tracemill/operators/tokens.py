@@ -124,12 +124,13 @@ def least_loaded(rows: DataFrame, shard: str, order: str, length: str, k: int, e
     return rows.select(shard, order, length).groupBy(shard).applyInPandas(deal, f"`{shard}` {kinds[shard]}, `{order}` {kinds[order]}, `{length}` {kinds[length]}, bin int")
 
 
-def differencing(rows: DataFrame, shard: str, order: str, length: str, k: int) -> DataFrame:
+def differencing(rows: DataFrame, shard: str, order: str, length: str, k: int, equal_size: bool = False) -> DataFrame:
     """Rows of each shard dealt to k bins by the largest differencing method, so that sums are near equal.
 
     Partial solutions are merged by largest spread first, the heaviest bin of one with the lightest
-    of the other; among equal spreads the one with the heavier bin goes first. A shard with fewer
-    than k rows raises.
+    of the other; among equal spreads the one with the heavier bin goes first. equal_size keeps the counts
+    level: it begins with solutions of k rows of like size, one in each bin, so a shard's rows must
+    divide by k. A shard with fewer than k rows raises.
     """
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,9 +138,13 @@ def differencing(rows: DataFrame, shard: str, order: str, length: str, k: int) -
             raise ValueError(f"{len(pdf)} rows for {k} bins")
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         entries = []
-        for size, i in sorted(zip(pdf[length].astype(int), range(len(pdf)), strict=True)):
-            bins = [(size, [i])] + [(0, []) for _ in range(k - 1)]
-            entries.append((-size, -size, i, bins))
+        ordered = sorted(zip(pdf[length].astype(int).tolist(), range(len(pdf)), strict=True))
+        if equal_size and len(ordered) % k:
+            raise ValueError(f"{len(ordered)} rows do not divide into {k} bins")
+        step = k if equal_size else 1
+        for at in range(0, len(ordered), step):
+            bins = sorted([(size, [i]) for size, i in ordered[at : at + step]] + [(0, []) for _ in range(k - step)], key=lambda t: (-t[0], t[1]))
+            entries.append((bins[-1][0] - bins[0][0], -bins[0][0], ordered[at][1], bins))
         heapq.heapify(entries)
         while len(entries) > 1:
             a, b = heapq.heappop(entries), heapq.heappop(entries)

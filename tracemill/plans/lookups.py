@@ -350,6 +350,31 @@ def op_a27_teacher(spark, sf_dir):
     return _orders_arrays(spark, sf_dir).select("l_orderkey", F.array_join(F.transform(R.last_n(F.col("r"), F.lit(2)), lambda x: x.cast("long").cast("string")), ",").alias("tail"))
 
 
+_TOKENS = "(select l_orderkey as s, case when l_linestatus = 'O' then 1.0 else 0.0 end as m, -l_discount * 8 as new, -l_tax * 8 as old, case l_returnflag when 'R' then -1.0 when 'A' then 0.5 else 1.0 end as a from lineitem)"
+_CLIPPED = "greatest(-r * a, -greatest(0.8, least(1.28, r)) * a)"
+
+
+def _batch_tokens(spark, sf_dir):
+    advantage = F.when(F.col("l_returnflag") == "R", -1.0).when(F.col("l_returnflag") == "A", 0.5).otherwise(1.0)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s"), (F.col("l_linestatus") == "O").cast("int").alias("m"), (F.col("l_discount") * -8).alias("new"), (F.col("l_tax") * -8).alias("old"), advantage.alias("a"))
+
+
+@query(f"""with t as (select *, exp(new - old) as r from {_TOKENS}), p as (select s, sum(m) as m, sum({_CLIPPED} * m) as l, sum(case when -greatest(0.8, least(1.28, r)) * a > -r * a then m else 0 end) as c, sum((old - new) * m) as k from t group by s)
+select count(*) as n_samples, cast(sum(m) as bigint) as n_tokens, round(sum(l / greatest(m, 1)), 6) as pg_loss, round(sum(c / greatest(m, 1)), 6) as pg_clipfrac, round(sum(k / greatest(m, 1)), 6) as ppo_kl from p""")
+def op_a26_policy(spark, sf_dir):
+    report = R.policy_report(_batch_tokens(spark, sf_dir), "s", F.col("m"), F.col("new"), F.col("old"), F.col("a"), 0.2, 0.28)
+    return report.select("n_samples", "n_tokens", *(F.round(c, 6).alias(c) for c in ("pg_loss", "pg_clipfrac", "ppo_kl")))
+
+
+@query(f"""with p as (select s, sum(m) as m, sum(-new * m) as l from {_TOKENS} group by s)
+select count(*) as n_samples, cast(sum(m) as bigint) as n_tokens, round(sum(l / greatest(m, 1)), 6) as mean_loss, round(sum(l), 6) as token_loss from p""")
+def op_a26_sft(spark, sf_dir):
+    """The supervised loss of a batch as the sum of its samples' means, and as the sum of its tokens."""
+    rows = _batch_tokens(spark, sf_dir)
+    means, tokens = R.sft_report(rows, "s", F.col("m"), F.col("new")), R.sft_report(rows, "s", F.col("m"), F.col("new"), per_token=True)
+    return means.select("n_samples", "n_tokens", F.round("loss", 6).alias("mean_loss")).crossJoin(tokens.select(F.round("loss", 6).alias("token_loss")))
+
+
 # ---- rules
 
 

@@ -141,6 +141,20 @@ def op_a11_kk(spark, sf_dir):
     return T.differencing(_shards(spark, sf_dir), "shard", "doc_id", "n_chars", 4)
 
 
+@query("""with recursive rows as (select event_id // 40 as shard, event_id, cast(floor(value * 100) as bigint) as n, row_number() over (partition by event_id // 40 order by event_id) - 1 as i from events),
+ranked as (select *, (row_number() over (partition by shard order by n, i) - 1) // 4 as part from rows),
+parts as (select shard, part, list_sort(list({'n': -n, 'm': [i]})) as b, arg_min(i, (n, i)) as i from ranked group by shard, part),
+walk as (select shard, count(*) as left_over, list({'k': b[1].n - b[4].n, 'h': b[1].n, 'i': i, 'b': b}) as st from parts group by shard
+union all select shard, left_over - 1, list_append(st[3:], {'k': b[1].n - b[4].n, 'h': b[1].n, 'i': i, 'b': b}) from (
+ select shard, left_over, st, st[1].i as i, list_sort([{'n': st[1].b[j].n + st[2].b[5 - j].n, 'm': list_concat(st[1].b[j].m, st[2].b[5 - j].m)} for j in [1, 2, 3, 4]]) as b from (select shard, left_over, list_sort(st) as st from walk where left_over > 1))),
+placed as (select shard, unnest(m) as i, bin from (select shard, unnest(st[1].b).m as m, unnest([0, 1, 2, 3]) as bin from walk where left_over = 1))
+select cast(rows.shard as bigint) as shard, event_id, n, cast(bin as int) as bin from rows join placed using (shard, i)""")
+def op_a11_equal(spark, sf_dir):
+    """Forty events at a time dealt to four bins of ten, of near-equal sums."""
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 40).alias("shard"), "event_id", F.floor(F.col("value") * 100).cast("long").alias("n"))
+    return T.differencing(rows, "shard", "event_id", "n", 4, equal_size=True)
+
+
 @query(f"""with recursive rows as (select {SHARD} as shard, doc_id, n_chars as n, row_number() over (partition by {SHARD} order by doc_id) as rn from documents),
 walk as (select shard, doc_id, n, rn, 0 as bin, [n, 0, 0, 0] as sums from rows where rn = 1
 union all select shard, doc_id, n, rn, p - 1, [case when i = p then s + n else s end for s, i in sums] from (select r.shard, r.doc_id, r.n, r.rn, w.sums, list_position(w.sums, list_min(w.sums)) as p from walk w join rows r on r.shard = w.shard and r.rn = w.rn + 1))

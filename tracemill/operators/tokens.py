@@ -19,10 +19,10 @@ def chunk_id(chunk: Column, vocab_size: int = 32_000) -> Column:
 
 def chunk_tokens(rows: DataFrame, text: str = "text", size: int = 4, vocab_size: int = 32_000) -> DataFrame:
     """One row a token: rows' columns, place, start, end and token_id. Null and empty texts give none."""
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
-    cut = rows.select("*", F.posexplode(starts).alias("place", "start"))
-    return cut.withColumn("end", F.least(F.col("start") + size, n)).withColumn("token_id", chunk_id(F.substr(text, F.col("start") + 1, F.lit(size)), vocab_size))
+    # One pass over the text: a substring for each token would be read from the text's beginning every time.
+    chunks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cut = rows.select("*", F.posexplode(chunks).alias("place", "_chunk")).withColumn("start", F.col("place") * size)
+    return cut.withColumn("end", F.col("start") + F.length("_chunk")).withColumn("token_id", chunk_id(F.col("_chunk"), vocab_size)).drop("_chunk")
 
 
 def token_mask(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:

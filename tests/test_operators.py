@@ -197,6 +197,19 @@ def test_records(spark, tmp_path):
         records.read_strict(spark, str(path), "a long").collect()
 
 
+def test_lines_are_numbered_over_the_blocks_of_a_file(spark, tmp_path):
+    path = tmp_path / "long.jsonl"
+    path.write_text("".join('{"a": %d}\n' % i if i != 777 else "broken\n" for i in range(1, 1201)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 5
+        with pytest.raises(Exception, match="malformed line 777 "):
+            records.read_strict(spark, str(path), "a long").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_canonical_lines_and_bundles(spark, tmp_path):
     out = str(tmp_path / "out")
     records.write_canonical(spark.createDataFrame([(2, None)], "b int, a string"), out)

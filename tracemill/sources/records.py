@@ -38,8 +38,10 @@ def read_slice(spark: SparkSession, path: str, schema: str, order: str) -> DataF
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines, of which none may be malformed: the first bad one (file and line number) raises when its rows are read."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
-    rows = lines.withColumn("line", number).where(F.trim("value") != "")
+    # Lines are numbered from counts of the blocks before theirs, so no file's lines meet in one task.
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
+    before = blocks.withColumn("_before", F.sum("_n").over(Window.partitionBy("file").orderBy("block")) - F.col("_n")).drop("_n")
+    rows = lines.join(before, ["file", "block"]).withColumn("line", F.col("at") - F.col("_first") + F.col("_before") + 1).where(F.trim("value") != "")
     parsed = rows.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("ok", F.try_parse_json("value").isNotNull())
     fault = F.raise_error(F.concat(F.lit("malformed line "), F.col("line").cast("string"), F.lit(" of "), F.col("file")))
     return parsed.select(F.when(F.col("ok"), F.col("row")).otherwise(fault).alias("row")).select("row.*")

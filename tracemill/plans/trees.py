@@ -95,6 +95,22 @@ def op_s12_trace(spark, sf_dir):
     return S.read_trace(spark, path, "name:string,dur:long").groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("dur"))
 
 
+@query("select cast(epoch as int) as epoch, count(*) as n, count(*) as n_places, cast(1 as bigint) as lowest, count(*) as highest, true as again, true as moved from customer, (select unnest([0, 1]) as epoch) group by epoch")
+def op_s14_shuffle(spark, sf_dir):
+    """Two epochs' orders of the customers: each a permutation, the same when made again, and not the keys' own order."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+
+    def order(epoch: int):
+        one, two = S.shuffled(rows, "c_custkey", 7, epoch), S.shuffled(rows, "c_custkey", 7, epoch).withColumnRenamed("place", "other")
+        both = one.join(two, "c_custkey").join(global_row_number(rows, ["c_custkey"], "own"), "c_custkey")
+        return both.agg(
+            F.lit(epoch).alias("epoch"), F.count("*").alias("n"), F.count_distinct("place").alias("n_places"), F.min("place").alias("lowest"), F.max("place").alias("highest"),
+            F.bool_and(F.col("place") == F.col("other")).alias("again"), (F.count_if(F.col("place") != F.col("own")) > F.count("*") / 2).alias("moved"),
+        )
+
+    return order(0).union(order(1))
+
+
 @query("select c_custkey, place from (select c_custkey, cast(row_number() over (order by case when c_acctbal < 0 then 0 else 1 end, c_custkey) as bigint) as place, count(*) over () as n from customer) where place <= 100")
 def op_s15_buffer(spark, sf_dir):
     """Buffered groups go out before the dataset's."""

@@ -119,6 +119,11 @@ def bundle_faults(expected: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("name", fault.alias("fault")).where("fault is not null")
 
 
+def shuffled(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
+    """rows with `place` (from 1) in the order of a hash of key, seed and epoch: the same for the same three, another permutation in each epoch."""
+    return global_row_number(rows.withColumn("_mix", F.xxhash64(F.col(key), F.lit(seed + epoch))), ["_mix", key], "place").drop("_mix")
+
+
 def epoch_slice(prompts: DataFrame, key: str, offset: int, count: int, seed: int = 0, copies: int = 1) -> DataFrame:
     """The next `count` prompts from `offset` on over endless epochs, each in its own shuffled order, n copies of each.
 

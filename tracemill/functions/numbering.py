@@ -22,8 +22,9 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "rn", partiti
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     fixed = checkpointed(ranged.withColumn("_part", F.shiftright("_at", 33).cast("int")))
-    before, total = {}, 0
+    before, total = [], 0
     for r in sorted(fixed.groupBy("_part").count().collect()):
-        before[r["_part"]], total = total, total + r["count"]
-    starts = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("_part")) if before else F.lit(0)
-    return fixed.withColumn(name, (F.col("_at").bitwiseAND(F.lit(_IN_PARTITION)) + starts + 1).cast("long")).drop("_at", "_part")
+        before.append((r["_part"], total))
+        total += r["count"]
+    starts = df.sparkSession.createDataFrame(before, "_part int, _before long")  # one row a partition
+    return fixed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_at").bitwiseAND(F.lit(_IN_PARTITION)) + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_before")

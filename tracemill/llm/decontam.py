@@ -48,7 +48,7 @@ _VOCABULARY_BITS = 24
 def _tokens(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]:
     """(code, literal hash, is a slot, first byte, end byte, row) of every token: runs of letters and digits, numbers with . or , inside as one.
 
-    vocabulary has a flag for each value of the first 24 bits of a word's hash.
+    vocabulary is a table of _flags for the first 24 bits of a word's hash.
     """
     h, starts, ends, rows = words(raw, offsets, _SEPARATOR)
     if not len(h):
@@ -65,7 +65,7 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tup
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
         whole = sums[last + 1] - sums[head]
         h, starts, ends, rows, number = np.where(last > head, mix(whole), h[head]), starts[head], ends[last], rows[head], number[head]
-    name = ~number & ~vocabulary[h >> np.uint64(64 - _VOCABULARY_BITS)]
+    name = ~number & ~_flagged(vocabulary, h, _VOCABULARY_BITS)
     unit = np.zeros(len(h), bool)
     unit[1:] = number[:-1] & (rows[1:] == rows[:-1]) & np.isin(h[1:], _UNIT_HASHES)
     unit &= ~number
@@ -127,15 +127,16 @@ def _flags(hashes: DataFrame, column: str, bits: int):
     return hashes.sparkSession.sparkContext.broadcast(table)
 
 
-def _unpacked(table: np.ndarray) -> np.ndarray:
-    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+def _flagged(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    x = hashes >> np.uint64(64 - bits)
+    return (table.view(np.uint64)[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def item_windows(items: DataFrame, width: int, vocabulary) -> DataFrame:
     """(hash, item_id, item_at, n_windows, n_tokens, slots, written) of every window of every item; vocabulary is a broadcast table of _flags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _unpacked(vocabulary.value)
+        known = vocabulary.value
         for batch in batches:
             ids = batch.column("item_id").to_pylist()
             for a, b, raw, offsets in utf8_slices(batch.column("_text")):
@@ -175,7 +176,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
     shared = _flags(known, "hash", _BITS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, common = _unpacked(shared.value), _unpacked(vocabulary.value)
+        flags, common = shared.value, vocabulary.value
         for batch in batches:
             ids, bodies = batch.column("doc_id"), batch.column("body")
             for a, b, raw, offsets in utf8_slices(batch.column("_text")):
@@ -183,7 +184,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
                 firsts = np.searchsorted(rows, np.arange(b - a))
                 for size in (width, *short):
                     h, owner, at, length, _ = _windows(code, literal, slot, rows, b - a, size, width)
-                    hit = np.flatnonzero(flags[h >> np.uint64(64 - _BITS)])
+                    hit = np.flatnonzero(_flagged(flags, h, _BITS))
                     if size < width:
                         hit = hit[length[hit] == size]  # shorter texts were whole windows already
                     if len(hit):

@@ -285,18 +285,12 @@ def _closed(now: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int)
     return tiles.groupBy("hood", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
 
 
-def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_rows: int, star_rounds: int) -> DataFrame | None:
-    """(node, label) of the classes (node, doc_id, n, digest) that have a link; None if there are none."""
-    segments = checkpointed(_segments(docs, classes.select("doc_id", "node", "digest"), width, broadcast_rows))
-    sizes = classes.select("node", "n")
-    grams = segments.select("node", F.explode("grams").alias("gram"))
-    # Stored, so that the join deals out both sides anew and can split an n-gram that many sets hold.
-    often = checkpointed(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
-    # The first n - ceil(n * percent / 100) + 1 n-grams by (df, hash); those of one set come first and give no pair.
-    listed = grams.join(often, "gram").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("own"))
-    n, own = F.col("n"), F.size("own")
-    prefix = n - F.ceil(n * percent / 100.0).cast("long") + 1 - (n - own)
-    postings = checkpointed(listed.join(sizes, "node").where(prefix > 0).select("node", F.explode(F.slice("own", F.lit(1), F.least(prefix, own.cast("long")).cast("int"))).alias("g")).select("node", F.col("g.gram").alias("gram")))
+def link_lists(postings: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
+    """(node, label) of the sets that have a link, with the smallest node of their component as label; None if there are none.
+
+    postings (node, gram) are lists of candidates: two sets that link share a gram. segments (node, segment,
+    grams) hold the sets and sizes (node, n) their numbers of elements.
+    """
     links = labels = tested = None
     for turn in range(star_rounds + 2):
         if labels is None:
@@ -324,6 +318,21 @@ def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, broad
     return labels
 
 
+def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_rows: int, star_rounds: int) -> DataFrame | None:
+    """(node, label) of the classes (node, doc_id, n, digest) that have a link; None if there are none."""
+    segments = checkpointed(_segments(docs, classes.select("doc_id", "node", "digest"), width, broadcast_rows))
+    sizes = classes.select("node", "n")
+    grams = segments.select("node", F.explode("grams").alias("gram"))
+    # Stored, so that the join deals out both sides anew and can split an n-gram that many sets hold.
+    often = checkpointed(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
+    # The first n - ceil(n * percent / 100) + 1 n-grams by (df, hash); those of one set come first and give no pair.
+    listed = grams.join(often, "gram").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("own"))
+    n, own = F.col("n"), F.size("own")
+    prefix = n - F.ceil(n * percent / 100.0).cast("long") + 1 - (n - own)
+    postings = checkpointed(listed.join(sizes, "node").where(prefix > 0).select("node", F.explode(F.slice("own", F.lit(1), F.least(prefix, own.cast("long")).cast("int"))).alias("g")).select("node", F.col("g.gram").alias("gram")))
+    return link_lists(postings, segments, sizes, percent, star_rounds)
+
+
 def _components_of_rows(docs: DataFrame, width: int, percent: int, broadcast_rows: int, star_rounds: int) -> DataFrame:
     """jaccard_components() with body, a hash of the text."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), text_or_empty().alias("_text"))

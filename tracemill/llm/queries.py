@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, jaccard, lines, pages, piece_codec, quality, sharding, spans, token_counts
+from . import alignment, ann, decontam, jaccard, lines, minhash, pages, piece_codec, quality, sharding, spans, target_resampling, token_counts
 from .common import read_table
 
 
@@ -59,9 +59,22 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return target_resampling.resample_to_target(docs, read_table(spark, sf_dir, "benchmark"), percent=10, buckets=10_000, min_words=1, max_words=1, least_words=20, seed=2024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_quality, op5_piece_codec, op6_spans, op7_neighbours, op8_jaccard, op9_lines, op10_pages)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_quality, op5_piece_codec, op6_spans, op7_neighbours, op8_jaccard, op9_lines, op10_pages, op11_minhash, op12_alignment, op13_target)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op8_jaccard": jaccard.ORACLE, "op9_lines": lines.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op8_jaccard": jaccard.ORACLE, "op9_lines": lines.ORACLE, "op11_minhash": minhash.ORACLE, "op13_target": target_resampling.ORACLE}

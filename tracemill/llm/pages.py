@@ -14,6 +14,7 @@ import random
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ SAME_CLOSES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",
 GOOD = ("article", "content", "post", "entry", "story", "main", "body", "text", "prose")
 BAD = ("nav", "menu", "foot", "head", "side", "ad", "ads", "advert", "advertisement", "banner", "comment", "share", "social", "promo", "sponsor", "cookie", "consent", "notice", "alert", "related", "recommend", "widget", "form", "login", "subscribe", "newsletter", "breadcrumb", "pagination", "modal", "popup", "tags", "toolbar", "reply", "discussion")
 BAD_GROUPS = (("nav", "menu", "breadcrumb", "pagination", "toolbar"), ("foot", "footer"), ("head", "header", "masthead"), ("side", "sidebar", "aside", "rail", "widget"), ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo"), ("comment", "comments", "reply", "replies", "discussion", "disqus", "respond"), ("cookie", "consent", "notice", "alert", "gdpr", "modal", "popup"), ("related", "recommend", "recommended", "share", "social", "tags", "more"), ("form", "login", "subscribe", "newsletter", "signup", "search"))
+#: Parts of a token that tells how a page is set out ("no-sidebar", "comments-open"), not what the element is.
+STATE = frozenset("no has with without on off open opened closed fixed sticky static enabled disabled dark light is not hide hidden show shown status category tag style layout mode count supports".split())
 TAG_GROUPS = (("article",), ("main",), ("section",), ("div",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset"), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure", "figcaption"), ("text",))
 _TAG_AT = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
 _BAD_AT = {t: i for i, g in enumerate(BAD_GROUPS) for t in g}
@@ -155,29 +158,42 @@ class Page:
 _flag_memo: dict[str, tuple[int, ...]] = {}
 
 
+#: Flags besides those of the bad groups: all bad words are parts of longer tokens; a bad word in a token that describes the page.
+_PARTLY, _STATE = 1 + len(BAD_GROUPS), 2 + len(BAD_GROUPS)
+
+
+def _group(word: str) -> int | None:
+    found = _BAD_AT.get(word)
+    return _BAD_AT.get(word[:-1]) if found is None and word.endswith("s") else found
+
+
 def _flags(attrs: str) -> tuple[int, ...]:
-    """Attribute tokens of a node: 0 good, 1 + group bad, -1 hidden."""
+    """Attribute tokens of a node: 0 good, 1 + group bad, _PARTLY, _STATE, -1 hidden."""
     known = _flag_memo.get(attrs)
     if known is not None:
         return known
     out = {-1} if _HIDDEN.search(attrs) else set()
+    whole = False
     for m in _NAMES.finditer(attrs):
-        for part in _PART.findall(m[2] or m[3] or m[4] or ""):
-            part = part.lower()
-            if part in _GOOD:
+        for token in (m[2] or m[3] or m[4] or "").split():
+            parts = [x.lower() for x in _PART.findall(token)]
+            if not _GOOD.isdisjoint(parts):
                 out.add(0)
-            group = _BAD_AT.get(part)
-            if group is None and part.endswith("s"):
-                group = _BAD_AT.get(part[:-1])
-            if group is not None:
-                out.add(1 + group)
+            bad = {g for g in map(_group, parts) if g is not None}
+            if bad and not STATE.isdisjoint(parts):
+                out.add(_STATE)
+                continue
+            out.update(1 + g for g in bad)
+            whole |= bool(bad) and len(parts) == 1
+    if not whole and any(0 < f < _PARTLY for f in out):
+        out.add(_PARTLY)
     if len(_flag_memo) > 20_000:
         _flag_memo.clear()
     _flag_memo[attrs] = tuple(out)
     return _flag_memo[attrs]
 
 
-N_FEATURES = len(TAG_GROUPS) + len(BAD_GROUPS) + 2 + 2 + 15
+N_FEATURES = len(TAG_GROUPS) + len(BAD_GROUPS) + 4 + 3 + 18
 _NODES = 20_000  # of which features are held at once
 
 
@@ -197,7 +213,7 @@ def features(page: Page) -> Iterator[np.ndarray]:
         n_links[p] += n_links[i]
         paragraphs[p] += paragraphs[i]
         nodes[p] += nodes[i]
-    n_tags, n_bad = len(TAG_GROUPS), len(BAD_GROUPS)
+    n_tags, n_flags = len(TAG_GROUPS), len(BAD_GROUPS) + 4
     inherited, within = [()] * n, bytearray(n)
     c, l, nl, own = (np.frombuffer(v, v.typecode).astype(np.float32) for v in (chars, links, n_links, page.own_chars))  # noqa: E741
     up, depth, order, count, n_p, n_below = (np.frombuffer(v, v.typecode) for v in (parents, page.depths, place, children, paragraphs, nodes))
@@ -210,22 +226,26 @@ def features(page: Page) -> Iterator[np.ndarray]:
             if t is not None:
                 row[t] = 1
             for f in page.attrs[i]:
-                row[n_tags + (f if f >= 0 else n_bad + 1)] = 1
+                row[n_tags + (f if f >= 0 else n_flags - 1)] = 1
             if i:
                 p = parents[i]
                 within[i] = within[p] or tags[p] in ("article", "main")
-                above = page.attrs[p] if page.attrs[p] else inherited[p]
+                # What the page and its body say holds for all of it, so it tells no node from another.
+                above = () if tags[p] in ("html", "body") else page.attrs[p] or inherited[p]
                 inherited[i] = above
                 if above:
-                    row[n_tags + n_bad + 2] = any(f != 0 for f in above)
-                    row[n_tags + n_bad + 3] = 0 in above
+                    bad = any(0 < f < _PARTLY for f in above)
+                    row[n_tags + n_flags] = bad and _PARTLY not in above
+                    row[n_tags + n_flags + 1] = bad and _PARTLY in above
+                    row[n_tags + n_flags + 2] = 0 in above
         part, over = slice(low, high), np.maximum(up[low:high], 0)
         cols = (
             depth[part], order[part], count[over], count[part], np.log1p(own[part]), np.log1p(c[part]), l[part] / np.maximum(c[part], 1), c[part] / max(c[0], 1),
             c[part] / n_below[part], n_p[part], nl[part], np.log1p(c[over]), l[over] / np.maximum(c[over], 1), np.arange(low, high) / n, np.frombuffer(within, np.uint8)[part],
+            c[part] / np.maximum(c[over], 1), n_p[over], own[part] / np.maximum(c[part], 1),
         )
         for k, col in enumerate(cols):
-            x[:, n_tags + n_bad + 4 + k] = col
+            x[:, n_tags + n_flags + 3 + k] = col
         yield x
 
 
@@ -260,6 +280,17 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
     name = lambda *options: rng.choice(options)
     ad = lambda: f'<div class="{name("ad", "ads", "advert", "ad-slot", "banner", "sponsored", "promo-box")}">{name(sentence(), para(1, 2), link(3))}</div>'
 
+    bad_word = lambda: rng.choice(rng.choice(BAD_GROUPS))
+    state = lambda: rng.choice((lambda w: f"{rng.choice(('no', 'has', 'with', 'hide', 'category', word()))}-{w}", lambda w: f"{w}-{rng.choice(('open', 'on', 'fixed', 'dark', 'status-open', word()))}", lambda w: f"{word()}-with-{w}", lambda w: w))(bad_word())
+
+    def states(chance: float, also: str = "") -> str:
+        """A class attribute with `also` and, sometimes, tokens that describe the page."""
+        found = [also] if also else []
+        if rng.random() < chance:
+            found += [rng.choice((state, state, word))() for _ in range(rng.randint(1, 4))]
+            rng.shuffle(found)
+        return f' class="{" ".join(found)}"' if found else ""
+
     if rng.random() < 0.05:  # a few paragraphs and nothing else
         whole = "".join(f"<p>{main(para(1, 3))}</p>" for _ in range(rng.choice((1, 1, 2, 3))))
         return rng.choice(("{}", "<body>{}</body>", "<div>{}</div>", "<html><body>{}</body></html>")).format(whole), kept
@@ -273,9 +304,32 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
     if rng.random() < 0.15:  # a note whose only paragraph is short and may repeat the title
         text = main(sentence(1, 12)) if rng.random() < 0.5 or not kept else sorted(kept)[0]
         blocks.append(f"<p>{text}</p>")
+    linked = rng.random() < 0.3  # an article whose paragraphs are full of links
+
+    def rich(text: str) -> str:
+        """Some words of a text as links; rarely all of it."""
+        found = text.split(" ")
+        if rng.random() < 0.06:
+            return f'<a href="/{word()}">{text}</a>'
+        for _ in range(rng.randint(1, 1 + len(found) // 12)):
+            at = rng.randrange(len(found))
+            end = min(len(found), at + rng.randint(1, 3))
+            if not any("<" in x or ">" in x for x in found[at:end]):
+                found[at], found[end - 1] = f'<a href="/{word()}">{found[at]}', f"{found[end - 1]}</a>" if end - 1 > at else f'<a href="/{word()}">{found[at]}</a>'
+        return " ".join(found)
+
     for _ in range(0 if len(blocks) > 1 and blocks[-1].count("<") == 2 else rng.choice((1, 2, 3, 5, 8, 12, 20))):
         kind = rng.random()
-        if kind < 0.72:
+        if kind < 0.06:  # a part of the article in an element of its own, whatever its name
+            inside = "".join(f"<p>{main(para())}</p>" for _ in range(rng.randint(1, 4)))
+            if rng.random() < 0.4:
+                inside = f"<h{rng.randint(2, 4)}>{main(sentence(2, 8))}</h2>" + inside
+            tag = name("section", "div")
+            said = name("", f"{bad_word()}-{word()}", f"{word()}-{bad_word()}-{word()}", f"{bad_word()}-{word()}-story", state())
+            blocks.append(f'<{tag} class="{said}">{inside}</{tag}>' if said else f"<{tag}>{inside}</{tag}>")
+        elif kind < 0.72 and linked and rng.random() < 0.6:
+            blocks.append(f"<p>{rich(main(para()))}</p>")
+        elif kind < 0.72:
             text = main(para())
             if bare and rng.random() < 0.6 and (not blocks or blocks[-1][-1] == ">"):
                 blocks.append(text)
@@ -291,8 +345,10 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
             blocks.append(f"<h{rng.randint(2, 4)}>{main(sentence(2, 8))}</h2>")
         elif kind < 0.88:
             blocks.append("<ul>" + "".join(f"<li>{main(sentence())}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
+        elif kind < 0.9:
+            blocks.append(f"<blockquote>{main(para(1, 3))}</blockquote>" if rng.random() < 0.5 else f"<blockquote><p>{main(para(1, 3))}</p></blockquote>")
         elif kind < 0.91:
-            blocks.append(f"<blockquote>{main(para(1, 3))}</blockquote>")
+            blocks.append(f"<pre>{main(' '.join(word() for _ in range(rng.randint(4, 40))))}</pre>")
         elif kind < 0.93:
             blocks.append("<table>" + "".join(f"<tr><td>{main(sentence(1, 4))}</td><td>{main(sentence(1, 4))}</td></tr>" for _ in range(3)) + "</table>")
         elif kind < 0.955:
@@ -310,15 +366,16 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
     inner = "\n".join(blocks)
     if shell < 0.08 and inner.startswith("<h1>"):  # a title in a header of the article's own
         title, _, rest = inner.partition("</h1>")
-        body = f"<article><header>{title}</h1></header>{rest}</article>"
+        body = f"<article{states(0.4)}><header>{title}</h1></header>{rest}</article>"
     elif shell < 0.45:
-        body = f"<article>{inner}</article>"
+        body = f"<article{states(0.4)}>{inner}</article>"
     elif shell < 0.6:
-        body = f"<main>{inner}</main>"
+        body = f"<main{states(0.3)}>{inner}</main>"
     elif shell < 0.85:
-        body = f'<div {name("class", "id")}="{name("content", "post", "entry-content", "article-body", "story", "main", "post-text", "page")}">{inner}</div>'
+        kind = name("content", "post", "entry-content", "article-body", "story", "main", "post-text", "page")
+        body = f"<div{states(0.3, kind)}>{inner}</div>" if rng.random() < 0.6 else f'<div id="{kind}"{states(0.2)}>{inner}</div>'
     elif shell < 0.91:
-        body = f"<section>{inner}</section>"
+        body = f"<section{states(0.3)}>{inner}</section>"
     elif shell < 0.95:
         body = inner
     else:
@@ -355,12 +412,13 @@ def _training_page(rng: random.Random) -> tuple[str, set[str]]:
     if bare and rng.random() < 0.5:
         return whole, kept
     if rng.random() < 0.4 and not bare:
-        whole = f'<div class="{name("wrapper", "container", "page", "site")}">{whole}</div>'
-    return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{whole}</body></html>", kept
+        whole = f"<div{states(0.3, name('wrapper', 'container', 'page', 'site'))}>{whole}</div>"
+    return f"<!DOCTYPE html><html{states(0.2)}><head><title>{word()}</title></head><body{states(0.5)}>{whole}</body></html>", kept
 
 
+@cache
 def fit(n_pages: int = 800, seed: int = 11) -> Trees:
-    """Trees trained on n_pages pages laid out at random (their size bounds the sample, whatever the input)."""
+    """Trees trained on n_pages pages laid out at random (their size bounds the sample, whatever the input); fitted once in a process."""
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(n_pages):
@@ -375,7 +433,7 @@ def fit(n_pages: int = 800, seed: int = 11) -> Trees:
         choice = [i > 0 and t != "body" for i, t in enumerate(page.tags)]
         xs.append(np.concatenate(list(features(page)))[choice])
         ys.append(np.array(label)[choice])
-    return train(np.concatenate(xs).astype(float), np.concatenate(ys).astype(float), n_trees=100, depth=5)
+    return train(np.concatenate(xs).astype(float), np.concatenate(ys).astype(float), n_trees=80, depth=5)
 
 
 def _kept_text(page: Page, log_odds: np.ndarray) -> str:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joining import join_measured
+from ..functions.storage import checkpointed
+
 IGNORED = -100
 
 
@@ -92,16 +96,38 @@ def right_pad(rows: DataFrame, batch: str, columns: dict[str, int]) -> DataFrame
     return out
 
 
+def _first_fit(lengths: Iterable[int], limit: int) -> int:
+    """Bins that first fit opens, by a tree whose nodes hold the most room of the bins below."""
+    lengths = [int(x) for x in lengths]
+    leaves = 1 << max(1, len(lengths)).bit_length()
+    room = [limit] * (2 * leaves)
+    n = 0
+    for x in lengths:
+        if x > limit:  # fits nowhere, so it has a bin of its own
+            at = leaves + n
+        else:
+            at = 1
+            while at < leaves:
+                at = 2 * at if room[2 * at] >= x else 2 * at + 1
+        n = max(n, at - leaves + 1)
+        room[at] -= x
+        while at > 1:
+            at //= 2
+            most = max(room[2 * at], room[2 * at + 1])
+            if room[at] == most:
+                break
+            room[at] = most
+    return n
+
+
 def first_fit_count(lengths: Column, limit: Column | int) -> Column:
-    """Bins that first-fit opens for an array of lengths in order."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    empty = F.array().cast("array<long>")
+    """Bins that first-fit opens for an array of lengths in order; a length above the limit fills a bin of its own."""
 
-    def put(bins, x):
-        place = F.aggregate(F.transform(bins, lambda b, i: F.when(b + x <= limit, i)), F.lit(None).cast("int"), lambda best, i: F.coalesce(best, i))
-        return F.when(place.isNull(), F.concat(bins, F.array(x))).otherwise(F.transform(bins, lambda b, i: F.when(i == place, b + x).otherwise(b)))
+    @F.pandas_udf("int")
+    def count(lists: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([_first_fit(x, int(m)) for x, m in zip(lists, limits, strict=True)], dtype="int32")
 
-    return F.size(F.aggregate(lengths, empty, put))
+    return count(lengths, F.lit(limit) if isinstance(limit, int) else limit)
 
 
 def least_loaded(rows: DataFrame, shard: str, order: str, length: str, k: int, equal_size: bool = False) -> DataFrame:
@@ -124,6 +150,26 @@ def least_loaded(rows: DataFrame, shard: str, order: str, length: str, k: int, e
     return rows.select(shard, order, length).groupBy(shard).applyInPandas(deal, f"`{shard}` {kinds[shard]}, `{order}` {kinds[order]}, `{length}` {kinds[length]}, bin int")
 
 
+def _differenced(lengths: list[int], k: int, equal_size: bool = False) -> list[int]:
+    """The bin of each length by the largest differencing method."""
+    if len(lengths) < k:
+        raise ValueError(f"{len(lengths)} rows for {k} bins")
+    ordered = sorted(zip(lengths, range(len(lengths)), strict=True))
+    if equal_size and len(ordered) % k:
+        raise ValueError(f"{len(ordered)} rows do not divide into {k} bins")
+    step, entries = k if equal_size else 1, []
+    for at in range(0, len(ordered), step):
+        bins = sorted([(size, [i]) for size, i in ordered[at : at + step]] + [(0, []) for _ in range(k - step)], key=lambda t: (-t[0], t[1]))
+        entries.append((bins[-1][0] - bins[0][0], -bins[0][0], ordered[at][1], bins))
+    heapq.heapify(entries)
+    while len(entries) > 1:
+        a, b = heapq.heappop(entries), heapq.heappop(entries)
+        bins = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a[3], reversed(b[3]), strict=True)), key=lambda t: (-t[0], t[1]))
+        heapq.heappush(entries, (bins[-1][0] - bins[0][0], -bins[0][0], a[2], bins))
+    place = {i: j for j, (_, members) in enumerate(entries[0][3]) for i in members}
+    return [place[i] for i in range(len(lengths))]
+
+
 def differencing(rows: DataFrame, shard: str, order: str, length: str, k: int, equal_size: bool = False) -> DataFrame:
     """Rows of each shard dealt to k bins by the largest differencing method, so that sums are near equal.
 
@@ -134,29 +180,35 @@ def differencing(rows: DataFrame, shard: str, order: str, length: str, k: int, e
     """
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < k:
-            raise ValueError(f"{len(pdf)} rows for {k} bins")
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        entries = []
-        ordered = sorted(zip(pdf[length].astype(int).tolist(), range(len(pdf)), strict=True))
-        if equal_size and len(ordered) % k:
-            raise ValueError(f"{len(ordered)} rows do not divide into {k} bins")
-        step = k if equal_size else 1
-        for at in range(0, len(ordered), step):
-            bins = sorted([(size, [i]) for size, i in ordered[at : at + step]] + [(0, []) for _ in range(k - step)], key=lambda t: (-t[0], t[1]))
-            entries.append((bins[-1][0] - bins[0][0], -bins[0][0], ordered[at][1], bins))
-        heapq.heapify(entries)
-        while len(entries) > 1:
-            a, b = heapq.heappop(entries), heapq.heappop(entries)
-            bins = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a[3], reversed(b[3]), strict=True)), key=lambda t: (-t[0], t[1]))
-            heapq.heappush(entries, (bins[-1][0] - bins[0][0], -bins[0][0], a[2], bins))
-        place = {i: j for j, (_, members) in enumerate(entries[0][3]) for i in members}
-        return pdf.assign(bin=[place[i] for i in range(len(pdf))])[[shard, order, length, "bin"]]
+        return pdf.assign(bin=_differenced(pdf[length].astype(int).tolist(), k, equal_size))[[shard, order, length, "bin"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(shard, order, length).groupBy(shard).applyInPandas(deal, f"`{shard}` {kinds[shard]}, `{order}` {kinds[order]}, `{length}` {kinds[length]}, bin int")
 
 
+def microbatch_schedule(rows: DataFrame, step: str, rank: str, order: str, length: str, limit: int, multiple: int = 1) -> DataFrame:
+    """(step, rank, order, length, bin, n_micro): the micro-batch of every row of a rank's step.
+
+    A step has as many micro-batches as first fit under `limit` needs on the rank that needs most, rounded down to a multiple
+    (one at least); every rank deals its rows to just so many by the largest differencing method. A rank with fewer
+    rows than that raises. One rank's rows of one step meet in one task.
+    """
+    held = rows.groupBy(step, rank).agg(F.sort_array(F.collect_list(F.struct(order, length))).alias("_rows"))
+    counted = checkpointed(held.withColumn("_n", first_fit_count(F.transform("_rows", lambda x: x[length]), limit)))
+    most = counted.groupBy(step).agg(F.max("_n").alias("_n"))
+    n = F.when(F.lit(multiple) > 1, F.greatest(F.floor(F.col("_n") / multiple) * multiple, F.lit(1))).otherwise(F.col("_n"))
+    planned = join_measured(counted.drop("_n"), most.select(step, n.cast("int").alias("n_micro")), [step], "inner")
+
+    @F.pandas_udf("array<int>")
+    def deal(lists: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([_differenced([int(x) for x in lengths], int(k)) for lengths, k in zip(lists, counts, strict=True)])
+
+    dealt = planned.withColumn("_bins", deal(F.transform("_rows", lambda x: x[length]), F.col("n_micro")))
+    out = dealt.select(step, rank, "n_micro", F.explode(F.arrays_zip("_rows", F.col("_bins").alias("bin"))).alias("x"))
+    return out.select(step, rank, F.col(f"x._rows.{order}").alias(order), F.col(f"x._rows.{length}").alias(length), F.col("x.bin").alias("bin"), "n_micro")
+
+
 def size_chunks(rows: DataFrame, shard: str, order: str, size: str, chunk: int) -> DataFrame:
     """Chunks of each shard in order: a row opens the next chunk if it would bring the open one to `chunk` or more."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import global_row_number
+from ..operators import chatmask as C
 from ..operators import messages as M
 from ..operators import tokens as T
 from .registry import query, table
@@ -205,3 +206,52 @@ def op_o05_batches(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").withColumn("batch", F.floor((F.row_number().over(w) - 1) / 3))
     return rows.select("l_orderkey", "l_linenumber", "batch", F.count("*").over(Window.partitionBy("l_orderkey", "batch")).alias("batch_size"))
+
+
+@query("""with recursive rows as (select doc_id // 250 as step, doc_id % 4 as rank, doc_id, cast(n_chars as bigint) as n, row_number() over (partition by doc_id // 250, doc_id % 4 order by doc_id) as rn from documents),
+walk as (select step, rank, rn, [n] as bins from rows where rn = 1
+union all select r.step, r.rank, r.rn, case when len([b for b in w.bins if b + r.n <= 40000]) = 0 then list_append(w.bins, r.n) else [case when i = list_position([b + r.n <= 40000 for b in w.bins], true) then b + r.n else b end for b, i in w.bins] end from walk w join rows r on r.step = w.step and r.rank = w.rank and r.rn = w.rn + 1),
+needed as (select step, greatest(max(len(bins)) // 2 * 2, 1) as k from walk group by step),
+kk as (select step, rank, any_value(k) as k, count(*) as left_over, list({'k': case when k = 1 then 0 else -n end, 'h': -n, 'i': rn - 1, 'b': list_concat([{'n': -n, 'm': [rn - 1]}], list_transform(range(k - 1), lambda z: {'n': cast(0 as bigint), 'm': cast([] as bigint[])}))}) as st from rows join needed using (step) group by step, rank
+union all select step, rank, k, left_over - 1, list_append(st[3:], {'k': b[1].n - b[k].n, 'h': b[1].n, 'i': i, 'b': b}) from (
+ select step, rank, k, left_over, st, st[1].i as i, list_sort([{'n': st[1].b[j].n + st[2].b[k + 1 - j].n, 'm': list_concat(st[1].b[j].m, st[2].b[k + 1 - j].m)} for j in range(1, k + 1)]) as b from (select step, rank, k, left_over, list_sort(st) as st from kk where left_over > 1))),
+placed as (select step, rank, k, unnest(m) as i, bin from (select step, rank, k, unnest(st[1].b).m as m, unnest(range(k)) as bin from kk where left_over = 1))
+select rows.step, rows.rank, doc_id, n as n_chars, cast(bin as int) as bin, cast(k as int) as n_micro from rows join placed on placed.step = rows.step and placed.rank = rows.rank and placed.i = rows.rn - 1""")
+def op_a15_schedule(spark, sf_dir):
+    """Documents as the batches of four ranks: as many micro-batches as the fullest rank of a step needs, an even number, of near-equal sums."""
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 250).alias("step"), (F.col("doc_id") % 4).alias("rank"), "doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    return T.microbatch_schedule(rows, "step", "rank", "doc_id", "n_chars", 40_000, multiple=2)
+
+
+def _masks(spark, sf_dir, method: str):
+    import public_tokenizers
+
+    rows = table(spark, sf_dir, "conversations").withColumn("step", F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, 0))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    if method == "response":
+        return C.response_masks(rows, "conv_id", "turn", path, step="step")
+    return C.message_masks(rows, "conv_id", "turn", path, method, C.Template(system="You are to help."), step="step")
+
+
+@query()
+def op_a17_alone(spark, sf_dir):
+    """Token masks of every message, each block cut by itself."""
+    return _masks(spark, sf_dir, "alone")
+
+
+@query()
+def op_a17_prefix(spark, sf_dir):
+    """Token masks of every message, by what its block adds to another message's tokens."""
+    return _masks(spark, sf_dir, "prefix")
+
+
+@query()
+def op_a17_offsets(spark, sf_dir):
+    """Token masks of every message, by the characters that its tokens hold."""
+    return _masks(spark, sf_dir, "offsets")
+
+
+@query()
+def op_a17_response(spark, sf_dir):
+    """Tokens of every conversation's first message as a prompt and of its last text as the response that is trained."""
+    return _masks(spark, sf_dir, "response")

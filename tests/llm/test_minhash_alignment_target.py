@@ -188,7 +188,7 @@ def test_alignment_of_odd_texts(spark, odd, none, broadcast_rows, monkeypatch):
     assert aligned(odd, broadcast_rows=broadcast_rows) == brute_alignment(ODD)
     assert aligned(none, broadcast_rows=broadcast_rows) == []
     rng = random.Random(9)
-    bits = [" ", "  ", "\n", "\t", "\x01", "\x1c", "\x85", "\xa0", "　", "'s", "don't", "Straße", "日本語", "한국", "ไทย", "🙂‍🙃", "123,4", "...", "<|endoftext|>", "<0x41>", "</s>", "é", "é", "aaaaaaaa", "﻿", "\x00", "x" * 60, "the", "of"]
+    bits = [" ", "  ", "\n", "\t", "\x01", "\x1c", "\x85", "\xa0", "　", "'s", "don't", "Straße", "日本語", "한국", "ไทย", "🙂‍🙃", "123,4", "...", "<|endoftext|>", "<0x41>", "</s>", "é", "é", "aaaaaaaa", "﻿", "\x00", "x" * 60, "the", "of", "word.", "Wort!,", "ein?*b", "\nThe", "\r\nNot", "²x.", "ªb,", "µ.", "ǅ!", "a%b", ";a"]
     rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 40)))) for i in range(600)]
     assert aligned(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_rows=broadcast_rows) == brute_alignment(rows)
 
@@ -202,10 +202,11 @@ def test_chunks_and_forgotten_pieces_change_nothing(monkeypatch):
     whole.add([one.memo[text]])
     monkeypatch.setattr(alignment, "_CHUNK", 100)
     monkeypatch.setattr(alignment, "_MEMO_LIMIT", 10)
+    monkeypatch.setattr(alignment, "_TOGETHER", 3)
     n = 0
     for pieces in one.cut(text):
         assert "".join(pieces)
-        one.learn(list(set(pieces) - one.memo.keys()))
+        one.recall(set(pieces))
         sums.add([one.memo[p] for p in pieces])
         n += 1
     assert n > 20 and (sums.n, sums.links, sums.digest.hexdigest()) == (whole.n, whole.links, whole.digest.hexdigest())
@@ -214,6 +215,7 @@ def test_chunks_and_forgotten_pieces_change_nothing(monkeypatch):
 def test_transducer_by_hand():
     one = alignment.Aligner(Q.tokenizer_file("byte_bpe_50k.json"), Q.tokenizer_file("piece_bpe_32k.model"))
     one.bytes_a, one.bytes_b = {0: b"ab", 1: b"c", 2: b"cd"}, [b"a", b"bc", b"d", b"abcd", b"ab", b"cd"]
+    one._restart()
     assert one.align([0, 1], [0, 1]) == [(2, 2)]
     assert one.align([0, 2], [4, 5]) == [(1, 1), (2, 2)]
     assert one.align([0, 2], [3]) == [(2, 1)]

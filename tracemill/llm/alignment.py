@@ -5,9 +5,9 @@ bytes by which it is (the dangling suffix); the next token is taken from the sid
 transition from a state by a token is computed once and remembered. Where the suffix is empty, both
 sides end together: a group closes and its last two tokens are linked.
 
-The vocabularies prove that no token of either side goes on over a single space between two other
-characters, so a text falls into pieces that are encoded and aligned apart; what a worker has met
-before it looks up. The counts of linked pairs over the whole corpus come from a second pass over the stored links.
+The vocabularies prove that no token of either side goes on over certain places, such as a single space
+between two other characters, so a text falls into pieces that are encoded and aligned apart; what a
+worker has met before it looks up. The counts of linked pairs over the whole corpus come from a second pass over the stored links.
 """
 
 from __future__ import annotations
@@ -29,13 +29,16 @@ from pyspark.sql import functions as F
 from .common import checkpointed, stored, text_or_empty
 from .piece_codec import check_model
 
-#: Before a single space with a non-space on either side, no token goes on.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s\s|^\s|\s$|\x01")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_MARKS = "!#$%&*,.:;?"
+#: No token goes on before a single space with a non-space on either side, between a letter and a mark, and from a lone line break to a letter.
+_CUT = re.compile(rf"(?<=\S)(?= \S)|(?<=[{_LATIN}])(?=[{_MARKS}])|(?<=\S\n)(?=[{_LATIN}])")
 _CHUNK = 1 << 17  # characters of a long text that are cut at once
 _BATCH = 1 << 20  # characters whose new pieces go to the libraries at once
-_MEMO_LIMIT = 250_000  # pieces, and as many transitions
+_MEMO_LIMIT = 200_000  # pieces in each of two generations, and transitions
+_TOGETHER = 2000  # pieces that are encoded in one text
 _MEMO_CHARS = 48  # of a piece that is remembered for other batches
+_SHIFT = 40  # bits of each number that is added up with others in one
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -75,46 +78,69 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)]
         if not all(self.bytes_b) or not all(self.bytes_a.values()):
             raise ValueError("a token without bytes ends nowhere")
-        self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.steps: dict[tuple[bool, bytes, int], tuple[bool, bytes] | None] = {}
+        self.apart = not any(re.search(f"[^▁]▁|[{_LATIN}][{_MARKS}]|\n[{_LATIN}]", p) for p in pieces)
+        self.sizes_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        for i, x in self.bytes_a.items():
+            self.sizes_a[i] = len(x)
+        self.sizes_b = np.array([len(x) for x in self.bytes_b])
         self.memo: dict[str, tuple | None] = {}
-
-    def _step(self, ahead_a: bool, dangling: bytes, token: int) -> tuple[bool, bytes] | None:
-        """The state after `token` of the side behind (of side A where nothing dangles); None if the bytes differ."""
-        own = self.bytes_a[token] if not dangling or not ahead_a else self.bytes_b[token]
-        if not dangling:
-            return True, own
+        self.older: dict[str, tuple | None] = {}  # the generation before; what is met again moves to the new one
+        self._restart()
+
+    def _restart(self) -> None:
+        """Forgets all states but the first, in which nothing dangles."""
+        self.states: dict[tuple[bool, bytes], int] = {(False, b""): 0}
+        self.ahead_a = [False]
+        self.dangling = [b""]
+        self.steps: list[dict[int, int]] = [{}]
+        self.n_steps = 0
+
+    def _step(self, at: int, token: int) -> int:
+        """The state after `token` of the side behind (of side A where nothing dangles); -1 if the bytes differ."""
+        ahead_a, dangling = self.ahead_a[at], self.dangling[at]
+        own = self.bytes_b[token] if ahead_a else self.bytes_a[token]
         if dangling.startswith(own):
-            return ahead_a, dangling[len(own) :]
-        if own.startswith(dangling):
-            return not ahead_a, own[len(dangling) :]
-        return None
+            found = ahead_a, dangling[len(own) :]
+        elif own.startswith(dangling):
+            found = not ahead_a, own[len(dangling) :]
+        else:
+            self.steps[at][token] = -1
+            return -1
+        if not found[1]:
+            found = False, b""
+        if found not in self.states:
+            self.states[found] = len(self.steps)
+            self.ahead_a.append(found[0])
+            self.dangling.append(found[1])
+            self.steps.append({})
+        self.steps[at][token] = self.states[found]
+        self.n_steps += 1
+        return self.states[found]
 
     def align(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """(end in a, end in b) of every group of tokens; None if the bytes of the two sides differ."""
-        steps, ends = self.steps, []
-        i = j = 0
-        ahead_a, dangling = False, b""
-        while i < len(a) or j < len(b):
-            if dangling and ahead_a:
-                if j == len(b):
+        if self.n_steps > _MEMO_LIMIT:
+            self._restart()
+        steps, ahead_a, ends = self.steps, self.ahead_a, []
+        i = j = at = 0
+        n, m = len(a), len(b)
+        while True:
+            if ahead_a[at]:
+                if j == m:
                     return None
-                token, j = b[j], j + 1
+                token = b[j]
+                j += 1
+            elif i < n:
+                token = a[i]
+                i += 1
             else:
-                if i == len(a):
-                    return None
-                token, i = a[i], i + 1
-            at = ahead_a, dangling, token
-            if at not in steps:
-                if len(steps) >= _MEMO_LIMIT:
-                    steps.clear()
-                steps[at] = self._step(*at)
-            if (state := steps[at]) is None:
+                return ends if not at and j == m else None
+            to = steps[at].get(token)
+            at = self._step(at, token) if to is None else to
+            if at < 0:
                 return None
-            ahead_a, dangling = state
-            if not dangling:
+            if not at:
                 ends.append((i, j))
-        return None if dangling else ends
 
     def cut(self, joined: str) -> Iterator[list[str]]:
         """The pieces of a text with its leading space, some chunks of a long text one after the other."""
@@ -125,49 +151,101 @@ class Aligner:
         while at < len(joined):
             found = _CUT.search(joined, at + _CHUNK) if at + _CHUNK < len(joined) else None
             end = found.start() if found else len(joined)
-            part = joined[at:end]
-            if _ODD.search(part, 1) or part[1:2].isspace():
-                yield _CUT.split(part)
-            else:
-                yield part.replace(" ", "\x01 ").split("\x01")[1:]
+            yield _CUT.split(joined[at:end])
             at = end
 
+    def _encoded(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each piece on either side.
+
+        Pieces that do not end in white space, but for a lone line break, are encoded as one text, each after something from which no token goes
+        on to it; their bytes tell which tokens are whose. Where those do not add up, and for other pieces, each is encoded apart.
+        """
+        plain = [i for i, p in enumerate(pieces) if self.apart and (not p[-1].isspace() or (p[-1] == "\n" and not p[-2:-1].isspace())) and not (p[0] == " " and p[1].isspace()) and not any(x in p for x in self.added)]
+        one: list[list[int]] = [[] for _ in pieces]
+        two: list[list[int]] = [[] for _ in pieces]
+        left = set(range(len(pieces)))
+        for low in range(0, len(plain), _TOGETHER):
+            part = plain[low : low + _TOGETHER]
+            before = ["" if pieces[i][0] == " " else "\n" if pieces[i][0].isalpha() else " a" for i in part]
+            text = " a" + "".join([x + pieces[i] for x, i in zip(before, part, strict=True)])
+            size = np.array([len(pieces[i].encode()) for i in part])
+            ends = 2 + np.cumsum(size + np.array([len(x) for x in before]))
+            a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            b = self.b.encode(text[1:])
+            cuts = []
+            for ids, sizes in ((a, self.sizes_a), (b, self.sizes_b)):
+                at = np.concatenate(([0], np.cumsum(sizes[ids])))
+                first, last = np.searchsorted(at, ends - size), np.searchsorted(at, ends)
+                if at[-1] != ends[-1] or (at[first] != ends - size).any() or (at[last] != ends).any():
+                    break
+                cuts.append((first.tolist(), last.tolist()))
+            if len(cuts) == 2:
+                for i, x, y, z, w in zip(part, *cuts[0], *cuts[1], strict=True):
+                    one[i], two[i] = a[x:y], b[z:w]
+                left.difference_update(part)
+        for i in left:
+            one[i], two[i] = self._alone(pieces[i])
+        return one, two
+
+    def _alone(self, piece: str) -> tuple[list[int], list[int]]:
+        """Ids of one piece, after a letter or a line break where it does not begin with a space."""
+        before = "" if piece[0] == " " else " \n" if piece[0].isalpha() else " a"
+        a, b = self.a.encode(before + piece, add_special_tokens=False).ids, self.b.encode((before + piece)[1:])
+        if before:
+            a, b = (x[int(np.searchsorted(np.cumsum(sizes[x]), len(before))) + 1 :] for x, sizes in ((a, self.sizes_a), (b, self.sizes_b)))
+        return a, b
+
     def learn(self, pieces: list[str]) -> None:
-        """Remembers what each piece comes to: tokens of either side, groups, their text, and links; None where the bytes differ."""
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            one = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            two = self.b.encode([p[1:] for p in part], out_type=int, num_threads=1)
-            for piece, a, b in zip(part, one, two, strict=True):
+        """Remembers what each piece comes to: its numbers of A and B tokens and of groups in one number, the text of its groups, and its links; None where the bytes differ."""
+        size_b = len(self.bytes_b)
+        for low in range(0, len(pieces), 20_000):
+            part = pieces[low : low + 20_000]
+            for piece, a, b in zip(part, *self._encoded(part), strict=True):
                 ends = self.align(a, b)
                 if ends is None or b"".join(map(self.bytes_a.__getitem__, a)) != piece.encode():
                     self.memo[piece] = None
                     continue
-                texts, links, i, j = [], [], 0, 0
+                said, i, j = "", 0, 0
                 for x, y in ends:
-                    texts.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-                    links.append(a[x - 1] * len(self.bytes_b) + b[y - 1])
+                    said += f";{a[i]}|{b[j]}" if x - i == 1 == y - j else ";" + ",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y]))
                     i, j = x, y
-                self.memo[piece] = len(a), len(b), len(ends), ";".join(texts).encode(), links
+                links = [a[x - 1] * size_b + b[y - 1] for x, y in ends]
+                self.memo[piece] = len(a) + (len(b) << _SHIFT) + (len(ends) << 2 * _SHIFT), said.encode(), links
+
+    def recall(self, pieces: set[str]) -> list[str]:
+        """Has all of the pieces in the memo; returns those that are too long to stay there."""
+        if len(self.memo) > _MEMO_LIMIT:
+            self.memo, self.older = {}, self.memo
+        new = pieces - self.memo.keys()
+        for piece in new & self.older.keys():
+            self.memo[piece] = self.older[piece]
+        fresh = list(new - self.older.keys())
+        self.learn(fresh)
+        return [p for p in fresh if len(p) > _MEMO_CHARS]
 
 
 class _Sum:
     """What the pieces of one text come to."""
 
     def __init__(self) -> None:
-        self.n = [0, 0, 0]
+        self.total = 0
         self.digest, self.links, self.differs, self.begun = hashlib.sha256(), Counter(), False, False
 
+    @property
+    def n(self) -> list[int]:
+        return [self.total >> k * _SHIFT & (1 << _SHIFT) - 1 for k in range(3)]
+
     def add(self, found: list[tuple | None]) -> None:
         if self.differs or None in found:
             self.differs = True
             return
-        for k in range(3):
-            self.n[k] += sum(x[k] for x in found)
-        text = b";".join([x[3] for x in found])
-        self.digest.update(b";" + text if self.begun else text)
+        numbers, texts, links = zip(*found, strict=True)
+        self.total += sum(numbers)
+        # Every group's text begins with a semicolon; the very first one is left out.
+        said = b"".join(texts)
+        self.digest.update(said if self.begun else said[1:])
         self.begun = True
-        self.links.update(chain.from_iterable([x[4] for x in found]))
+        self.links.update(chain.from_iterable(links))
 
 
 def aligned_rows(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,16 +269,12 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
             first = 0
 
             def settle() -> None:
-                memo = aligner.memo
-                if len(memo) > _MEMO_LIMIT:
-                    memo.clear()
-                new = list(set().union(*(p for _, p in waiting)) - memo.keys())
-                aligner.learn(new)
+                long = aligner.recall(set().union(*(p for _, p in waiting)))
+                known = aligner.memo
                 for total, pieces in waiting:
-                    total.add([memo[p] for p in pieces])
-                for p in new:
-                    if len(p) > _MEMO_CHARS:
-                        del memo[p]
+                    total.add([known[p] for p in pieces])
+                for p in long:
+                    del known[p]
                 waiting.clear()
 
             def rows(row: int, first: int) -> pa.RecordBatch:

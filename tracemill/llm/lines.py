@@ -83,18 +83,22 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, si
     # Stored, so that the join deals out both sides anew and can split a template that many documents hold.
     recurring = checkpointed(recurring.select("key", "first"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body")))
-    cut = keyed.join(recurring, "key").where(later).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("places")).alias("cut"))
-    names = [free_name(docs, c) for c in ("_key_id", "_key_null", "_key_body", "_cut")]
-    gone = names[3]
+    dropped = keyed.join(recurring, "key").where(later).groupBy("doc_id", "body").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    # One byte a line up to the last that goes, so that each line is looked up in one step however many go.
+    before = F.concat(F.array(F.lit(-1)), F.slice("places", F.lit(1), F.size("places") - 1))
+    marks = F.zip_with("places", before, lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1")))
+    cut = dropped.select("doc_id", "body", F.size("places").cast("long").alias("n"), F.array_join(marks, "").cast("binary").alias("cut"))
+    names = [free_name(docs, c) for c in ("_key_id", "_key_null", "_key_body", "_cut", "_n_cut")]
+    gone, n_gone = names[3:]
     # A null doc_id joins under a number that stands beside a flag.
     plain = lambda c: [F.coalesce(c, F.lit(0).cast("long")).alias(names[0]), c.isNull().alias(names[1])]
     left = docs.select("*", *plain(F.col("doc_id").cast("long")), F.xxhash64("text").alias(names[2]))
-    right = cut.select(*plain(F.col("doc_id")), F.col("body").alias(names[2]), F.col("cut").alias(gone))
+    right = cut.select(*plain(F.col("doc_id")), F.col("body").alias(names[2]), F.col("cut").alias(gone), F.col("n").alias(n_gone))
     joined = left.join(right, names[:3], "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col(gone), F.array().cast("array<int>")), i))
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: F.substring(F.col(gone), i + 1, F.lit(1)) != F.lit(b"1"))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("long")
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), F.coalesce(n_gone, F.lit(0).cast("long")).alias("n_dropped"))
 
 
 #: The same in DuckDB: min_docs 10, depth 3, similarity 0.7.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import checkpointed, fresh_path, shared_dir
 
-__all__ = ["checkpointed", "free_name", "fresh_path", "read_table", "release", "shared_dir", "sized", "stored", "text_or_empty", "utf8_slices", "written"]
+__all__ = ["checkpointed", "delete", "free_name", "fresh_path", "read_table", "recording", "release", "shared_dir", "sized", "stored", "text_or_empty", "utf8_slices", "written"]
 
 #: Folders that stored() has written and release() has not deleted, oldest first.
 _written: list[str] = []
+_of_thread = threading.local()
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +35,8 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
     _written.append(path)
+    for own in getattr(_of_thread, "lists", ()):
+        own.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,11 +45,26 @@ def written() -> list[str]:
     return list(_written)
 
 
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """A list of the folders that stored() writes in this thread meanwhile, oldest first; what other threads store is not on it."""
+    own: list[str] = []
+    _of_thread.lists = [*getattr(_of_thread, "lists", ()), own]
+    try:
+        yield own
+    finally:
+        _of_thread.lists = [x for x in _of_thread.lists if x is not own]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders of stored() that no DataFrame will read again."""
     for path in paths:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, path)
         _written.remove(path)
 
 

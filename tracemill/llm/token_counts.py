@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty
+from .common import checkpointed, delete, fresh_path, text_or_empty
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: Before a single space with a non-space on either side, no token goes on.
@@ -110,13 +110,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     """key, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
 
     cache_path is a Parquet table of CACHE_SCHEMA that is read, appended to, and may not exist yet;
-    without one a new table in the shared folder is used. Of rows that the cache repeats, as after two
+    without one a new table in the shared folder is used and deleted again. Of rows that the cache repeats, as after two
     writers at once, one counts. Nulls count as empty texts and have 0
     tokens; repeated rows and keys are kept; other columns are ignored; an empty table gives no rows
     and appends none.
     """
     spark = docs.sparkSession
-    cache_path = cache_path or fresh_path(spark, "token-cache")
+    own_path, cache_path = cache_path is None, cache_path or fresh_path(spark, "token-cache")
     version = tokenizer_digest(tokenizer_path)
     body = text_or_empty(text)
     keyed = docs.select(F.col(key).alias(key), F.unhex(F.sha2(body, 256)).alias("content"), F.octet_length(body).cast("long").alias("n_bytes"))
@@ -132,4 +132,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     missed = contents.groupBy("content").agg(F.first("text").alias("text"))
     encoded = encode_counts(missed, tokenizer_path, ["content"])
     encoded.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    return keyed.join(cached(), "content").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Stored, so that the join deals out both sides anew and can split a content that many rows have.
+    known = checkpointed(cached())
+    if own_path:
+        delete(spark, cache_path)
+    return keyed.join(known, "content").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

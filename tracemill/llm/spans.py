@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_name, stored, text_or_empty, utf8_slices
-from .wordhash import _ladder, mix, words
+from .wordhash import _ladder, mix, unspaced, words
 
 _NEWLINE = 10
 _STOPS = np.zeros(256, bool)
@@ -26,13 +26,15 @@ _CLOSERS[[34, 39, 41, 93]] = True
 
 
 def sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, first byte, end byte, row, words) of every sentence.
+    """(hash, first byte, end byte, row, half words) of every sentence.
 
     A sentence is a run of words that ends after a word ending in . ! or ?, closing quotes and
     brackets aside, or at a line's end. Its hash takes the words in order, A-Z as a-z, without the
-    white space.
+    white space. In scripts without spaces each character counts as half a word, a sentence ends after the
+    script's own full stop too, and in those that set a space between sentences (Thai, Lao, Khmer, Burmese) at white space.
     """
-    h, starts, ends, rows = words(raw, offsets)
+    scripts = unspaced(raw)
+    h, starts, ends, rows = words(raw, offsets, scripts=scripts)
     n = len(h)
     if not n:
         none = np.empty(0, np.int64)
@@ -40,6 +42,9 @@ def sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = raw[ends - 1]
     before = raw[np.maximum(ends - 2, starts)]
     stop = _STOPS[last] | (_CLOSERS[last] & _STOPS[before])
+    kinds = scripts[starts] if scripts is not None else np.zeros(n, np.int8)
+    stop |= kinds == 3
+    stop[:-1] |= (kinds[:-1] == 2) & (starts[1:] > ends[:-1])
     lines = np.concatenate(([0], np.cumsum(raw == _NEWLINE)))
     close = np.ones(n, bool)
     close[:-1] = stop[:-1] | (lines[starts[1:]] > lines[ends[:-1]]) | (rows[1:] != rows[:-1])
@@ -48,7 +53,8 @@ def sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     up, down = _ladder(n + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:n])))
     value = mix((sums[end + 1] - sums[first]) * down[first] + (end + 1 - first).astype(np.uint64))
-    return value, starts[first], ends[end], rows[first], end + 1 - first
+    halves = np.concatenate(([0], np.cumsum(np.where(kinds > 0, 1, 2))))
+    return value, starts[first], ends[end], rows[first], halves[end + 1] - halves[first]
 
 
 def span_rows(docs: DataFrame, run: int, min_words: int, lone_words: int, grow: bool) -> DataFrame:
@@ -63,12 +69,12 @@ def span_rows(docs: DataFrame, run: int, min_words: int, lone_words: int, grow:
                     continue
                 at = np.arange(len(h)) - np.searchsorted(rows, rows)
                 sums = np.concatenate(([0], np.cumsum(counts)))
-                lone = np.flatnonzero(counts >= lone_words)
+                lone = np.flatnonzero(counts >= 2 * lone_words)
                 # Shortest runs of min_words words from every first and to every last sentence, within a row.
                 every = np.arange(len(h))
                 low, high = np.searchsorted(rows, rows), np.searchsorted(rows, rows, side="right")
-                to = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), every + run)
-                since = np.minimum(np.searchsorted(sums, sums[1:] - min_words, side="right") - 1, every + 1 - run)
+                to = np.maximum(np.searchsorted(sums, sums[:-1] + 2 * min_words), every + run)
+                since = np.minimum(np.searchsorted(sums, sums[1:] - 2 * min_words, side="right") - 1, every + 1 - run)
                 onward, back = to <= high, since >= low
                 if not grow:
                     onward &= to == every + run
@@ -90,7 +96,7 @@ def drop_repeated_spans(docs: DataFrame, run: int = 2, min_words: int = 10, lone
     """docs with text without the sentences that a repeated span covers, and n_sentences, n_removed, removed and first_doc_ids.
 
     A span is `run` consecutive sentences of min_words words or more together, one sentence of lone_words
-    or more, or with `grow` the shortest longer run of min_words words from a first or to a last sentence. Its first occurrence, by doc_id (nulls first), then a hash of the text, then place,
+    or more (a character of a script without spaces is half a word), or with `grow` the shortest longer run of min_words words from a first or to a last sentence. Its first occurrence, by doc_id (nulls first), then a hash of the text, then place,
     stays; the others go, in the same document too. removed lists [start, end) in UTF-8 bytes of
     the old text; first_doc_ids the documents that keep the spans. A removed sentence takes the white space after it along.
     changed_only leaves out rows that lose nothing. Nulls stay null and empty texts empty; rows

@@ -42,11 +42,39 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: First and last code points of scripts that are written without spaces between words; of these, scripts that set a space between sentences; marks that end a sentence.
+_UNSPACED = ((0x0E00, 0x0E7F), (0x0E80, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF61, 0xFF9F), (0x20000, 0x3FFFF))
+_SPACED_SENTENCES = ((0x0E00, 0x0E7F), (0x0E80, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
+_STOPS = (0x3002, 0xFF01, 0xFF0E, 0xFF1F, 0xFF61, 0x104B, 0x17D4)
+
+
+def unspaced(raw: np.ndarray) -> np.ndarray | None:
+    """Of each byte 0, or where a character of a script without spaces begins 1, in a script with spaces between sentences 2, and 3 for a mark that ends a sentence; None if there is none."""
+    leads = np.flatnonzero(raw >= 0xE0)
+    leads = leads[leads + 3 <= len(raw)]
+    if not len(leads):
+        return None
+    b = [raw[leads + k].astype(np.int64) & 63 for k in (1, 2)]
+    point = ((raw[leads].astype(np.int64) & 15) << 12) | (b[0] << 6) | b[1]
+    four = raw[leads] >= 0xF0
+    # Of four bytes the last six bits do not matter here.
+    point[four] = ((raw[leads[four]].astype(np.int64) & 7) << 18) | (b[0][four] << 12) | (b[1][four] << 6)
+    within = lambda ranges: np.logical_or.reduce([(point >= low) & (point <= high) for low, high in ranges])
+    kind = within(_UNSPACED).astype(np.int8)
+    if not kind.any():
+        return None
+    kind[within(_SPACED_SENTENCES)] = 2
+    kind[np.isin(point, _STOPS)] = 3
+    out = np.zeros(len(raw), np.int8)
+    out[leads] = kind
+    return out
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, lower: bool = True, scripts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte, row) of every word of the rows in a slice.
 
     A word is a maximal run of bytes that are no separators, within one row; A-Z count as a-z if
-    lower is set.
+    lower is set. Characters that `scripts`, of unspaced(), tells are words of their own.
     """
     n = len(raw)
     if not n:
@@ -58,6 +86,12 @@ def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE,
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
     begins[inner] = word[inner]
+    if scripts is not None:
+        alone = np.flatnonzero(scripts)
+        begins[alone] = word[alone]
+        after = alone + 3 + (raw[alone] >= 0xF0)
+        after = after[after < n]
+        begins[after] |= word[after]
     starts = np.flatnonzero(begins)
     if not len(starts):
         none = np.empty(0, np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_name, text_or_empty, utf8_slices
-from .wordhash import mix, runs, words
+from .wordhash import mix, runs, unspaced, words
 
 # Words that count as numbers, units after a number.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split()
@@ -46,11 +46,11 @@ _VOCABULARY_BITS = 24
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(code, literal hash, is a slot, first byte, end byte, row) of every token: runs of letters and digits, numbers with . or , inside as one.
+    """(code, literal hash, is a slot, first byte, end byte, row) of every token: runs of letters and digits, numbers with . or , inside as one, and single characters of scripts without spaces.
 
     vocabulary is a table of _flags for the first 24 bits of a word's hash.
     """
-    h, starts, ends, rows = words(raw, offsets, _SEPARATOR)
+    h, starts, ends, rows = words(raw, offsets, _SEPARATOR, scripts=unspaced(raw))
     if not len(h):
         return h, h, np.empty(0, bool), starts, ends, rows
     digits = np.concatenate(([0], np.cumsum(_DIGIT[raw])))
@@ -108,8 +108,8 @@ def _words_in_lower_case(items: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, raw, offsets in utf8_slices(batch.column("_text")):
                 low, low_offsets = next((x[2], x[3]) for x in utf8_slices(batch.column("_low").slice(a, b - a), 1 << 62))
-                h, starts, ends, rows = words(raw, offsets, _SEPARATOR, lower=False)
-                g, _, _, low_rows = words(low, low_offsets, _SEPARATOR, lower=False)
+                h, starts, ends, rows = words(raw, offsets, _SEPARATOR, lower=False, scripts=unspaced(raw))
+                g, _, _, low_rows = words(low, low_offsets, _SEPARATOR, lower=False, scripts=unspaced(low))
                 # Lower case may be longer in bytes but has the same words in the same order.
                 if len(h) == len(g) and (rows == low_rows).all():
                     h = h[h == g]
@@ -132,8 +132,11 @@ def _flagged(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (table.view(np.uint64)[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def item_windows(items: DataFrame, width: int, vocabulary) -> DataFrame:
-    """(hash, item_id, item_at, n_windows, n_tokens, slots, written) of every window of every item; vocabulary is a broadcast table of _flags."""
+def item_windows(items: DataFrame, width: int, min_words: int, vocabulary) -> DataFrame:
+    """(hash, item_id, item_at, n_windows, n_tokens, slots, written, inside) of every window of every item; vocabulary is a broadcast table of _flags.
+
+    inside tells whether the item has min_words words or more, a character of a script without spaces being half a word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
@@ -144,17 +147,20 @@ def item_windows(items: DataFrame, width: int, vocabulary) -> DataFrame:
                 h, owner, at, length, written = _windows(code, literal, slot, rows, b - a, width, width)
                 firsts = np.searchsorted(rows, np.arange(b - a))
                 tokens = np.bincount(rows, minlength=b - a)
+                scripts = unspaced(raw)
+                halves = 2 * tokens - (np.bincount(rows, scripts[starts] > 0, minlength=b - a) if scripts is not None else 0)
                 counts = np.where(tokens > 0, np.maximum(tokens - width, 0) + 1, 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)), pa.array([ids[a + r] for r in owner], pa.int64()), pa.array(at - firsts[owner], pa.int64()), pa.array(counts[owner], pa.int64()), pa.array(length, pa.int64()),
                         pa.array([_slot_texts(raw, slot, starts, ends, i, n) for i, n in zip(at, length, strict=True)], pa.list_(pa.string())), pa.array(written),
+                        pa.array((halves >= 2 * min_words)[owner]),
                     ],
-                    names=["hash", "item_id", "item_at", "n_windows", "n_tokens", "slots", "written"],
+                    names=["hash", "item_id", "item_at", "n_windows", "n_tokens", "slots", "written", "inside"],
                 )
 
     taken = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(text_or_empty()).alias("_text"))
-    return taken.mapInArrow(run, "hash long, item_id long, item_at long, n_windows long, n_tokens long, slots array<string>, written boolean")
+    return taken.mapInArrow(run, "hash long, item_id long, item_at long, n_windows long, n_tokens long, slots array<string>, written boolean, inside boolean")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage: float = 0.5, min_words: int = 5) -> DataFrame:
@@ -164,15 +170,15 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
     which tells rows apart that repeat a doc_id. coverage is the share of the item's windows
     found, min_coverage at least. kind is verbatim if every slot keeps its value, else
     reparameterised. An item shorter than `width` is one window of its own length, looked for in all
-    texts if it has min_words words or more and otherwise as a whole text only. A window in which more
+    texts if it has min_words words or more (a character of a script without spaces is half a word) and otherwise as a whole text only. A window in which more
     than three tokens in eight are numbers, names or units is looked for as it is written only, so an item of
     such windows has no re-parameterised copies. Nulls and texts
     without words match nothing; rows that repeat both doc_id and text give one row an item; empty
     tables give no rows; items with equal texts each give their rows. Texts are taken whole.
     """
     vocabulary = _flags(_words_in_lower_case(items), "word", _VOCABULARY_BITS)
-    known = checkpointed(item_windows(items, width, vocabulary))
-    short = sorted(r[0] for r in known.where(F.col("n_tokens").between(min_words, width - 1)).select("n_tokens").distinct().collect())
+    known = checkpointed(item_windows(items, width, min_words, vocabulary))
+    short = sorted(r[0] for r in known.where(F.col("inside") & (F.col("n_tokens") < width)).select("n_tokens").distinct().collect())
     shared = _flags(known, "hash", _BITS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,15 +199,16 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
                             [
                                 ids.take(own), bodies.take(own), pa.array(h[hit].view(np.int64)), pa.array((at - firsts[owner])[hit], pa.int64()),
                                 pa.array([_slot_texts(raw, slot, starts, ends, at[i], length[i]) for i in hit], pa.list_(pa.string())),
+                                pa.array(np.full(len(hit), size < width)),
                             ],
-                            names=["doc_id", "body", "hash", "doc_at", "doc_slots"],
+                            names=["doc_id", "body", "hash", "doc_at", "doc_slots", "part"],
                         )
 
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.lower(text_or_empty()).alias("_text"))
-    found = taken.mapInArrow(scan, "doc_id long, body long, hash long, doc_at long, doc_slots array<string>")
+    found = taken.mapInArrow(scan, "doc_id long, body long, hash long, doc_at long, doc_slots array<string>, part boolean")
     # A window that meets as it is written has the item's values in its slots, however many the document's letter case gives it.
     pairs = F.when(F.col("written"), F.transform("slots", lambda a: F.struct(a.alias("theirs"), a.alias("ours")))).otherwise(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))))
-    met = found.join(known, "hash").where(F.col("written") | (F.size("slots") == F.size("doc_slots"))).select("doc_id", "body", "item_id", "n_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), "written", pairs.alias("pairs"))
+    met = found.join(known, "hash").where(~F.col("part") | F.col("inside")).where(F.col("written") | (F.size("slots") == F.size("doc_slots"))).select("doc_id", "body", "item_id", "n_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), "written", pairs.alias("pairs"))
     aligned = met.groupBy("doc_id", "body", "item_id", "n_windows", "shift").agg(F.collect_set("item_at").alias("at"), F.collect_set(F.when(F.col("written"), F.col("item_at"))).alias("at_written"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     theirs = F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"])))
     ours = F.size(F.array_distinct(F.transform("pairs", lambda p: p["ours"])))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontam, jaccard, lines, piece_codec, quality
-from tracemill.llm.common import free_name, read_table, release, stored, written
+from tracemill.llm.common import free_name, read_table, recording, release, stored
 from tracemill.llm.queries import tokenizer_file
 
 
@@ -62,8 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is stored in the shared folder and read again. What a stage stored on its way, and its input, is deleted once its output lies there."""
-    docs, before = read_table(spark, sf_dir, "documents"), written()
+    docs, last = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(spark, [p for p in written()[:-1] if p not in before])
+        with recording() as own:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, [*last, *own[:-1]])
+        last = own[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import global_row_number
@@ -202,3 +203,34 @@ def op_x36_workspace(spark, sf_dir):
     entries = entries.union(nations.select("n_regionkey", F.concat("n_name", F.lit("/key")), F.col("n_nationkey").cast("string"), F.lit(False)))
     entries = entries.union(spark.createDataFrame([(-1, None, None, None)], "r_regionkey int, path string, content string, folder boolean"))
     return X.workspace_digests(entries, "r_regionkey", "path", "content", "folder", "\x01")
+
+
+@query("select event_type as name, count(*) as n, cast(sum(user_id) as bigint) as dur, cast(min(event_id) as bigint) as first, cast(sum(event_id) as bigint) as places from events group by event_type")
+def op_s12_document(spark, sf_dir):
+    """Profiler traces of one gzipped document a file, with other members before and after their events, pulled event by event."""
+    e = table(spark, sf_dir, "events")
+    path = fresh_path(spark, "s12d")
+    lines = e.select((F.col("user_id") % 5).alias("trace"), F.col("event_id").alias("at"), F.to_json(F.struct(F.col("event_type").alias("name"), F.col("user_id").alias("dur"), F.col("event_id").alias("id"), F.struct(F.lit("}]").alias("s"), F.array(F.struct(F.lit(1).alias("x"))).alias("l")).alias("args"))).alias("text"))
+    first = F.row_number().over(Window.partitionBy("trace").orderBy("at")) == 1
+    body = lines.select("trace", "at", F.concat(F.when(first, "").otherwise(","), "text").alias("text"))
+    heads = lines.select("trace").distinct()
+    head = heads.select("trace", F.lit(-1).cast("long").alias("at"), F.lit('{"deviceProperties": [{"name": "}"}], "traceEvents": [').alias("text"))
+    tail = heads.select("trace", F.lit(1 << 62).alias("at"), F.lit('], "displayTimeUnit": "ms"}').alias("text"))
+    head.union(body).union(tail).repartition("trace").sortWithinPartitions("trace", "at").select("trace", "text").write.partitionBy("trace").option("compression", "gzip").text(path)
+    found = S.read_document_events(spark, path, "name string, dur long, id long", pattern="*.txt.gz").select("event.*")
+    return found.groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("dur"), F.min("id").alias("first"), F.sum("id").alias("places"))
+
+
+@query("select cast(epoch as bigint) as epoch, count(*) as n, count(*) as n_items, min(c_custkey) as lowest, max(c_custkey) as highest, true as moved, count(*) * 2 as n_samples from customer, (select unnest([1000, 1001]) as epoch) group by epoch")
+def op_s13_cursor(spark, sf_dir):
+    """Two whole epochs of the customers from the thousandth on, by two cursors that go on from a saved one: each a permutation of its own."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    n = rows.count()
+    one, after = S.take_epochs(rows, "c_custkey", S.Cursor(epoch=1000), n // 2, seed=7, copies=2)
+    path = fresh_path(spark, "cursor")
+    after.save(spark, path)
+    two, _ = S.take_epochs(rows, "c_custkey", S.Cursor.load(spark, path), 2 * n - n // 2, seed=7, copies=2)
+    both = one.union(two)
+    # A permutation hardly follows the keys: next to each other in it are keys far apart.
+    near = F.abs(F.col("c_custkey") - F.lag("c_custkey").over(Window.partitionBy("epoch", "copy").orderBy("group"))) <= 1
+    return both.withColumn("near", near).groupBy("epoch").agg((F.count("*") / 2).cast("long").alias("n"), F.count_distinct("c_custkey").alias("n_items"), F.min("c_custkey").alias("lowest"), F.max("c_custkey").alias("highest"), (F.count_if("near") < F.count("*") / 4).alias("moved"), F.count_distinct("sample").alias("n_samples"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_path
+from ..streaming.eventlog import read_log, write_log
 from ..streaming.groups import full_groups
 from .registry import query, table
 
@@ -32,6 +33,24 @@ def op_k08_eventlog(spark, sf_dir):
     return _finished(spark, _events(spark, sf_dir).select("event_id", "user_id", "event_type"), "eventlog")
 
 
+@query("""select event_id, user_id, row_number() over (partition by user_id order by event_id) as seq, case when event_id % 5 = 0 then repeat(event_type || ':' || user_id % 3 || ' ', 40) else props end as payload, event_id % 5 = 0 as aside from events""")
+def op_k08_log(spark, sf_dir):
+    """Events that come in four parts, one start and micro-batch each, in a log that numbers each user's and sets large payloads aside."""
+    e = table(spark, sf_dir, "events")
+    # Repeated payloads of few kinds, so that one that is set aside is kept once a batch.
+    large = F.repeat(F.format_string("%s:%d ", "event_type", F.col("user_id") % 3), 40)
+    rows = e.select("event_id", "user_id", F.when(F.col("event_id") % 5 == 0, large).otherwise(F.col("props")).alias("payload"))
+    schema = "event_id long, user_id long, payload string"
+    path = fresh_path(spark, "k08")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    for part in range(4):
+        a, b = (low + (high + 1 - low) * k // 4 for k in (part, part + 1))
+        rows.where((F.col("event_id") >= a) & (F.col("event_id") < b)).write.mode("append").parquet(f"{path}/in")
+        write_log(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/log", "user_id", "event_id")
+    refs = spark.read.schema("event_id long, payload_ref string").parquet(f"{path}/log/events").select("event_id", F.col("payload_ref").isNotNull().alias("aside"))
+    return read_log(spark, f"{path}/log", schema).select("event_id", "user_id", "seq", "payload").join(refs, "event_id")
+
+
 def _events(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpointed
+
 
 def last_wins(left: DataFrame, right: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """left with the values of right's last row by order for its keys."""
@@ -93,3 +95,26 @@ def multiset_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key
     a = left.groupBy(left_key, token).agg(F.count("*").alias("_a"))
     b = right.groupBy(right_key, token).agg(F.count("*").alias("_b"))
     return a.join(b, token).groupBy(left_key, right_key).agg(F.sum(F.least("_a", "_b")).alias("common"))
+
+
+def overlaps_of_least(left: DataFrame, right: DataFrame, left_key: str, right_key: str, token: str, least: int) -> DataFrame:
+    """multiset_overlap() of the pairs that have `least` tokens or more in common, without meeting the others.
+
+    A side's tokens are ordered by how many keys hold them, rarest first. The rarest common token of such a pair lies, on either
+    side, before all but the last least - 1 occurrences, so only these first tokens meet; frequent tokens hardly
+    ever are among them. What is left is counted in full. Null keys and tokens do not count; a key's distinct tokens meet in one task.
+    """
+    counts = lambda df, key, n: df.where(F.col(key).isNotNull() & F.col(token).isNotNull()).groupBy(key, token).agg(F.count("*").alias(n))
+    a, b = checkpointed(counts(left, left_key, "_a")), checkpointed(counts(right, right_key, "_b"))
+    # Stored, so that the joins deal out both sides anew and can split a token that many keys hold.
+    held = checkpointed(a.select(token).unionAll(b.select(token)).groupBy(token).agg(F.count("*").alias("_df")))
+
+    def first(df: DataFrame, key: str, n: str) -> DataFrame:
+        own = Window.partitionBy(key)
+        order = own.orderBy("_df", token).rowsBetween(Window.unboundedPreceding, -1)
+        placed = df.join(held, token).withColumns({"_before": F.coalesce(F.sum(n).over(order), F.lit(0)), "_all": F.sum(n).over(own)})
+        return placed.where(F.col("_before") <= F.col("_all") - least).select(key, token)
+
+    met = checkpointed(first(a, left_key, "_a")).join(checkpointed(first(b, right_key, "_b")), token).select(left_key, right_key).distinct()
+    full = met.join(b, right_key).join(a, [left_key, token]).groupBy(left_key, right_key).agg(F.sum(F.least("_a", "_b")).alias("common"))
+    return full.where(F.col("common") >= least)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joining import join_measured
 from ..functions.numbering import global_row_number
 
 
@@ -73,7 +74,7 @@ def quantiles(rows: DataFrame, value: str, at: dict[str, float], *by: str) -> Da
     held = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     placed = global_row_number(held, [*groups, "_v"], "_rn")
     sizes = placed.groupBy(*groups).agg(F.count("*").alias("n"), F.min("_rn").alias("_first"))
-    ranked = placed.join(F.broadcast(sizes), groups) if groups else placed.crossJoin(F.broadcast(sizes))
+    ranked = join_measured(placed, sizes, groups, "inner") if groups else placed.crossJoin(F.broadcast(sizes))
     place = F.col("_rn") - F.col("_first")
     low = {k: F.floor(p * (F.col("n") - 1)) for k, p in at.items()}
     picked = ranked.where(reduce(lambda a, b: a | b, [(place == x) | (place == x + 1) for x in low.values()]))

@@ -13,10 +13,10 @@ from ..functions.storage import checkpointed
 def recovery_flags(rows: DataFrame, key: str, order: str, failed: Column, revised: Column, passed: Column) -> DataFrame:
     """rows with revised_after and passed_after: whether the event follows a failure; a row's own failure is not before it.
 
-    A row follows a failure if it comes after its key's first, so one minimum a key is joined and a
-    key with many rows stays spread over tasks.
+    A row follows a failure if it comes after its key's first, so one minimum a key is joined. The minima are fixed
+    first, so that the join deals out both sides anew and can split a key with many rows.
     """
-    first = rows.groupBy(F.col(key).alias("_k")).agg(F.min(F.when(failed, F.col(order))).alias("_first"))
+    first = checkpointed(rows.groupBy(F.col(key).alias("_k")).agg(F.min(F.when(failed, F.col(order))).alias("_first")))
     joined = rows.join(first, rows[key].eqNullSafe(first["_k"]), "left")
     seen = F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     return joined.withColumns({"revised_after": revised & seen, "passed_after": passed & seen}).drop("_k", "_first")
@@ -24,7 +24,7 @@ def recovery_flags(rows: DataFrame, key: str, order: str, failed: Column, revise
 
 def unrecovered(rows: DataFrame, key: str, order: str, failed: Column, ok: Column) -> DataFrame:
     """Failures that no success follows: those after their key's last success, or of a key without one."""
-    last = rows.groupBy(F.col(key).alias("_k")).agg(F.max(F.when(ok, F.col(order))).alias("_last"))
+    last = checkpointed(rows.groupBy(F.col(key).alias("_k")).agg(F.max(F.when(ok, F.col(order))).alias("_last")))
     failures = rows.where(failed)
     return failures.join(last, failures[key].eqNullSafe(last["_k"]), "left").where(F.col("_last").isNull() | (F.col(order) >= F.col("_last"))).drop("_k", "_last")
 

@@ -123,6 +123,15 @@ def op_o10_multiset(spark, sf_dir):
     return J.multiset_overlap(words(table(spark, sf_dir, "documents"), "doc_id"), words(table(spark, sf_dir, "benchmark"), "item_id"), "doc_id", "item_id", "token")
 
 
+@query("""with a as (select doc_id, unnest(string_split(lower(text), ' ')) as token from documents), b as (select item_id, unnest(string_split(lower(text), ' ')) as token from benchmark),
+ca as (select doc_id, token, count(*) as n from a group by doc_id, token), cb as (select item_id, token, count(*) as n from b group by item_id, token)
+select doc_id, item_id, cast(sum(least(ca.n, cb.n)) as bigint) as common from ca join cb using (token) group by doc_id, item_id having sum(least(ca.n, cb.n)) >= 12""")
+def op_o10_atleast(spark, sf_dir):
+    """Documents and items with twelve words or more in common; pairs that share only frequent words do not meet."""
+    words = lambda df, key: df.select(key, F.explode(F.split(F.lower("text"), " ", -1)).alias("token"))
+    return J.overlaps_of_least(words(table(spark, sf_dir, "documents"), "doc_id"), words(table(spark, sf_dir, "benchmark"), "item_id"), "doc_id", "item_id", "token", 12)
+
+
 @query("select event_id, attempt from (select e.event_id, 1 as attempt from events e where event_type = 'view' and user_id not in (select user_id from events where event_type = 'purchase' and value > 100))")
 def op_t06_resume(spark, sf_dir):
     events = table(spark, sf_dir, "events")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import contexts as C
 from ..operators import toolcalls as T
 from .registry import query, table
 
@@ -145,3 +146,31 @@ def op_x04_toolspec(spark, sf_dir):
     given: Column = F.when(k == 1, '{"k":true}').when(k == 2, "{}").when(k == 4, None).otherwise(F.col("props"))
     e = table(spark, sf_dir, "events").select("event_id", T.light_check(spec, F.lit("e"), given).alias("c"))
     return e.select("event_id", "c.status", "c.fault")
+
+
+_LINES = "l as (select conv_id, turn, role, string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as context, count(*) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as n from conversations)"
+
+
+@query(f"with {_LINES} select conv_id, turn, n as n_context, cast(coalesce(length(context), 0) as bigint) as context_chars, md5(coalesce(context, 'user: Complete task ' || conv_id || '.')) as context from l where role = 'assistant'")
+def op_w02_ranges(spark, sf_dir):
+    """What comes before each answer, as a range of its conversation's text; the digests are of the contexts that the ranges restore."""
+    rows = table(spark, sf_dir, "conversations")
+    ranges = C.context_ranges(rows, "conv_id", "turn", F.col("role") == "assistant")
+    default = F.concat(F.lit("user: Complete task "), F.col("conv_id").cast("string"), F.lit("."))
+    return C.with_contexts(ranges, C.trace_texts(rows, "conv_id", "turn"), "conv_id", default).withColumn("context", F.md5("context"))
+
+
+@query(f"""with {_LINES}, p as (select n_nationkey as profile_id, n_nationkey % 6 as form from nation)
+select conv_id, turn, profile_id, case when form in (0, 4) then 'say_' || profile_id end as exposed_name, case form when 0 then '{{"name":"say_' || profile_id || '","arguments":{{"at":{{"from":' || turn || '}},"who":"' || role || '"}}}}' when 4 then '{{"name":"say_' || profile_id || '","arguments":{{"start":' || turn || ',"text":"' || role || '"}}}}' end as call,
+case form when 1 then 'unknown_tool' when 2 then 'ambiguous_tool' when 3 then 'unmapped: text' when 5 then 'exposed $.start' end as fault, n as n_context, cast(coalesce(length(context), 0) as bigint) as context_chars from l, p where role = 'assistant'""")
+def op_p19_rendered(spark, sf_dir):
+    """Every answer as a canonical action under the profile of every nation: its call in the profile's own names, with its context by reference."""
+    rows = table(spark, sf_dir, "conversations")
+    actions = rows.where("role = 'assistant'").select("conv_id", "turn", F.lit("Say").alias("canonical_name"), F.format_string('{"start":%d,"text":"%s"}', "turn", "role").alias("arguments"))
+    form, null = F.col("n_nationkey") % 6, F.lit(None).cast("string")
+    nation = table(spark, sf_dir, "nation")
+    mapping = F.when(form == 0, '{"at.from":"start","who":"text"}').when(form == 3, '{"at.from":"start"}')
+    views = nation.where("n_nationkey % 6 <> 1").select(F.col("n_nationkey").alias("profile_id"), F.format_string("say_%d", "n_nationkey").alias("exposed_name"), F.lit("say").alias("canonical_name"), F.lit("function").alias("kind"), F.when(form == 5, '{"type":"object","properties":{"start":{"type":"string"}}}').otherwise(null).alias("input_schema"), F.lit('{"type":"object","required":["start"]}').alias("canonical_schema"), mapping.alias("mapping"), F.explode(F.sequence(F.lit(0), F.when(form == 2, 1).otherwise(0))).alias("copy")).drop("copy")
+    calls = C.rendered_calls(actions, views, nation.select(F.col("n_nationkey").alias("profile_id")))
+    ranges = C.context_ranges(rows, "conv_id", "turn", F.col("role") == "assistant")
+    return calls.join(ranges, ["conv_id", "turn"]).select("conv_id", "turn", "profile_id", "exposed_name", "call", "fault", "n_context", "context_chars")

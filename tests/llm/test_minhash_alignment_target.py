@@ -307,3 +307,35 @@ def test_equal_scores_go_to_the_smaller_key(spark):
     rows = [(i % 5, f"word{i % 5} and more") for i in range(40)]
     got = target_resampling.resample_to_target(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("more",)], "text string"), percent=50, least_words=1)
     assert sampled(got) == brute_resampling(rows, ["more"], percent=50, least=1)
+
+
+def test_sketches_count_keys_that_agree(spark):
+    """The condition on two sketches against a count of equal bytes."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 1 << 63, (200, 13)).astype(np.uint64)
+    two = np.where(rng.random((200, 13)) < 0.5, one, rng.integers(0, 1 << 63, (200, 13)).astype(np.uint64))
+    a, b = minhash.sketches(one), minhash.sketches(two)
+    equal = ((one & np.uint64(255)) == (two & np.uint64(255))).sum(1)
+    rows = [(i, [*a[i].tolist(), 100], [*b[i].tolist(), 80 if i % 2 else 79]) for i in range(200)]
+    got = spark.createDataFrame(rows, "i int, a array<long>, b array<long>").where(minhash._agreeing(13, 7, 80)(F.col("a"), F.col("b"))).collect()
+    assert {r.i for r in got} == {i for i in range(200) if equal[i] >= 7 and i % 2}
+    assert minhash.least_shared(40, 0.512) == 6 and minhash.least_shared(40, 1.0) == 40
+
+
+def test_a_list_of_several_ranges_of_sizes_is_closed(spark, monkeypatch):
+    """More sets than a short list holds, but not in one range of sizes: pairs of one size still meet."""
+    from tracemill.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "_SHORT_LIST", 6)
+    rng, rows = random.Random(8), []
+    for size in (40, 90, 200):
+        base = [f"w{i}" for i in range(size)]
+        for _ in range(5):
+            own = list(base)
+            for _ in range(max(1, size // 40)):
+                own[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    want = [(i, n, c) for i, n, c in brute_components(rows, 60)]
+    for rounds in (0, 1):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=60, star_rounds=rounds, keys=30, hashes=2)
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == want

@@ -23,11 +23,11 @@ every set falls into one segment for each fragment.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_name, sized, text_or_empty, utf8_slices
@@ -253,65 +253,83 @@ def _lists(now: DataFrame, *also: str) -> DataFrame:
     return now.groupBy("gram", *also).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length"), F.min("node").alias("lead")).where("lo < hi")
 
 
-def _short_list_pairs(now: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of different components in the short lists of several, as far as their sizes allow a link."""
-    lists = checkpointed(_lists(now).where(F.col("length") <= _SHORT_LIST).select("gram"))
-    held = now.join(lists, "gram").join(sizes, "node")
-    a = held.select("gram", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    b = held.select("gram", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    like = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like).select("a", "b").distinct()
+def _ranged(now: DataFrame, sizes: DataFrame) -> DataFrame:
+    """now with n and range: a set stands in its own range of sizes together with the one below, and with the one above."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(_SIZE_STEP))).cast("int")
+    return now.join(sizes, "node").withColumn("range", F.explode(F.array(step, step + 1)))
 
 
-def _closed(now: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the components that long lists of one n-gram still hold apart."""
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(_SIZE_STEP))).cast("int")
-    # A set stands in its own range of sizes together with the one below, and with the one above.
-    ranged = now.join(sizes, "node").select("node", "label", "gram", F.explode(F.array(step, step + 1)).alias("range"))
+def _short_list_pairs(now: DataFrame, sizes: DataFrame, percent: int, alike: Callable[[Column, Column], Column] | None, hoods: DataFrame | None) -> DataFrame:
+    """(a, b): the pairs of different components in lists of several that are short in their range of sizes, as far as their sizes, and sketches, allow a link; pairs that one of the hoods holds were compared there."""
+    ranged = _ranged(now, sizes)
+    lists = checkpointed(_lists(ranged, "range").where(F.col("length") <= _SHORT_LIST).select("gram", "range"))
+    held = ranged.join(lists, ["gram", "range"])
+    held = held.withColumn("hood", F.lit(None).cast("long")) if hoods is None else held.join(hoods, ["node", "range"], "left")
+    side = lambda s: held.select("gram", "range", F.col("node").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("hood").alias(f"h{s}"), *([F.col("sketch").alias(f"s{s}")] if alike else []))
+    like = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & F.coalesce(F.col("ha") != F.col("hb"), F.lit(True))
+    if alike:
+        like &= alike(F.col("sa"), F.col("sb"))
+    return side("a").join(side("b"), ["gram", "range"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like).select("a", "b").distinct()
+
+
+def _closed(now: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b): links between the components that long lists of one n-gram still hold apart; and (node, range, hood), the neighbourhoods in which all sets were compared."""
+    ranged = _ranged(now, sizes).select("node", "label", "gram", "range")
     long = checkpointed(_lists(ranged, "range").where(F.col("length") > _SHORT_LIST).select("gram", "range", "lead"))
     if long.isEmpty():
-        return now.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        return now.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), None
     # Two keys that agree in their hash would only be compared without need.
     key = lambda node: F.xxhash64(F.lit(_SHORT_LIST), F.col("range"), F.col(node))
     met = checkpointed(ranged.join(long, ["gram", "range"]).select("node", "label", "range", key("node").alias("key"), key("lead").alias("lead_key")).distinct())
     found = components(met.select(F.col("key").alias("a"), F.col("lead_key").alias("b")))
-    hoods = met.select("node", "label", "key").distinct().join(found.withColumnRenamed("node", "key").withColumnRenamed("label", "hood"), "key").select("node", "label", "hood")
+    hoods = checkpointed(met.select("node", "label", "range", "key").distinct().join(found.withColumnRenamed("node", "key").withColumnRenamed("label", "hood"), "key").select("node", "label", "range", "hood"))
     # A repeated doc_id can bring a segment twice.
     once = segments.join(hoods.select("node").distinct(), "node", "left_semi").groupBy("node", "segment").agg(F.first("grams").alias("grams"))
-    sets = checkpointed(once.groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams")).join(hoods, "node"))
+    sets = checkpointed(once.groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams")).join(hoods.drop("range"), "node"))
     counts = sets.groupBy("hood").agg(F.greatest(F.ceil(F.count("*") / _BLOCK_SETS), F.ceil(F.sum(F.size("grams")) / _BLOCK_GRAMS)).cast("int").alias("n_blocks"))
     placed = sets.join(counts, "hood").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     tiles = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select("hood", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label", "grams")
-    return tiles.groupBy("hood", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    return tiles.groupBy("hood", "x", "y").applyInArrow(_block_links(percent), "a long, b long"), hoods.select("node", "range", "hood")
 
 
-def link_lists(postings: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
+def link_lists(postings: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int, star_rounds: int, first: DataFrame | None = None, alike: Callable[[Column, Column], Column] | None = None, blocks_first: bool = False) -> DataFrame | None:
     """(node, label) of the sets that have a link, with the smallest node of their component as label; None if there are none.
 
     postings (node, gram) are lists of candidates: two sets that link share a gram. segments (node, segment,
-    grams) hold the sets and sizes (node, n) their numbers of elements.
+    grams) hold the sets and sizes (node, n) their numbers of elements. `first` holds lists that meet their leaders
+    before all others do, so that sets which stand in many lists are mostly joined by then. With `alike` the lists carry a
+    sketch of each set, and pairs whose sketches do not suffice are not compared. blocks_first closes long lists before short
+    ones: where sets stand in very many lists, most pairs of short lists lie in the neighbourhoods of long ones.
     """
-    links = labels = tested = None
+    extra = ["sketch"] if alike else []
+    links = labels = tested = hoods = None
+    star_rounds += first is not None
     for turn in range(star_rounds + 2):
+        lists = first if turn == 0 and first is not None else postings
         if labels is None:
-            now = postings.withColumn("label", F.col("node"))
+            now = lists.withColumn("label", F.col("node"))
         else:
-            now = postings.join(labels, "node", "left").select("node", "gram", F.coalesce("label", "node").alias("label"))
-        if turn <= star_rounds:
+            now = lists.join(labels, "node", "left").select("node", "gram", *extra, F.coalesce("label", "node").alias("label"))
+        blocks = turn == star_rounds + (not blocks_first)
+        if not blocks:
             if turn < star_rounds:
                 # The leader of a list: another one in each turn.
-                rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("label"))
+                rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("label"), *extra)
                 led = sized(checkpointed(now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(rank).alias("lead")).where("lo < hi")))
-                pairs = now.join(led, "gram").where(F.col("label") != F.col("lead.label")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+                apart = F.col("label") != F.col("lead.label")
+                if alike:
+                    apart &= alike(F.col("sketch"), F.col("lead.sketch"))
+                pairs = now.join(led, "gram").where(apart).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
             else:
-                pairs = _short_list_pairs(now, sizes, percent)
+                pairs = _short_list_pairs(now, sizes, percent, alike, hoods)
             pairs = sized(checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
             if pairs.isEmpty():
                 continue
             tested = pairs if tested is None else tested.union(pairs)
             found = sized(checkpointed(_verified(pairs, segments, sizes, percent)))
         else:
-            found = sized(checkpointed(_closed(now, segments, sizes, percent)))
+            found, hoods = _closed(now.drop("sketch"), segments, sizes, percent)
+            found = sized(checkpointed(found))
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)

@@ -9,17 +9,21 @@ they share a key in both collections.
 2. A class that shares no key with another one in either collection meets nobody and leaves before
    any table key is formed; those that stay combine only keys which they share.
 3. Tables whose members are the same count once.
-4. Candidates are verified on their full sets: each set of a table first meets the table's leader,
-   then what is still apart meets the rest of its table, by the steps of the Jaccard join.
+4. A byte of each key makes a sketch. Two sets of the similarity that is asked for agree in many keys of both
+   collections, not in one of each only; pairs whose sketches agree in fewer are not compared.
+5. Candidates are verified on their full sets: each set first meets the leader of its largest table, then
+   those of its other tables as far as they are still apart, and what is apart after that meets the rest of its
+   table, by the steps of the Jaccard join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_name, text_or_empty, utf8_slices
@@ -50,7 +54,7 @@ def collection_keys(grams: np.ndarray, bounds: np.ndarray, keys: int, hashes: in
 
 
 def signatures(docs: DataFrame, width: int, keys: int, hashes: int, seed: int) -> DataFrame:
-    """(doc_id, body, n_shingles, digest, keys) of every row; digest and keys are null for an empty set."""
+    """(doc_id, body, n_shingles, digest, keys, sketch) of every row; digest, keys and sketch are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,37 +62,78 @@ def signatures(docs: DataFrame, width: int, keys: int, hashes: int, seed: int) -
                 grams, bounds = _sets(raw, offsets, width)
                 sizes = np.diff(bounds)
                 digests = [_digest(grams[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                found = iter(collection_keys(grams, bounds, keys, hashes, seed).view(np.int64)) if len(grams) else iter(())
+                own_keys = collection_keys(grams, bounds, keys, hashes, seed) if len(grams) else np.empty((0, 2 * keys), np.uint64)
+                found, drawn = iter(own_keys.view(np.int64)), iter(sketches(own_keys))
                 own = [batch.column(c).slice(at, end - at) for c in ("doc_id", "body")]
                 lists = pa.array([next(found) if n else None for n in sizes], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "body", "n_shingles", "digest", "keys"])
+                short = pa.array([next(drawn) if n else None for n in sizes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, short], names=["doc_id", "body", "n_shingles", "digest", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, body long, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, body long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+
+
+def sketches(keys: np.ndarray) -> np.ndarray:
+    """The low byte of each of a set's keys, eight of them in a number; zeros fill the last one up."""
+    low = (keys & np.uint64(255)).astype(np.uint8)
+    wide = np.zeros((len(low), -(-low.shape[1] // 8) * 8), np.uint8)
+    wide[:, : low.shape[1]] = low
+    return wide.view("<i8")
+
+
+def least_shared(n: int, share: float, chance: float = 1e-6) -> int:
+    """The most keys that two sets may be asked to share, of n which each agree with a chance of `share`, so that they fall short with a chance of `chance` at most."""
+    total, c = 0.0, 0
+    while (total := total + comb(n, c) * share**c * (1 - share) ** (n - c)) <= chance:
+        c += 1
+    return c
+
+
+def _agreeing(n_keys: int, least: int, percent: int):
+    """A condition on two sketches: that `least` of their n_keys bytes or more are equal, and that their sizes allow a link."""
+    words = -(-n_keys // 8)
+
+    def alike(a: Column, b: Column) -> Column:
+        apart = F.lit(0)
+        for i in range(words):
+            x = a[i].bitwiseXOR(b[i])
+            # The low bit of each byte becomes 1 if any bit of the byte is.
+            for shift in (4, 2, 1):
+                x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            apart += F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        # Behind the keys stands the size of the set.
+        size_a, size_b = a[words], b[words]
+        return (apart <= n_keys - least) & (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent)
+
+    return alike
 
 
 def tables(classes: DataFrame, keys: int) -> DataFrame:
-    """(node, gram): the table keys of the classes (node, keys) that meet another class in some table; tables with the same members come once."""
+    """(node, gram, n): the table keys of the classes (node, keys) that meet another class in some table, with the table's members; tables with the same members come once."""
     single = classes.select("node", F.posexplode("keys").alias("place", "key"))
     # Stored, so that the join deals out both sides anew and can split a key that many classes have.
     shared = checkpointed(single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     sides = single.join(shared, "key").groupBy("node").agg(*(F.collect_list(F.when(F.col("place") < keys if one else F.col("place") >= keys, F.col("key"))).alias(name) for name, one in (("ones", True), ("twos", False))))
     combined = checkpointed(sides.select("node", F.explode("ones").alias("one"), "twos").select("node", "one", F.explode("twos").alias("two")).select("node", F.xxhash64("one", "two").alias("gram")))
     members = combined.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("xor")).where("n > 1")
-    once = checkpointed(members.groupBy("n", "least", "sum", "xor").agg(F.min("gram").alias("gram")).select("gram"))
-    return checkpointed(combined.join(once, "gram").select("node", "gram"))
+    once = checkpointed(members.groupBy("n", "least", "sum", "xor").agg(F.min("gram").alias("gram")).select("gram", "n"))
+    return checkpointed(combined.join(once, "gram").select("node", "gram", "n"))
 
 
 def _components(docs: DataFrame, width: int, percent: int, keys: int, hashes: int, seed: int, broadcast_rows: int, star_rounds: int) -> DataFrame:
     """near_duplicates() with body, a hash of the text."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), text_or_empty().alias("_text"))
     rows = checkpointed(signatures(body, width, keys, hashes, seed))
-    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     # Ids are taken from the table as it lies on disk, so they do not change.
     classes = checkpointed(classes).withColumn("node", F.monotonically_increasing_id())
     postings = tables(classes, keys)
-    may = checkpointed(postings.select("node").distinct().join(classes.select("node", "doc_id", "n", "digest"), "node"))
+    may = checkpointed(postings.select("node").distinct().join(classes.select("node", "doc_id", "n", "digest", "sketch"), "node"))
     segments = checkpointed(_segments(body, may.select("doc_id", "node", "digest"), width, broadcast_rows))
-    labels = link_lists(postings, segments, may.select("node", "n"), percent, star_rounds)
+    # A near copy stands in hundreds of tables with as many leaders; it meets that of its largest table before the others.
+    listed = checkpointed(postings.join(may.select("node", F.concat("sketch", F.array("n")).alias("sketch")), "node"))
+    largest = checkpointed(listed.groupBy("node").agg(F.max_by(F.struct("gram", "sketch"), F.struct("n", "gram")).alias("x")).select("node", "x.*"))
+    alike = _agreeing(2 * keys, least_shared(2 * keys, (percent / 100) ** hashes), percent)
+    labels = link_lists(listed.select("node", "gram", "sketch"), segments, may.select("node", "n"), percent, star_rounds, first=largest, alike=alike, blocks_first=True)
     copied = classes.where("copies > 1").select("digest", F.col("doc_id").alias("component_id"))
     if labels is None:
         named = copied
@@ -112,7 +157,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, keys: in
     that links reach, its own included, and kept tells whether it is the row's own.
 
     A pair of similarity s meets in no table with a chance of about 2 * (1 - s**hashes)**keys: 1.2e-6
-    at 0.8 and 3e-9 at 0.86 by default; pairs that meet are decided exactly. Nulls and texts without words have
+    at 0.8 and 3e-9 at 0.86 by default, and shares too few keys to be compared with a chance of 1e-6 at the threshold; pairs
+    that are compared are decided exactly. Nulls and texts without words have
     n_shingles 0 and no link. Equal texts share their links; repeated rows are kept; a row without
     doc_id gets its n_shingles, a null component and a null kept; an empty table gives no rows; other columns are
     ignored. Up to broadcast_rows classes that meet others are broadcast (some 50 bytes each), more are joined by shuffle.

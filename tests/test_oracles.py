@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql_are_these():
     """Compression, the hash order of epochs and tokens of a tokenizer have no SQL; tests hold them against plain Python."""
-    assert set(QUERIES) - set(ORACLES) == {"op_x21_repeat", "op_s13_epochs", "op_a17_alone", "op_a17_prefix", "op_a17_offsets", "op_a17_response"}
+    assert set(QUERIES) - set(ORACLES) == {"op_x21_repeat", "op_s13_epochs", "op_a17_alone", "op_a17_prefix", "op_a17_offsets", "op_a17_response", "op_g21_samples"}
 
 
 def test_compression_ratios(spark):
@@ -71,3 +71,17 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark)
     total = duckdb.connect().execute(f"select sum(length('<assistant>' || chr(10) || text || chr(10) || '</assistant>' || chr(10))) from '{SF}/conversations.parquet' where role = 'assistant' and text <> ''").fetchall()[0][0]
     assert rows.agg({"trainable_chars": "sum"}).first()[0] == total
+
+
+def test_rollout_metrics(spark):
+    got = {r.lang: r for r in QUERIES["op_g21_samples"](spark, SF).collect()}
+    rows = duckdb.connect().execute(f"select lang, coalesce(text, '') from '{SF}/documents.parquet'").fetchall()
+    assert got.keys() == {lang for lang, _ in rows}
+    for lang, r in got.items():
+        texts = [t for other, t in rows if other == lang]
+        sizes = sorted(map(len, texts))
+        tails = [t[-10_000:].encode() for t in texts]
+        loops = [len(t) > 10_000 and len(b) / len(zlib.compress(b, 9)) > 10 for t, b in zip(texts, tails, strict=True)]
+        middle = (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2
+        assert (r.n, r.max, r.min, r.median) == (len(texts), sizes[-1], sizes[0], middle)
+        assert abs(r["mean"] - sum(sizes) / len(sizes)) < 1e-9 and abs(r.repetition_frac - sum(loops) / len(texts)) < 1e-9 and abs(r.truncated_ratio - sum(s >= 8000 for s in sizes) / len(texts)) < 1e-9

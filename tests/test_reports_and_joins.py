@@ -95,3 +95,20 @@ def test_audit_over_no_runs(spark):
     kinds = "status string, passed boolean, " + ", ".join(f"{c} long" for c in S.SUMS) + ", " + ", ".join(f"saw_{c} boolean" for c in S.FLAGS) + ", mean_validation_attempts_per_issue double, mean_revision_attempts_per_issue double"
     row = S.behavior_audit(spark.createDataFrame([], kinds)).first()
     assert row.run_count == 0 and row.validation_issue_count == 0 and row.mean_revision_attempts_per_issue == 0 and len(row) == 3 + len(S.SUMS) + len(S.FLAGS) + 2
+
+
+def test_running_ends_are_linear(spark):
+    import time
+
+    from tracemill.functions.arrays import running_ends, spans_of
+
+    rows = [([1, 2, None, 3],), ([],), (None,)]
+    got = spark.createDataFrame(rows, "n array<int>").withColumn("e", running_ends(F.col("n"))).select("e", spans_of(F.col("e")).alias("s")).collect()
+    assert [r.e for r in got] == [[0, 1, 3, 3, 6], [0], None] and [(x.start, x.end) for x in got[0].s] == [(0, 1), (1, 3), (3, 3), (3, 6)] and got[1].s == [] and got[2].s is None
+    took = []
+    for n in (40_000, 160_000):
+        wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x % 9).alias("n")).withColumn("e", running_ends(F.col("n")))
+        began = time.time()
+        assert wide.select(F.element_at("e", -1).alias("x")).first().x == sum(i % 9 for i in range(1, n + 1))
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 5

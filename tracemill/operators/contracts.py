@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_ends
+
 #: Fields that no prepared sample leaves blank, and those that tokenized metadata has to keep.
 IDENTITY = ("sample_id", "sample_type", "source_type", "split", "task_id", "tool_profile_id")
 PRESERVED = ("task_id", "tool_profile_id", "sample_id", "source_type")
@@ -27,7 +29,7 @@ def sample_faults() -> Column:
     """The broken invariants of a prepared sample, in the order in which they are checked."""
     segments, spans, mask = F.col("segments"), F.col("spans"), F.col("character_mask")
     lengths = F.transform(segments, lambda s: F.length(F.coalesce(s["text"], F.lit(""))))
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + n)))
+    ends = running_ends(lengths)
     pairs = F.arrays_zip(segments.alias("g"), spans.alias("p"), F.slice(ends, F.lit(1), F.size(lengths)).alias("a"), F.slice(ends, F.lit(2), F.size(lengths)).alias("b"))
     misplaced = F.exists(pairs, lambda x: ~(x["p"]["start"].eqNullSafe(x["a"].cast("long")) & x["p"]["end"].eqNullSafe(x["b"].cast("long")) & x["p"]["trainable"].eqNullSafe(x["g"]["trainable"])))
     expected = F.flatten(F.transform(segments, lambda s: F.array_repeat(F.coalesce(s["trainable"], F.lit(False)).cast("int"), F.length(F.coalesce(s["text"], F.lit(""))))))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_ends, spans_of
+
 
 def tagged(role: Column, text: Column, name: Column | None = None) -> Column:
     """A message as the block that training text shows for its role."""
@@ -44,12 +46,8 @@ def split_context(segs: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key: the context text, the target text, and the targets' spans in the latter."""
     rows = segs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "segment", "trainable"))).alias("s"))
     texts = lambda keep: F.transform(F.filter("s", lambda x: x["trainable"] == keep), lambda x: x["segment"])
-    ends = F.aggregate(
-        texts(True),
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0).cast("long")).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0).cast("long")) + F.length(x)).alias("end")))),
-    )
-    return rows.select(key, F.array_join(texts(False), "").alias("context"), F.array_join(texts(True), "").alias("target"), ends.alias("spans"))
+    rows = rows.withColumn("_ends", running_ends(F.transform(texts(True), lambda x: F.length(x))))
+    return rows.select(key, F.array_join(texts(False), "").alias("context"), F.array_join(texts(True), "").alias("target"), spans_of(F.col("_ends")).alias("spans"))
 
 
 def context_prefix(messages: DataFrame, key: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
@@ -127,10 +125,9 @@ def prepared_samples(segs: DataFrame, key: str) -> DataFrame:
     """One row a key: text, segments, spans, character_mask, trainable_char_count and total_char_count, from sample_segments()."""
     rows = segs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "place", "kind", "segment", "trainable"))).alias("s"))
     lengths = F.transform("s", lambda x: F.length(x["segment"]).cast("long"))
-    ends = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + n)))
     spans = F.transform(F.col("s"), lambda x, i: F.struct(F.get("_ends", i).alias("start"), F.get("_ends", i + 1).alias("end"), x["trainable"].alias("trainable")))
     mask = F.flatten(F.transform("s", lambda x: F.array_repeat(x["trainable"].cast("int"), F.length(x["segment"]))))
-    return rows.withColumn("_ends", ends).select(
+    return rows.withColumn("_ends", running_ends(lengths)).select(
         key, F.array_join(F.transform("s", lambda x: x["segment"]), "").alias("text"), F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["segment"].alias("text"), x["trainable"].alias("trainable"))).alias("segments"),
         spans.alias("spans"), mask.alias("character_mask"), F.aggregate(F.transform("s", lambda x: F.when(x["trainable"], F.length(x["segment"])).otherwise(0)), F.lit(0).cast("long"), lambda acc, n: acc + n).alias("trainable_char_count"),
         F.element_at("_ends", -1).alias("total_char_count"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_ends, spans_of
 from ..functions.numbering import global_row_number
 from ..operators import scoring as C
 from ..operators import tokens as T
@@ -124,8 +125,7 @@ def op_a08_unpack(spark, sf_dir):
     rows = T.chunk_tokens(table(spark, sf_dir, "conversations").where("role = 'assistant'"))
     each = rows.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("start")).alias("ids"))
     packs = each.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "ids"))).alias("m"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.aggregate("m", none, lambda acc, x: F.concat(acc, F.array(F.struct(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.size(x["ids"])).alias("end")))))
-    packed = packs.select("conv_id", F.transform("m", lambda x: x["turn"]).alias("turns"), F.flatten(F.transform("m", lambda x: x["ids"])).alias("ids"), spans.alias("spans"))
+    packs = packs.withColumn("spans", spans_of(running_ends(F.transform("m", lambda x: F.size(x["ids"]))), "int"))
+    packed = packs.select("conv_id", F.transform("m", lambda x: x["turn"]).alias("turns"), F.flatten(F.transform("m", lambda x: x["ids"])).alias("ids"), "spans")
     out = T.unpack(packed, "ids", "spans")
     return out.select("conv_id", F.element_at("turns", F.col("member") + 1).alias("turn"), F.size("part").cast("long").alias("n_ids"), F.aggregate("part", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))

@@ -8,7 +8,9 @@ import resource
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tracemill.plans import QUERIES
 from tracemill.sources import records as S
 
 
@@ -131,3 +133,17 @@ def test_a_cursor_goes_on_over_epochs(spark, tmp_path):
     assert sorted(r.epoch for r in far.collect()) == [1000] * 4 + [1001] * 4
     with pytest.raises(ValueError, match="no prompts"):
         S.take_epochs(prompts.where("false"), "id", S.Cursor(), 1)
+
+
+def test_a_trace_document_lies_in_one_file_however_partitions_are_joined(spark):
+    sf, joined = "/root/testdata/sf0.001", {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    before = {k: spark.conf.get(k) for k in joined}
+    try:
+        for k, v in joined.items():
+            spark.conf.set(k, v)
+        got = {r.name: (r.n, r.dur) for r in QUERIES["op_s12_document"](spark, sf).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    events = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("dur"))
+    assert got == {r.event_type: (r.n, r.dur) for r in events.collect()}

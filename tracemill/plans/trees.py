@@ -211,12 +211,13 @@ def op_s12_document(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     path = fresh_path(spark, "s12d")
     lines = e.select((F.col("user_id") % 5).alias("trace"), F.col("event_id").alias("at"), F.to_json(F.struct(F.col("event_type").alias("name"), F.col("user_id").alias("dur"), F.col("event_id").alias("id"), F.struct(F.lit("}]").alias("s"), F.array(F.struct(F.lit(1).alias("x"))).alias("l")).alias("args"))).alias("text"))
-    first = F.row_number().over(Window.partitionBy("trace").orderBy("at")) == 1
-    body = lines.select("trace", "at", F.concat(F.when(first, "").otherwise(","), "text").alias("text"))
-    heads = lines.select("trace").distinct()
-    head = heads.select("trace", F.lit(-1).cast("long").alias("at"), F.lit('{"deviceProperties": [{"name": "}"}], "traceEvents": [').alias("text"))
-    tail = heads.select("trace", F.lit(1 << 62).alias("at"), F.lit('], "displayTimeUnit": "ms"}').alias("text"))
-    head.union(body).union(tail).repartition("trace").sortWithinPartitions("trace", "at").select("trace", "text").write.partitionBy("trace").option("compression", "gzip").text(path)
+    # The members around the events stand in their first and last lines: rows of their own would come in by a union, whose parts Spark
+    # takes to lie together by trace already, and so leaves the repartition out and a trace in three files.
+    along = Window.partitionBy("trace").orderBy("at")
+    head = F.when(F.row_number().over(along) == 1, '{"deviceProperties": [{"name": "}"}], "traceEvents": [').otherwise(",")
+    tail = F.when(F.lead("at").over(along).isNull(), '], "displayTimeUnit": "ms"}').otherwise("")
+    body = lines.select("trace", "at", F.concat(head, "text", tail).alias("text"))
+    body.repartition("trace").sortWithinPartitions("trace", "at").select("trace", "text").write.partitionBy("trace").option("compression", "gzip").text(path)
     found = S.read_document_events(spark, path, "name string, dur long, id long", pattern="*.txt.gz").select("event.*")
     return found.groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("dur"), F.min("id").alias("first"), F.sum("id").alias("places"))
 

@@ -1,12 +1,15 @@
 """Overlaps, contexts, samples and reports on odd rows, against plain Python or by hand."""
 
+import pathlib
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.joining import join_measured
+from tracemill.functions.storage import shared_dir
 from tracemill.operators import contexts as C
 from tracemill.operators import joins as J
 from tracemill.operators import reports as R
@@ -112,3 +115,25 @@ def test_running_ends_are_linear(spark):
         assert wide.select(F.element_at("e", -1).alias("x")).first().x == sum(i % 9 for i in range(1, n + 1))
         took.append(time.time() - began)
     assert took[1] < 8 * took[0] + 5
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_keys": 0}])
+def test_overlaps_store_no_tokens_that_one_side_lacks(spark, limits):
+    i = F.col("i")
+    left = spark.range(3000).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).select("a", F.when(i < 2, F.concat(F.lit("w"), i)).otherwise(F.concat_ws("x", "a", i)).alias("token"))
+    right = spark.createDataFrame([(1, "w0"), (1, "w1"), (2, "w1")], "b int, token string")
+    shared_dir(spark)
+    folder = pathlib.Path(re.sub("^file:/*", "/", spark.sparkContext.getCheckpointDir()))
+    stored = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = stored()
+    found = J.overlaps_of_least(left, right, "a", "b", "token", 2, **limits)
+    assert {(r.a, r.b, r.common) for r in found.collect()} == {(a, 1, 2) for a in range(3000)}
+    assert stored() - before < 2_000_000
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_multisets_meet_alike_by_broadcast_and_shuffle(spark, limit):
+    left = spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (2, "y"), (2, ""), (3, "z"), (None, "x")], "a int, token string")
+    right = spark.createDataFrame([(7, "x"), (7, "x"), (7, "x"), (7, ""), (8, "y"), (None, "x"), (9, None)], "b int, token string")
+    got = sorted(map(str, map(tuple, J.multiset_overlap(left, right, "a", "b", "token", limit).collect())))
+    assert got == sorted(map(str, [(1, 7, 2), (1, None, 1), (2, 7, 1), (2, 8, 1), (None, 7, 1), (None, None, 1)]))

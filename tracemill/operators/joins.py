@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import global_row_number
 from ..functions.storage import checkpointed
 
 
@@ -90,24 +91,56 @@ def deltas(base: DataFrame, other: DataFrame, key: str, values: list[str]) -> Da
     return other.select(key, *values).join(b, key, "full").select(key, *((F.col(v) - F.col(f"_b_{v}")).alias(v) for v in values))
 
 
-def multiset_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, token: str) -> DataFrame:
-    """(left_key, right_key, common): tokens that both have, each as often as the rarer side."""
-    a = left.groupBy(left_key, token).agg(F.count("*").alias("_a"))
-    b = right.groupBy(right_key, token).agg(F.count("*").alias("_b"))
-    return a.join(b, token).groupBy(left_key, right_key).agg(F.sum(F.least("_a", "_b")).alias("common"))
+#: Counts of a right side that are broadcast: so many (key, token) rows at most.
+BROADCAST_COUNTS = 500_000
 
 
-def overlaps_of_least(left: DataFrame, right: DataFrame, left_key: str, right_key: str, token: str, least: int) -> DataFrame:
-    """multiset_overlap() of the pairs that have `least` tokens or more in common, without meeting the others.
+def _counted(rows: DataFrame, key: str, token: str, name: str) -> DataFrame:
+    return rows.groupBy(key, token).agg(F.count("*").alias(name))
 
-    A side's tokens are ordered by how many keys hold them, rarest first. The rarest common token of such a pair lies, on either
-    side, before all but the last least - 1 occurrences, so only these first tokens meet; frequent tokens hardly
-    ever are among them. What is left is counted in full. Null keys and tokens do not count; a key's distinct tokens meet in one task.
+
+def _met_in_place(left: DataFrame, b: DataFrame, left_key: str, right_key: str, token: str) -> DataFrame:
+    """multiset_overlap() of left with the right side's counts b, which are broadcast.
+
+    Tokens that b holds become numbers and a left key's tokens one array, so the only shuffle takes four bytes for each
+    of them; what follows stays where the key lies.
+    """
+    numbers = checkpointed(global_row_number(b.select(token).distinct(), [token], "_n").select(token, F.col("_n").cast("int").alias("_n")))
+    held = checkpointed(b.join(F.broadcast(numbers), token).select("_n", right_key, "_b"))
+    known = left.join(F.broadcast(numbers), token).groupBy(left_key).agg(F.collect_list("_n").alias("_all"))
+    a = _counted(known.select(left_key, F.explode("_all").alias("_n")), left_key, "_n", "_a")
+    return a.join(F.broadcast(held), "_n").groupBy(left_key, right_key).agg(F.sum(F.least("_a", "_b")).alias("common"))
+
+
+def multiset_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, token: str, max_broadcast: int = BROADCAST_COUNTS) -> DataFrame:
+    """(left_key, right_key, common): tokens that both have, each as often as the rarer side.
+
+    Where right has max_broadcast counts at most they are broadcast and left is shuffled once; a key's tokens meet in one task.
+    """
+    b = checkpointed(_counted(right, right_key, token, "_b"))
+    if b.count() <= max_broadcast:
+        return _met_in_place(left, b, left_key, right_key, token)
+    return _counted(left, left_key, token, "_a").join(b, token).groupBy(left_key, right_key).agg(F.sum(F.least("_a", "_b")).alias("common"))
+
+
+def overlaps_of_least(left: DataFrame, right: DataFrame, left_key: str, right_key: str, token: str, least: int, max_broadcast: int = BROADCAST_COUNTS, max_keys: int = 1000) -> DataFrame:
+    """multiset_overlap() of the pairs that have `least` tokens or more in common. Null keys and tokens do not count; a key's distinct tokens meet in one task.
+
+    A right side of max_keys keys and max_broadcast counts at most is broadcast: a left key then has no more than max_keys sums, which cost less than to
+    look for the pairs first. Beyond that pairs that share only frequent tokens do not meet: the tokens that both sides hold
+    are ordered by how many keys hold them, rarest first. The rarest common token of a pair lies, on either side, before
+    all but the last least - 1 occurrences, so only these first tokens meet. What is left is counted in full.
     """
-    counts = lambda df, key, n: df.where(F.col(key).isNotNull() & F.col(token).isNotNull()).groupBy(key, token).agg(F.count("*").alias(n))
-    a, b = checkpointed(counts(left, left_key, "_a")), checkpointed(counts(right, right_key, "_b"))
+    whole = lambda df, key: df.where(F.col(key).isNotNull() & F.col(token).isNotNull())
+    b = checkpointed(_counted(whole(right, right_key), right_key, token, "_b"))
+    size = b.agg(F.count("*").alias("n"), F.count_distinct(right_key).alias("keys")).first()
+    if size["n"] <= max_broadcast and size["keys"] <= max_keys:
+        return _met_in_place(whole(left, left_key), b, left_key, right_key, token).where(F.col("common") >= least)
+    # A token that the other side lacks is in no pair, so it is not stored.
+    a = checkpointed(_counted(whole(left, left_key), left_key, token, "_a").join(b.select(token).distinct(), token, "left_semi"))
     # Stored, so that the joins deal out both sides anew and can split a token that many keys hold.
-    held = checkpointed(a.select(token).unionAll(b.select(token)).groupBy(token).agg(F.count("*").alias("_df")))
+    held = a.groupBy(token).agg(F.count("*").alias("_m")).join(b.groupBy(token).agg(F.count("*").alias("_k")), token)
+    held = checkpointed(held.select(token, (F.col("_m") + F.col("_k")).alias("_df")))
 
     def first(df: DataFrame, key: str, n: str) -> DataFrame:
         own = Window.partitionBy(key)

@@ -318,3 +318,20 @@ def test_overlapping_marks_cover_tokens(spark):
     cut = spark.createDataFrame([("k", 4 * i, 4 * i + 4, i) for i in range(6)], "key string, start int, end int, token_id long")
     spans = spark.createDataFrame([("k", 1, 14, True), ("k", 2, 3, True), ("k", 15, 17, False), ("k", 23, 24, True)], "key string, start long, end long, trainable boolean")
     assert [r.trained for r in tokens.token_mask(cut, spans, "key").orderBy("start").collect()] == [1, 1, 1, 1, 0, 1]
+
+
+def test_span_rounds_grow_with_the_largest_trace(spark, monkeypatch):
+    rounds, kept = [], ordered.checkpointed
+    monkeypatch.setattr(ordered, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    rows = [(t, s, 3 - s, "span_start", s) for t in range(300) for s in (1, 2)] + [(t, s, 0 if s == 3 else 3, "span_start", s) for t in range(300) for s in (3, 4)]
+    df = spark.createDataFrame(rows, "trace_id int, span_id int, parent_span_id int, type string, ts long")
+    assert {(r.span_id, r.depth) for r in ordered.span_tree(df).collect()} == {(1, 0), (2, 0), (3, 0), (4, 1)}
+    assert len(rounds) <= 6  # 300 rings of two: by the number of all spans there would be thirteen
+
+
+def test_trees_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id % 20 as run", "id", "case when id > 20 then 'é' end as note")
+    records.write_tree(rows, f"file://{tmp_path}", ["run"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"run={i}" for i in range(20))
+    assert sorted((tmp_path / "run=1" / "part-00000.json").read_text(encoding="utf-8").splitlines()) == ['{"id":1}', '{"id":21,"note":"é"}']
+    assert len({r.run for r in spark.read.json(str(tmp_path)).collect()}) == 20

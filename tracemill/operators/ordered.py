@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,8 +149,8 @@ def span_tree(events: DataFrame, max_rounds: int = 40) -> DataFrame:
     the trace's last event, the next start of a span with the same parent, and the end of its nearest closed
     ancestor, as far as these lie after its start; clipped_by says which. An end without a start is an orphan. depth
     counts the ancestors that the trace knows; spans on or below a ring of parents have depth 0. Ancestors are
-    found by doubling: each round joins every span with its pointer's pointer, so a trace stays spread
-    over tasks and the rounds grow with the logarithm of the depth.
+    found by doubling: each round joins the spans whose pointer has not come to an end with their pointer's pointer, so a trace
+    stays spread over tasks and the rounds grow with the logarithm of the depth, or, with rings, of the largest trace.
     """
     t = lambda kind: F.when(F.col("type") == kind, F.col("ts"))
     parent = F.min_by("parent_span_id", F.when(F.col("type") == "span_start", 0).otherwise(1))
@@ -156,19 +158,20 @@ def span_tree(events: DataFrame, max_rounds: int = 40) -> DataFrame:
     last = events.groupBy("trace_id").agg(F.max("ts").alias("_last"))
     started = checkpointed(spans.where("start is not null"))
     # hop: the ancestor that the pointer stands at; up: how many levels that is; near: the end of the nearest closed ancestor so far.
-    known = started.select("trace_id", F.col("span_id").alias("_p"), F.col("closed").alias("_closed"))
+    known = started.select("trace_id", F.col("span_id").alias("_p"), F.col("closed").alias("_closed"), F.lit(True).alias("_is"))
     at = started.select("trace_id", "span_id", F.col("parent_span_id").alias("_p")).join(known, ["trace_id", "_p"], "left")
-    here = at.join(started.select("trace_id", F.col("span_id").alias("_p"), F.lit(True).alias("_is")), ["trace_id", "_p"], "left")
-    here = checkpointed(here.select("trace_id", "span_id", F.when(F.col("_is"), F.col("_p")).alias("hop"), F.when(F.col("_is"), 1).otherwise(0).cast("long").alias("up"), F.col("_closed").alias("near")))
-    n_spans = started.count()
+    here = checkpointed(at.select("trace_id", "span_id", F.when(F.col("_is"), F.col("_p")).alias("hop"), F.when(F.col("_is"), 1).otherwise(0).cast("long").alias("up"), F.col("_closed").alias("near")))
+    most = started.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    settled, moving = [here.where("hop is null")], here.where("hop is not null")
     for _ in range(max_rounds):
-        if here.where("hop is not null").isEmpty():
-            break
-        ahead = here.select("trace_id", F.col("span_id").alias("hop"), F.col("hop").alias("_hop"), F.col("up").alias("_up"), F.col("near").alias("_near"))
-        joined = here.join(ahead, ["trace_id", "hop"], "left")
-        here = checkpointed(joined.select("trace_id", "span_id", F.col("_hop").alias("hop"), (F.col("up") + F.coalesce("_up", F.lit(0))).alias("up"), F.coalesce("near", "_near").alias("near")))
-        if (here.where("hop is not null").agg(F.min("up")).first()[0] or 0) > n_spans:
-            break  # more levels than spans: what is left runs in rings
+        levels = moving.agg(F.min("up")).first()[0]
+        if levels is None or levels > most:
+            break  # more levels than a trace has spans: what is left runs in rings
+        ahead = reduce(DataFrame.unionAll, settled, moving).select("trace_id", F.col("span_id").alias("hop"), F.col("hop").alias("_hop"), F.col("up").alias("_up"), F.col("near").alias("_near"))
+        joined = moving.join(ahead, ["trace_id", "hop"], "left")
+        moved = checkpointed(joined.select("trace_id", "span_id", F.col("_hop").alias("hop"), (F.col("up") + F.coalesce("_up", F.lit(0))).alias("up"), F.coalesce("near", "_near").alias("near")))
+        settled, moving = [*settled, moved.where("hop is null")], moved.where("hop is not null")
+    here = reduce(DataFrame.unionAll, settled, moving)
     ends = here.select("trace_id", "span_id", F.when(F.col("hop").isNull(), F.col("up")).otherwise(0).alias("depth"), "near")
     group = Window.partitionBy("trace_id", "parent_span_id").orderBy("start").rangeBetween(1, Window.unboundedFollowing)
     shown = started.withColumn("_next", F.min("start").over(group)).join(last, "trace_id").join(ends, ["trace_id", "span_id"])

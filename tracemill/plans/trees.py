@@ -16,7 +16,7 @@ from .registry import query, table
 
 def _tree(rows, path: str, *folders: str) -> str:
     """One JSON file in a folder for each value of `folders`."""
-    rows.repartition(1, *folders).write.partitionBy(*folders).mode("append").json(path)
+    S.write_tree(rows, path, list(folders))
     return path
 
 

@@ -224,15 +224,53 @@ def buffered_first(buffer: DataFrame, dataset: DataFrame, order: str, n: int) ->
 STREAMED = ("", "file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
-def _stream(path: str):
-    """The bytes of a file as a stream; path is as Spark lists it, without escapes."""
+def _store(path: str):
+    """The file system of a path and the path within it; path is as Spark lists it, without escapes."""
     from pyarrow import fs
 
     scheme = path.partition(":")[0] if re.match(r"[a-z][a-z0-9]*:", path) else ""
     if scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_stream(re.sub(r"^(file:)?/*", "/", path), compression=None)
+        return fs.LocalFileSystem(), re.sub(r"^(file:)?/*", "/", path)
     store, root = fs.FileSystem.from_uri(re.match(r"[^:]+://[^/]*/", path)[0].replace("s3a://", "s3://", 1))
-    return store.open_input_stream(f"{root.rstrip('/')}/{path.split('/', 3)[3]}")
+    return store, f"{root.rstrip('/')}/{path.split('/', 3)[3]}"
+
+
+def _stream(path: str):
+    """The bytes of a file as a stream."""
+    store, at = _store(path)
+    return store.open_input_stream(at, compression=None)
+
+
+def write_tree(rows: DataFrame, root: str, folders: list[str]) -> None:
+    """One file of JSON lines in a folder (name=value/...) for each value of `folders`, made anew.
+
+    Tasks write the files as streams, in place; a task that is run again writes the same ones. Spark's own writer, which other stores than STREAMED
+    get, moves each file and sets its rights by a process of its own where the native library of Hadoop is missing.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if root.partition("://")[0] not in STREAMED and "://" in root:
+        rows.repartition(n, *folders).write.partitionBy(*folders).mode("append").json(root)
+        return
+    folder = F.concat_ws("/", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in folders))
+    line = F.to_json(F.struct(*(c for c in rows.columns if c not in folders)))
+    lines = rows.select(folder.alias("_folder"), line.alias("_line")).repartition(n, "_folder").sortWithinPartitions("_folder")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, files = None, None, 0
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    if out:
+                        out.close()
+                    store, at = _store(f"{root.rstrip('/')}/{name}")
+                    store.create_dir(at, recursive=True)
+                    now, out, files = name, store.open_output_stream(f"{at}/part-00000.json", compression=None), files + 1
+                out.write(text.encode() + b"\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    lines.mapInArrow(run, "files long").agg(F.sum("files")).first()
 
 
 def stream_digest(path: str, slice_bytes: int = 8 << 20) -> str:

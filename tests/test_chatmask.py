@@ -146,3 +146,12 @@ def test_a_rank_with_fewer_rows_than_micro_batches_raises(spark):
     assert {r.n_micro for r in T.microbatch_schedule(rows.where("rank = 0"), "step", "rank", "id", "n", 10, multiple=3).collect()} == {3}
     with pytest.raises(Exception, match="rows for 4 bins"):
         T.microbatch_schedule(rows, "step", "rank", "id", "n", 10).collect()
+
+
+def test_masks_come_in_small_batches():
+    import pyarrow as pa
+
+    from tracemill.operators.chatmask import _small
+
+    parts = list(_small(iter([pa.RecordBatch.from_arrays([pa.array(range(250))], names=["x"])])))
+    assert [p.num_rows for p in parts] == [100, 100, 50] and [x for p in parts for x in p.column(0).to_pylist()] == list(range(250))

@@ -103,6 +103,13 @@ class Masker:
         return ids, mask
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: the tokens of a part are Python's numbers, which take ten times the room of its text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def message_masks(messages: DataFrame, key: str, order: str, tokenizer_path: str, method: str, template: Template | None = None, role: str = "role", text: str = "text", step: str | None = None) -> DataFrame:
     """(key, order, token_ids, loss_mask) of every message; a conversation's tokens are those of its messages in order.
 
@@ -119,7 +126,7 @@ def message_masks(messages: DataFrame, key: str, order: str, tokenizer_path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masker = Masker(tokenizer_path, template, method)
-        for batch in batches:
+        for batch in _small(batches):
             columns = (batch.column(c).to_pylist() for c in ("_role", "_text", "_first", "_counts"))
             found = [masker.message(*x) for x in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.int32()))], names=[key, order, "token_ids", "loss_mask"])
@@ -136,7 +143,7 @@ def response_masks(messages: DataFrame, key: str, order: str, tokenizer_path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, _ = _tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in _small(batches):
             ids, masks = [], []
             for r, t, answer, counts in zip(*(batch.column(c).to_pylist() for c in ("_role", "_text", "_answer", "_counts")), strict=True):
                 a, b = (tokenizer.encode(x, add_special_tokens=False).ids for x in (template.render([(r, t)], answer=True), answer))

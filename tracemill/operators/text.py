@@ -39,7 +39,6 @@ CLASS_RISKS = {
 
 
 #: Workers import this module without a session, so types are not written as DDL here.
-_REPETITION = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("repeated", T.BooleanType())])
 
 
 _CREDENTIALS = ("authorization", *(a + between + b for a, b in (("api", "key"), ("access", "token"), ("secret", "key")) for between in ("", "_", "-")))
@@ -207,16 +206,22 @@ def sse_blocks(text: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(fields(b, "event:").alias("event"), fields(b, "data:").alias("data")))
 
 
-@F.pandas_udf(_REPETITION)
-def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Compression ratio of the last 10,000 characters, and whether a text longer than that is compressed over tenfold."""
+@F.arrow_udf(T.DoubleType())
+def _compression(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Size by compressed size of each text, which is a Python object only for its own turn; 0 for none."""
     for texts in batches:
-        out = []
+        found = []
         for t in texts:
-            tail = (t or "")[-10_000:].encode()
-            ratio = len(tail) / len(zlib.compress(tail, 9)) if tail else 0.0
-            out.append((ratio, bool(len(t or "") > 10_000 and ratio > 10)))
-        yield pd.DataFrame(out, columns=["ratio", "repeated"])
+            raw = (t.as_py() or "").encode()
+            found.append(len(raw) / len(zlib.compress(raw, 9)) if raw else 0.0)
+        yield pa.array(found, pa.float64())
+
+
+def repetition(text: Column | str) -> Column:
+    """Compression ratio of the last 10,000 characters, which alone go to Python, and whether a text longer than that is compressed over tenfold."""
+    c = F.col(text) if isinstance(text, str) else text
+    ratio = _compression(F.right(c, F.lit(10_000)))
+    return F.struct(ratio.alias("ratio"), (F.coalesce(F.char_length(c) > 10_000, F.lit(False)) & (ratio > 10)).alias("repeated"))
 
 
 @F.pandas_udf(T.StringType())

@@ -5,6 +5,9 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tracemill.plans.streams import op_k08_log
 from tracemill.streaming.eventlog import open_runs, read_log, write_log
 
 SCHEMA = "run_id string, ts long, payload string"
@@ -41,6 +44,48 @@ def test_a_start_after_a_failure_leaves_no_gap_and_no_repeat(spark, tmp_path):
     assert spark.read.parquet(f"{log}/payloads").select("digest").distinct().count() == 2
 
 
+def test_numbers_go_on_over_many_batches(spark, tmp_path):
+    """Runs that rest for more batches than the last numbers are kept apart for, a run without a name, and numbers that a double can't hold."""
+    source, log, big = tmp_path / "in", str(tmp_path / "log"), 2**53 + 1
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    feed(source, 0, [("early", big, "p"), ("early", None, "q"), (None, 5, "x"), (None, 4, "y")])
+    for i in range(1, 21):
+        feed(source, i, [("often", i, "z"), (f"run {i}", big, None)])
+
+    for at in (10, 15):
+
+        def fail(batch, at=at):
+            if batch == at:
+                raise RuntimeError("lost")
+
+        with pytest.raises(Exception, match="lost"):
+            write_log(stream(), log, after=fail)
+    write_log(stream(), log)
+    feed(source, 21, [("early", 0, "r"), (None, 6, "w"), ("often", 0, "z"), ("run 12", 1, "v")])
+    write_log(stream(), log)
+    got = {(r.run_id, r.seq): (r.ts, r.payload) for r in read_log(spark, log, SCHEMA).collect()}
+    want = {("early", 1): (big, "p"), ("early", 2): (None, "q"), ("early", 3): (0, "r"), (None, 1): (4, "y"), (None, 2): (5, "x"), (None, 3): (6, "w"), ("often", 21): (0, "z"), ("run 12", 2): (1, "v")}
+    want |= {("often", i): (i, "z") for i in range(1, 21)} | {(f"run {i}", 1): (big, None) for i in range(1, 21)}
+    assert got == want and read_log(spark, log, SCHEMA).count() == len(want)
+    assert "payload_ref" in read_log(spark, log, SCHEMA, refs=True).columns
+
+
+def test_the_log_holds_events_of_one_id_and_of_none(spark, tmp_path):
+    events = spark.createDataFrame([(1, 7, "view", "a"), (1, 7, "view", "a"), (5, 7, "click", "b"), (None, 7, "view", "c"), (9, None, "view", "d")], "event_id long, user_id long, event_type string, props string")
+    events.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).withColumn("value", F.lit(1.0)).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in op_k08_log(spark, str(tmp_path)).select("event_id", "user_id", "seq", "aside").collect()]
+    assert sorted(got, key=str) == sorted([(1, 7, 1, False), (1, 7, 2, False), (5, 7, 3, True), (None, 7, 4, False), (9, None, 1, False)], key=str)
+
+
+def test_a_batch_of_many_runs_is_written_without_python(spark, tmp_path):
+    """Numbering took some milliseconds of Python a run, twice a batch."""
+    spark.range(2000).select(F.col("id").cast("string").alias("run_id"), F.col("id").alias("ts"), F.lit("p").alias("payload")).write.json(str(tmp_path / "in"))
+    seen = []
+    write_log(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")), str(tmp_path / "log"), after=seen.append)
+    assert seen == [0] and not (tmp_path / "log" / "state" / "state").exists()
+    assert read_log(spark, str(tmp_path / "log"), SCHEMA).where("seq = 1").count() == 2000
+
+
 def test_runs_are_opened_under_their_identity(spark):
     schema = "run_id string, task string, profile string, finalized boolean"
     known = spark.createDataFrame([("a", "t", "p", False), ("b", "t", "p", True), ("c", None, "p", False)], schema)

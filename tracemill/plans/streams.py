@@ -42,13 +42,13 @@ def op_k08_log(spark, sf_dir):
     rows = e.select("event_id", "user_id", F.when(F.col("event_id") % 5 == 0, large).otherwise(F.col("props")).alias("payload"))
     schema = "event_id long, user_id long, payload string"
     path = fresh_path(spark, "k08")
-    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    low, high = e.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    at = F.coalesce("event_id", F.lit(high))  # events without an id come last
     for part in range(4):
         a, b = (low + (high + 1 - low) * k // 4 for k in (part, part + 1))
-        rows.where((F.col("event_id") >= a) & (F.col("event_id") < b)).write.mode("append").parquet(f"{path}/in")
+        rows.where((at >= a) & (at < b)).write.mode("append").parquet(f"{path}/in")
         write_log(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/log", "user_id", "event_id")
-    refs = spark.read.schema("event_id long, payload_ref string").parquet(f"{path}/log/events").select("event_id", F.col("payload_ref").isNotNull().alias("aside"))
-    return read_log(spark, f"{path}/log", schema).select("event_id", "user_id", "seq", "payload").join(refs, "event_id")
+    return read_log(spark, f"{path}/log", schema, refs=True).select("event_id", "user_id", "seq", "payload", F.col("payload_ref").isNotNull().alias("aside"))
 
 
 def _events(spark, sf_dir):

@@ -137,3 +137,14 @@ def test_multisets_meet_alike_by_broadcast_and_shuffle(spark, limit):
     right = spark.createDataFrame([(7, "x"), (7, "x"), (7, "x"), (7, ""), (8, "y"), (None, "x"), (9, None)], "b int, token string")
     got = sorted(map(str, map(tuple, J.multiset_overlap(left, right, "a", "b", "token", limit).collect())))
     assert got == sorted(map(str, [(1, 7, 2), (1, None, 1), (2, 7, 1), (2, 8, 1), (None, 7, 1), (None, None, 1)]))
+
+
+def test_multisets_are_shuffled_once_as_numbers(spark):
+    """Words of the left side that the right side lacks were shuffled too, as text, and the pairs after them."""
+    i = F.col("i")
+    left = spark.range(2000).select((F.col("id") % 2000).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).select("a", F.when(i < 2, F.concat(F.lit("w"), i)).otherwise(F.concat_ws("x", "a", i)).alias("token"))
+    right = spark.createDataFrame([(b, f"w{b % 2}") for b in range(30)], "b int, token string")
+    found = J.multiset_overlap(left, right, "a", "b", "token")
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", found._jdf.queryExecution().executedPlan().toString())
+    assert len(dealt) == 1 and re.fullmatch(r"a#\d+L, \d+", dealt[0])
+    assert found.count() == 2000 * 30 and found.where("common <> 1").count() == 0

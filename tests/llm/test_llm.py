@@ -571,6 +571,17 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_links_expect_no_endless_sizes(spark):
+    """The size that Spark expects of the result: with more links than a broadcast takes, its digits doubled twice a round, so that a few calls filled the driver."""
+    node = lambda i: F.xxhash64(i)
+    links = spark.range(220_000).where("id % 20 < 19").select(node(F.col("id")).alias("a"), node(F.col("id") + 1).alias("b")).repartition(4)
+    got = components(links)
+    assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 120
+    chains = spark.range(220_000).select(node(F.col("id")).alias("node"), F.floor(F.col("id") / 20).alias("chain"))
+    found = got.join(chains, "node").groupBy("chain").agg(F.min("node").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    assert found.where("n = 20 and lo = least and hi = least").count() == 11_000 == found.count() and got.count() == 220_000
+
+
 # ---- 9
 
 
